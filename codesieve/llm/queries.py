@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codesieve.llm import bpe, packing, telephony
-from codesieve.llm.common import documents
+from codesieve.llm import bpe, fingerprints, packing, quality, telephony, toxicity
+from codesieve.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold(3, 1)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
@@ -27,7 +43,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op8_bpe": op8_bpe, "op10_telephony": op10_telephony}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op10_telephony": op10_telephony}
 
 
 def oracle_sql() -> dict[str, str]:
