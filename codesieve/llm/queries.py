@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import bpe, context_tree, fingerprints, packing, quality, telephony, toxicity
+from codesieve.llm import bpe, context_tree, fingerprints, jaccard_join, packing, quality, telephony, toxicity
 from codesieve.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store(documents(spark, sf_dir), keep=False)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op10_telephony": op10_telephony}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join, "op10_telephony": op10_telephony}
 
 
 def oracle_sql() -> dict[str, str]:
