@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import bpe, context_tree, fingerprints, jaccard_join, packing, quality, telephony, toxicity
+from codesieve.llm import bpe, context_tree, fingerprints, jaccard_join, packing, quality, suffix_dedup, telephony, toxicity
 from codesieve.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(documents(spark, sf_dir), fold(7, 2))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.counts(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), fold(3, 1)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
@@ -51,7 +55,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join, "op10_telephony": op10_telephony}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join, "op10_telephony": op10_telephony}
 
 
 def oracle_sql() -> dict[str, str]:
