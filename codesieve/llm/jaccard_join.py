@@ -236,22 +236,34 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     return rows, saved.save(components(links.union(more), saved), "components"), saved
 
 
+def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles, component_id and stays (one document of each class does) of each row of docs."""
+    rows, found, _ = join(docs, width, percent)
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    chosen = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node"))).alias("chosen"))
+    labels = nodes.join(chosen, "component").select("node", "chosen")
+    some = F.col("n_shingles") > 0
+    stays = ~some | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("node") == F.col("chosen.node")))
+    return rows.join(labels, "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach, its own included) of each row of docs.
 
     Equal texts with words are linked. Rows without words are alone. A null text has no words. A null doc_id takes part in links;
     its component_id is null only if no document with an id is reached. Repeated rows have the same class.
     """
-    rows, found, _ = join(docs, width, percent)
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = nodes.join(least, "component").select("node", "component_id")
-    return rows.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all columns, whose doc_id is the smallest of their class; of rows that share it, one stays.
+    """The rows of docs, with all columns, that have the smallest doc_id of their class; of rows that share id and text, one stays.
 
-    Rows without words all stay, and so do rows with a null doc_id in a class without ids.
+    Rows without words all stay. A class without ids keeps one row.
     """
-    raise NotImplementedError
+    rows = labelled(docs, width, percent).where("stays").select(F.col("doc_id").alias("cs_id"), F.col("node").alias("cs_node"), "n_shingles").distinct()
+    rows = rows.select("cs_id", "cs_node", F.col("n_shingles").alias("cs_n"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    number = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    kept = docs.withColumn("cs_own", number).join(rows, (F.col("cs_own") == F.col("cs_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")))
+    return kept.withColumn("cs_once", F.when(F.col("cs_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates(["cs_node", "cs_id", "cs_once"]).select(*[docs[c] for c in docs.columns])

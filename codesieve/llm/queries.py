@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import bpe, context_tree, fingerprints, jaccard_join, packing, quality, suffix_dedup, telephony, toxicity
+from codesieve.llm import bpe, context_tree, fingerprints, jaccard_join, line_dedup, packing, quality, suffix_dedup, telephony, toxicity
 from codesieve.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.counts(documents(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -55,8 +59,8 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join, "op10_telephony": op10_telephony}
+    return {"op1_packing": op1_packing, "op2_quality": op2_quality, "op3_context_tree": op3_context_tree, "op4_suffix_dedup": op4_suffix_dedup, "op5_toxicity": op5_toxicity, "op6_line_dedup": op6_line_dedup, "op7_fingerprints": op7_fingerprints, "op8_bpe": op8_bpe, "op9_jaccard_join": op9_jaccard_join, "op10_telephony": op10_telephony}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL}

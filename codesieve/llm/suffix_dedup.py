@@ -181,8 +181,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
     """Per distinct text: node, doc (its smallest doc_id), and for that document n_bytes, n_removed, n_spans and kept_sha256.
 
     A byte goes if a `length`-byte string over it also starts in a document with a smaller doc_id; strings
-    are those of the input. With keep, `kept` has the remaining bytes and `spans` the removed runs as (start, end). A character may
-    be cut. Strings of a text without doc_id are after all others.
+    are those of the input. With keep, `kept` has the remaining bytes, in which a character may be cut, `kept_text` the
+    whole characters, and `spans` the removed runs as (start, end). Strings of a text without doc_id are after all others.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
 
     sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send_segments, "shard int, block int, flags binary, bytes binary, lengths binary, docs binary")
     answers = sent.groupBy("shard").applyInArrow(sort_shard, "block int, shard int, flags binary, masks binary")
-    schema = "node long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, end: long>>" * keep
+    schema = "node long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table, length, gram)
@@ -274,10 +274,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
             off = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]])))
             kept = own.data[a:b][~off].tobytes()
-            values = [own.nodes[i], own.docs[i], b - a, off.sum(), len(edges) // 2, hashlib.sha256(kept).hexdigest()] + ([kept, [{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)]] if keep else [])
+            values = [own.nodes[i], own.docs[i], b - a, off.sum(), len(edges) // 2, hashlib.sha256(kept).hexdigest()] + ([kept, kept.decode("utf-8", "ignore"), [{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)]] if keep else [])
             for name, v in zip(rows, values, strict=True):
                 rows[name].append(v)
-        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * keep
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * keep
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
@@ -298,3 +298,12 @@ def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     return rows.join(found, "node").select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256")
     )
+
+
+def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with `text` less the repeated bytes and characters that lost some of theirs, without the rows that lost all; other columns as they are."""
+    found = dedup(docs, length, gram).select(F.col("node").alias("cs_node"), F.col("doc").alias("cs_doc"), F.col("n_bytes").alias("cs_bytes"), F.col("n_removed").alias("cs_removed"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("cs_text"))
+    joined = docs.withColumn("cs_own", node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found, F.col("cs_own") == F.col("cs_node"))
+    copy = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) > F.col("cs_doc")) & (F.col("cs_bytes") >= length)
+    left = joined.where(~copy & ((F.col("cs_removed") == 0) | (F.col("cs_text") != "")))
+    return left.select(*[F.when(F.col("cs_removed") > 0, F.col("cs_text")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])

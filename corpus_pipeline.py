@@ -1,8 +1,61 @@
-"""A training-data pipeline over `documents`."""
+"""A training-data pipeline over `documents`: quality, lines, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir); all but the last return rows with the columns of documents. SQL can't
+express the classifier, the suffix sort and the tokenizer, so there is no ORACLE_SQL.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codesieve.llm import jaccard_join, line_dedup, packing, quality, suffix_dedup
+from codesieve.llm.common import Saved, documents
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives the second grade or better with probability 0.5 or more; a document without text is judged like others."""
+    return quality.select(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, n_chars (if among them) as the text now has it."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; a document that has lost all its lines goes too."""
+    out = line_dedup.rewrite(docs)
+    return counted(out.where("cs_removed = 0 or cs_removed < cs_lines"), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: five-word shingles, similarity 0.8."""
+    return jaccard_join.representatives(docs, width=5, percent=80)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that documents with smaller ids have go; a document that has lost all its bytes goes too.
+
+    A character of which bytes are missing goes whole.
+    """
+    return counted(suffix_dedup.rewrite(docs), docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their ids, each a sequence whose length is a power of two."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", rated), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each stage's rows are written to the shared folder and read again."""
+    saved, docs = Saved(spark), documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = saved.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
