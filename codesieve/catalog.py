@@ -1,17 +1,711 @@
-"""The queries of the engine by name, with SQL for each."""
+"""The queries of the engine by name, with SQL that DuckDB can hold them against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codesieve.functions import keys as K
+from codesieve.operators import bitmask, metrics, patterns, quantile, stats
+from codesieve.plans.predicates import Index, Match, accelerate, like, packed_conditions
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Pattern sets of the queries. Fixed values.
+PREFIXES = ("the", "th", "an", "de", "é", "t%", "zzz")
+SUFFIXES = ("on.", "er.", "e.", "é.", "|", "zzz")
+INSIDE = ("anda smi", "ing", "the", "python", "2024", "ist claudi", "enshurst p")
+INFIXES = (("the", "a"), ("the", "e"), ("a", "s"), ("in", "on"), ("re", "ed"), ("2", "1"), ("the", "."), ("a", "n."), ("é", "."))
+EXACT = (("The", "."), ("In", "."), ("the", "."), ("A", "|"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rows(values: list[tuple], names: str, alias: str = "v") -> str:
+    """A VALUES list of texts and numbers."""
+    body = ", ".join("(" + ", ".join(lit(x) if isinstance(x, str) else str(x) for x in v) + ")" for v in values)
+    return f"(VALUES {body}) {alias}({names})"
+
+
+def sql_key(text: str, suffix: bool = False) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    return f"rpad(substr(hex(encode({f'reverse({low})' if suffix else low})), 1, 16), 16, '0')"
+
+
+def sql_codes(source: str, column: str, bits: int, suffix: bool = False, tag: str = "p") -> str:
+    """CTEs b{tag} (code, key: boundaries) and bl{tag} (bl: their list)."""
+    return f"""k{tag} AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS r, count(*) OVER () AS n FROM (SELECT {sql_key(column, suffix)} AS key FROM {source})),
+b{tag} AS (SELECT i AS code, key FROM range({1 << bits}) t(i) JOIN k{tag} ON r = (i * (n - 1)) // {1 << bits}),
+bl{tag} AS (SELECT list(key ORDER BY code) AS bl FROM b{tag})"""
+
+
+def sql_code(key: str, tag: str = "p") -> str:
+    return f"greatest(len(list_filter((SELECT bl FROM bl{tag}), lambda x: x <= {key})) - 1, 0)"
+
+
+def prefix_codes(df: DataFrame, column: str = "text", bits: int = 8) -> quantile.Codes:
+    return quantile.boundaries(df, column, bits)
+
+
+def suffix_codes(df: DataFrame, column: str = "text", bits: int = 8) -> quantile.Codes:
+    return quantile.boundaries(df, column, bits, suffix=True)
+
+
+def counted(df: DataFrame, matches: dict[str, Match], index: Index | None = None, way: str = "range") -> DataFrame:
+    conditions = {k: metrics.all_of([*(index.conditions(m, way) if index else []), m.exact()]) for k, m in matches.items()}
+    return metrics.count_all(df, conditions)
+
+
+def infix_name(p: str, s: str) -> str:
+    return f"{p}..{s}"
+
+
+P_MATCH = {p: Match("text", prefix=p) for p in PREFIXES}
+S_MATCH = {s: Match("text", suffix=s) for s in SUFFIXES}
+I_MATCH = {infix_name(p, s): Match("text", prefix=p, suffix=s) for p, s in INFIXES}
+E_MATCH = {infix_name(p, s): Match("text", prefix=p, suffix=s, exact_case=True) for p, s in EXACT}
+C_MATCH = {x: Match("text", inside=x) for x in INSIDE}
+
+P_SQL = f"SELECT p AS pattern, count(*) FILTER (starts_with(lower(text), p)) AS match_count FROM documents, {rows([(p,) for p in PREFIXES], 'p')} GROUP BY p"
+S_SQL = f"SELECT p AS pattern, count(*) FILTER (ends_with(lower(text), p)) AS match_count FROM documents, {rows([(p,) for p in SUFFIXES], 'p')} GROUP BY p"
+I_SQL = f"SELECT p || '..' || s AS pattern, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS match_count FROM documents, {rows(list(INFIXES), 'p, s')} GROUP BY p, s"
+E_SQL = f"SELECT p || '..' || s AS pattern, count(*) FILTER (starts_with(text, p) AND ends_with(text, s)) AS match_count FROM documents, {rows(list(EXACT), 'p, s')} GROUP BY p, s"
+C_SQL = f"SELECT p AS pattern, count(*) FILTER (contains(lower(text), p)) AS match_count FROM {{table}}, {rows([(p,) for p in INSIDE], 'p')} GROUP BY p"
+
+
+@query("prefix_count", P_SQL)
+def prefix_count(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), P_MATCH)
+
+
+@query("suffix_count", S_SQL)
+def suffix_count(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), S_MATCH)
+
+
+@query("substring_count", C_SQL.format(table="documents"))
+def substring_count(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), C_MATCH)
+
+
+@query("infix_count", I_SQL)
+def infix_count(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), I_MATCH)
+
+
+@query("infix_count_case_sensitive", E_SQL)
+def infix_count_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    return counted(table(spark, d, "documents"), E_MATCH)
+
+
+@query("like_patterns", "SELECT p AS pattern, count(*) FILTER (text ILIKE p) AS match_count FROM documents, (VALUES ('the%'), ('%on.'), ('%ing%'), ('t_e%')) v(p) GROUP BY p")
+def like_patterns(spark: SparkSession, d: str) -> DataFrame:
+    conditions = {p: m.exact() if (m := like("text", p)) else F.col("text").ilike(p) for p in ("the%", "%on.", "%ing%", "t_e%")}
+    return metrics.count_all(table(spark, d, "documents"), conditions)
+
+
+@query("prefix_code_count", P_SQL)
+def prefix_code_count(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+
+
+@query("suffix_code_count", S_SQL)
+def suffix_code_count(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = suffix_codes(docs)
+    return counted(quantile.assign(docs, codes), S_MATCH, Index(suffix=codes))
+
+
+def two_columns(docs: DataFrame, bits: tuple[int, int] = (8, 8)) -> tuple[DataFrame, quantile.Codes, quantile.Codes]:
+    p, s = prefix_codes(docs, bits=bits[0]), suffix_codes(docs, bits=bits[1])
+    return quantile.assign(quantile.assign(docs, p), s), p, s
+
+
+@query("infix_two_col_count", I_SQL)
+def infix_two_col_count(spark: SparkSession, d: str) -> DataFrame:
+    df, p, s = two_columns(table(spark, d, "documents"))
+    return counted(df, I_MATCH, Index(prefix=p, suffix=s))
+
+
+@query("infix_two_col_case_sensitive", E_SQL)
+def infix_two_col_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    df, p, s = two_columns(table(spark, d, "documents"))
+    return counted(df, E_MATCH, Index(prefix=p, suffix=s))
+
+
+def packed(spark: SparkSession, d: str, matches: dict[str, Match], way: str = "range", bits: tuple[int, int] = (8, 8)) -> DataFrame:
+    docs = table(spark, d, "documents")
+    p, s = prefix_codes(docs, bits=bits[0]), suffix_codes(docs, bits=bits[1])
+    return counted(quantile.pack(docs, p, s), matches, Index(prefix=p, suffix=s, packed="q16_infix"), way)
+
+
+for _name, _matches, _sql, _way, _bits in (
+    ("packed_prefix_count", P_MATCH, P_SQL, "range", (8, 8)), ("packed_prefix_shift_count", P_MATCH, P_SQL, "shift", (4, 8)), ("packed_suffix_count", S_MATCH, S_SQL, "range", (8, 8)),
+    ("packed_infix_count", I_MATCH, I_SQL, "range", (8, 8)), ("packed_infix_shift_count", I_MATCH, I_SQL, "shift", (8, 4)), ("packed_in_count", I_MATCH, I_SQL, "in", (4, 4)),
+):
+    query(_name, _sql)(lambda spark, d, m=_matches, w=_way, b=_bits: packed(spark, d, m, w, b))
+
+
+@query("wide_code_count", P_SQL)
+def wide_code_count(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs, bits=14)
+    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+
+
+@query("linear_code_count", P_SQL)
+def linear_code_count(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = quantile.boundaries(docs, "text", 8, method="linear")
+    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+
+
+#: Short strings for masks.
+def talk(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations")
+
+
+@query("bitmask_substring_count", C_SQL.format(table="conversations"))
+def bitmask_substring_count(spark: SparkSession, d: str) -> DataFrame:
+    df = talk(spark, d).withColumn("cs_id", F.monotonically_increasing_id())
+    features = bitmask.select_features(df, "text", "cs_id", 8, 2)
+    return counted(df.withColumn(features.name, features.column(F.col("text"))), C_MATCH, Index(features=features))
+
+
+#: A mask that needs no selection, for queries about masks: frequent pairs of letters. Fixed values.
+PAIRS = bitmask.Features(("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed"), 2)
+
+
+def masked(spark: SparkSession, d: str) -> DataFrame:
+    return talk(spark, d).withColumn(PAIRS.name, PAIRS.column(F.col("text")))
+
+
+SQL_MASK = " + ".join(f"(CASE WHEN contains(lower(coalesce(text, '')), '{g}') THEN {1 << i} ELSE 0 END)" for i, g in enumerate(PAIRS.grams))
+
+
+@query("bitmask_values", f"SELECT fp16_chars, count(*) AS n FROM (SELECT {SQL_MASK} AS fp16_chars FROM conversations) GROUP BY fp16_chars")
+def bitmask_values(spark: SparkSession, d: str) -> DataFrame:
+    return masked(spark, d).groupBy("fp16_chars").agg(F.count("*").alias("n"))
+
+
+@query("bitmask_popcount", f"SELECT round(avg(bit_count(m)), 6) AS mean_bits, max(bit_count(m))::BIGINT AS most_bits FROM (SELECT ({SQL_MASK})::INTEGER AS m FROM conversations)")
+def bitmask_popcount(spark: SparkSession, d: str) -> DataFrame:
+    return masked(spark, d).agg(F.round(F.avg(F.bit_count("fp16_chars")), 6).alias("mean_bits"), F.max(F.bit_count("fp16_chars")).cast("long").alias("most_bits"))
+
+
+@query("bitmask_pass_rates", f"""SELECT p AS pattern, mask::INTEGER AS mask, bit_count(mask)::BIGINT AS mask_bits, count(*) FILTER ((m & mask) = mask) AS fp_count, count(*) FILTER (contains(lower(text), p)) AS match_count,
+round((count(*) FILTER ((m & mask) = mask)) / count(*), 6) AS pass_rate, round(((count(*) FILTER ((m & mask) = mask)) - (count(*) FILTER (contains(lower(text), p)))) / count(*), 6) AS fp_rate
+FROM (SELECT text, ({SQL_MASK})::INTEGER AS m FROM conversations), {rows([(x, PAIRS.mask(x)) for x in INSIDE], 'p, mask')} GROUP BY p, mask""")
+def bitmask_pass_rates(spark: SparkSession, d: str) -> DataFrame:
+    df, masks = masked(spark, d), {x: PAIRS.mask(x) for x in INSIDE}
+    aggs = [F.count("*").alias("total")]
+    for i, (x, m) in enumerate(masks.items()):
+        aggs += [F.count_if(F.col("fp16_chars").bitwiseAND(F.lit(m)) == m).alias(f"f{i}"), F.count_if(Match("text", inside=x).exact()).alias(f"m{i}")]
+    out = F.array(*[F.struct(F.lit(x).alias("pattern"), F.lit(m).alias("mask"), F.lit(m.bit_count()).cast("long").alias("mask_bits"), F.col(f"f{i}").alias("fp_count"), F.col(f"m{i}").alias("match_count")) for i, (x, m) in enumerate(masks.items())])
+    found = df.agg(*aggs).select("total", F.inline(out))
+    return found.select("pattern", "mask", "mask_bits", "fp_count", "match_count", F.round(F.col("fp_count") / F.col("total"), 6).alias("pass_rate"), F.round((F.col("fp_count") - F.col("match_count")) / F.col("total"), 6).alias("fp_rate"))
+
+
+@query("scan_count_min", "SELECT count(*) AS match_count, min(text) AS least FROM conversations WHERE contains(lower(text), 'the')")
+def scan_count_min(spark: SparkSession, d: str) -> DataFrame:
+    return bitmask.scan(masked(spark, d), "text", "the", PAIRS)
+
+
+@query("scan_equivalence", "SELECT true AS same, count(*) AS match_count FROM conversations WHERE contains(lower(text), 'ing')")
+def scan_equivalence(spark: SparkSession, d: str) -> DataFrame:
+    one, two = bitmask.scan(masked(spark, d), "text", "ing", PAIRS), bitmask.scan(talk(spark, d), "text", "ing").select(F.col("match_count").alias("n"), F.col("least").alias("l"))
+    return one.join(two, F.lit(True)).select((F.col("match_count").eqNullSafe(F.col("n")) & F.col("least").eqNullSafe(F.col("l"))).alias("same"), "match_count")
+
+
+@query("scan_any", "SELECT bool_or(contains(lower(text), 'python')) AS python, bool_or(contains(lower(text), 'the')) AS the FROM conversations")
+def scan_any(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    return talk(spark, d).agg(F.bool_or(low.contains("python")).alias("python"), F.bool_or(low.contains("the")).alias("the"))
+
+
+@query("table_count_min_max", "SELECT count(*) AS n, min(text) AS least, max(text) AS greatest FROM documents")
+def table_count_min_max(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count("*").alias("n"), F.min("text").alias("least"), F.max("text").alias("greatest"))
+
+
+@query("keys", f"SELECT doc_id, {sql_key('text')} AS prefix_key, octet_length(encode(lower(text)))::BIGINT AS n_bytes, length(text)::BIGINT AS n FROM documents")
+def keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", K.key(F.col("text")).alias("prefix_key"), F.octet_length(F.encode(F.lower("text"), "UTF-8")).cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n"))
+
+
+@query("boundaries_rank", f"WITH {sql_codes('documents', 'text', 8)} SELECT code::INTEGER AS bucket_id, key FROM bp")
+def boundaries_rank(spark: SparkSession, d: str) -> DataFrame:
+    return quantile.boundary_table(spark, prefix_codes(table(spark, d, "documents")))
+
+
+@query("boundary_running_max", f"WITH {sql_codes('part', 'p_name', 6)} SELECT code::INTEGER AS bucket_id, max(key) OVER (ORDER BY code) AS key FROM bp")
+def boundary_running_max(spark: SparkSession, d: str) -> DataFrame:
+    return quantile.running_max(quantile.boundary_table(spark, prefix_codes(table(spark, d, "part"), "p_name", 6)))
+
+
+@query("boundary_dump", f"WITH {sql_codes('documents', 'text', 8)} SELECT code::INTEGER AS bucket_id, (('0x' || key)::UBIGINT)::VARCHAR AS boundary_u64 FROM bp")
+def boundary_dump(spark: SparkSession, d: str) -> DataFrame:
+    return boundaries_rank(spark, d).select("bucket_id", K.unsigned(F.col("key")).alias("boundary_u64"))
+
+
+@query("boundary_readable", f"WITH {sql_codes('customer', 'c_name', 4)} SELECT code::INTEGER AS bucket_id, decode(unhex(regexp_replace(key, '(00)+$', ''))) AS boundary FROM bp")
+def boundary_readable(spark: SparkSession, d: str) -> DataFrame:
+    return quantile.boundary_table(spark, prefix_codes(table(spark, d, "customer"), "c_name", 4)).select("bucket_id", K.readable(F.col("key")).alias("boundary"))
+
+
+CODED_SQL = f"WITH {sql_codes('documents', 'text', 8)}, coded AS (SELECT doc_id, {sql_code(sql_key('text'))}::INTEGER AS q8_prefix FROM documents)"
+
+
+def coded(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quantile.assign(docs, prefix_codes(docs))
+
+
+@query("code_assignment", f"{CODED_SQL} SELECT doc_id, q8_prefix FROM coded")
+def code_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return coded(spark, d).select("doc_id", "q8_prefix")
+
+
+@query("code_assignment_suffix", f"WITH {sql_codes('customer', 'c_name', 8, True, 's')} SELECT c_custkey, {sql_code(sql_key('c_name', True), 's')}::INTEGER AS q8_suffix FROM customer")
+def code_assignment_suffix(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer")
+    return quantile.assign(df, suffix_codes(df, "c_name")).select("c_custkey", "q8_suffix")
+
+
+@query("code_assignment_wide", f"WITH {sql_codes('documents', 'text', 12)} SELECT doc_id, {sql_code(sql_key('text'))}::INTEGER AS q12_prefix FROM documents")
+def code_assignment_wide(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quantile.assign(docs, prefix_codes(docs, bits=12)).select("doc_id", "q12_prefix")
+
+
+@query("code_assignment_sorted", f"WITH {sql_codes('documents', 'text', 8)} SELECT doc_id, {sql_code(sql_key('text'))}::INTEGER AS code FROM documents")
+def code_assignment_sorted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    return quantile.assign_sorted(docs, quantile.boundary_table(spark, codes).select(F.col("key").alias("k")), codes, "code").select("doc_id", "code")
+
+
+@query("bucket_stats", f"{CODED_SQL} SELECT q8_prefix AS bucket_id, count(*) AS row_count FROM coded GROUP BY 1")
+def bucket_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quantile.bucket_stats(coded(spark, d), "q8_prefix")
+
+
+@query("bucket_summary", f"{CODED_SQL} SELECT count(*) AS non_empty, max(n) AS largest, min(n) AS smallest, avg(n) AS mean_rows FROM (SELECT count(*) AS n FROM coded GROUP BY q8_prefix)")
+def bucket_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quantile.bucket_summary(coded(spark, d), "q8_prefix")
+
+
+@query("bucket_top10", f"{CODED_SQL} SELECT q8_prefix AS bucket_id, count(*) AS row_count FROM coded GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def bucket_top10(spark: SparkSession, d: str) -> DataFrame:
+    return bucket_stats(spark, d).orderBy(F.desc("row_count"), "bucket_id").limit(10)
+
+
+@query("code_of_any_match", f"{CODED_SQL} SELECT min(q8_prefix) AS code, count(DISTINCT q8_prefix) AS codes FROM coded JOIN documents USING (doc_id) WHERE starts_with(lower(text), 'the')")
+def code_of_any_match(spark: SparkSession, d: str) -> DataFrame:
+    return coded(spark, d).where(Match("text", prefix="the").exact()).agg(F.min("q8_prefix").alias("code"), F.count_distinct("q8_prefix").alias("codes"))
+
+
+@query("packed_distribution", f"WITH {sql_codes('customer', 'c_name', 4)}, {sql_codes('customer', 'c_name', 4, True, 's')} SELECT (({sql_code(sql_key('c_name'))} << 4) | {sql_code(sql_key('c_name', True), 's')})::INTEGER AS q16_infix, count(*) AS n FROM customer GROUP BY 1")
+def packed_distribution(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer")
+    return quantile.pack(df, prefix_codes(df, "c_name", 4), suffix_codes(df, "c_name", 4)).groupBy("q16_infix").agg(F.count("*").alias("n"))
+
+
+@query("radix_code_stats", f"SELECT (('0x' || substr({sql_key('text')}, 1, 8))::BIGINT >> 24)::INTEGER AS code, count(*) AS n FROM documents GROUP BY 1")
+def radix_code_stats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(K.radix_code(K.key(F.col("text")), 8).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("distinct_prefix_ngrams", "SELECT DISTINCT lower(substring(text, 1, 3)) AS ngram FROM documents WHERE length(text) >= 3")
+def distinct_prefix_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.prefixes(table(spark, d, "documents"), "text")
+
+
+@query("distinct_suffix_ngrams", "SELECT DISTINCT lower(substring(text, length(text) - 2, 3)) AS ngram FROM documents WHERE length(text) >= 3")
+def distinct_suffix_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.suffixes(table(spark, d, "documents"), "text")
+
+
+PAIR_SQL = "SELECT DISTINCT lower(substring(text, 1, 3)) AS prefix, lower(substring(text, length(text) - 2, 3)) AS suffix FROM documents WHERE length(text) >= 3"
+
+
+@query("distinct_infix_pairs", PAIR_SQL)
+def distinct_infix_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.pairs(table(spark, d, "documents"), "text")
+
+
+SUB_SQL = "SELECT DISTINCT substring(lower(text), i::BIGINT, {n}) AS ngram FROM (SELECT text, unnest(generate_series(1, length(text) - {m})) AS i FROM {table} WHERE length(text) >= {n})"
+for _n in (3, 4, 5, 6, 8, 10):
+    query(f"substrings_len_{_n}", f"SELECT ngram FROM ({SUB_SQL.format(n=_n, m=_n - 1, table='benchmark')}) WHERE regexp_full_match(ngram, '[ -~]+')")(lambda spark, d, n=_n: patterns.substrings(table(spark, d, "benchmark"), "text", n, plain=True))
+
+
+@query("safe_patterns", f"SELECT ngram FROM ({SUB_SQL.format(n=3, m=2, table='conversations')}) WHERE NOT regexp_matches(ngram, '[''\\\\%_]')")
+def safe_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.substrings(talk(spark, d), "text", 3).where(patterns.safe(F.col("ngram")))
+
+
+FREQ_SQL = "SELECT ngram AS gram, count(*) AS n_docs, count(*) / (SELECT count(*) FROM conversations) AS share FROM (SELECT DISTINCT conv_id, turn, substring(lower(text), i::BIGINT, 2) AS ngram FROM (SELECT conv_id, turn, text, unnest(generate_series(1, length(text) - 1)) AS i FROM conversations WHERE length(text) >= 2)) GROUP BY 1"
+
+
+@query("ngram_doc_frequency", f"SELECT gram, n_docs, round(share, 9) AS share FROM ({FREQ_SQL})")
+def ngram_doc_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return bitmask.document_frequency(talk(spark, d), "text", 2).withColumn("share", F.round("share", 9))
+
+
+@query("ngram_candidates", f"SELECT gram, n_docs FROM ({FREQ_SQL}) WHERE share > 0 AND share <= 0.05")
+def ngram_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return bitmask.candidates(talk(spark, d), "text", 2, 0.05).select("gram", "n_docs")
+
+
+ENTROPY_SQL = "CASE WHEN share <= 0 OR share >= 1 THEN 0 ELSE -(share * log2(share) + (1 - share) * log2(1 - share)) END"
+
+
+@query("ngram_entropy", f"SELECT gram, round({ENTROPY_SQL}, 6) AS entropy FROM ({FREQ_SQL})")
+def ngram_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return bitmask.document_frequency(talk(spark, d), "text", 2).select("gram", F.round(K.entropy(F.col("share")), 6).alias("entropy"))
+
+
+@query("feature_first_split", f"SELECT gram, round(score, 4) AS score FROM (SELECT gram, round({ENTROPY_SQL} * (SELECT count(*) FROM conversations), 9) AS score FROM ({FREQ_SQL})) ORDER BY score DESC, gram LIMIT 1")
+def feature_first_split(spark: SparkSession, d: str) -> DataFrame:
+    df = talk(spark, d).withColumn("id", F.struct("conv_id", "turn"))
+    scored = bitmask.split_scores(df.select("id", F.lit(0).alias("part")), bitmask.presence(df, "text", 2, "id"))
+    return scored.orderBy(F.desc("score"), "gram").limit(1).select("gram", F.round("score", 4).alias("score"))
+
+
+@query("feature_selection")
+def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+    df = talk(spark, d).withColumn("id", F.struct("conv_id", "turn"))
+    found = bitmask.select_features(df, "text", "id", 8, 2)
+    return spark.createDataFrame([(i, g, found.ngram) for i, g in enumerate(found.grams)], "bit int, gram string, ngram int")
+
+
+REPORT_SQL = f"""{CODED_SQL},
+g AS (SELECT lower(substring(text, 1, 3)) AS ngram, count(*) AS match_count FROM documents WHERE length(text) >= 3 GROUP BY 1),
+r AS (SELECT ngram, match_count, {sql_code(sql_key('ngram'))} AS lo, {sql_code("rpad(substr(hex(encode(ngram)), 1, 16), 16, 'F')")} AS hi FROM g),
+report AS (SELECT ngram, match_count, lo::INTEGER AS bucket_lo, hi::INTEGER AS bucket_hi, (hi - lo + 1)::INTEGER AS bucket_span, (SELECT count(*) FROM coded WHERE q8_prefix BETWEEN lo AND hi) AS rows_in_buckets FROM r)"""
+
+
+@query("prune_rate_all_prefixes", f"{REPORT_SQL} SELECT *, round(match_count / (SELECT count(*) FROM documents), 9) AS selectivity, round(1 - rows_in_buckets / (SELECT count(*) FROM documents), 9) AS prune_rate FROM report")
+def prune_rate_all_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    return metrics.prefix_report(quantile.assign(docs, codes), "text", codes)
+
+
+SPAN_CASE = "CASE WHEN bucket_span <= 1 THEN '1' WHEN bucket_span <= 5 THEN '2-5' WHEN bucket_span <= 10 THEN '6-10' WHEN bucket_span <= 20 THEN '11-20' WHEN bucket_span <= 50 THEN '21-50' ELSE '>50' END"
+
+
+@query("bucket_span_bins", f"{REPORT_SQL} SELECT {SPAN_CASE} AS span_bin, count(*) AS n, round(exp(avg(ln(match_count))), 6) AS geomean FROM report GROUP BY 1")
+def bucket_span_bins(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.with_span_bin(prune_rate_all_prefixes(spark, d)).groupBy("span_bin").agg(F.count("*").alias("n"), F.round(K.geometric_mean(F.col("match_count")), 6).alias("geomean"))
+
+
+@query("group_having_min3", f"{REPORT_SQL} SELECT bucket_span, count(*) AS n, round(avg(match_count), 6) AS mean FROM report GROUP BY 1 HAVING count(*) >= 3")
+def group_having_min3(spark: SparkSession, d: str) -> DataFrame:
+    return prune_rate_all_prefixes(spark, d).groupBy("bucket_span").agg(F.count("*").alias("n"), F.round(F.avg("match_count"), 6).alias("mean")).where("n >= 3")
+
+
+@query("zero_match_queries", f"SELECT pattern FROM ({P_SQL}) WHERE match_count > 0")
+def zero_match_queries(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_count(spark, d).where("match_count > 0").select("pattern")
+
+
+def sql_profile(conditions: list[tuple[str, str, str]], ctes: str) -> str:
+    """Profiles of (name, integer condition, exact condition)."""
+    parts = " UNION ALL ".join(f"SELECT {lit(n)} AS query, count(*) AS total_rows, count(*) FILTER ({c}) AS bucket_size, count(*) FILTER ({e}) AS actual_matches FROM coded2" for n, c, e in conditions)
+    return f"""{ctes}, x AS ({parts}) SELECT *, bucket_size - actual_matches AS false_positives, round(100 * actual_matches / total_rows, 6) AS selectivity_pct, round(100 * (1 - bucket_size / total_rows), 6) AS prune_rate_pct,
+round(CASE WHEN bucket_size > 0 THEN 100 * actual_matches / bucket_size ELSE 0 END, 6) AS bucket_efficiency_pct, round(CASE WHEN bucket_size > 0 THEN 100 * (bucket_size - actual_matches) / bucket_size ELSE 0 END, 6) AS fp_ratio_pct FROM x"""
+
+
+def sql_range(pattern: str, suffix: bool, tag: str, column: str) -> str:
+    return f"{column} BETWEEN {sql_code(lit(K.key_text(pattern, suffix, '0')), tag)} AND {sql_code(lit(K.key_text(pattern, suffix, 'F')), tag)}"
+
+
+@query("query_profile", sql_profile([(p, sql_range(p, False, "p", "q8_prefix"), f"starts_with(lower(text), {lit(p)})") for p in PREFIXES], f"{CODED_SQL}, coded2 AS (SELECT text, q8_prefix FROM coded JOIN documents USING (doc_id))"))
+def query_profile(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    return metrics.profiles(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+
+
+CUSTOMER_PAIRS = (("customer", "1"), ("cust", "00"), ("customer", "99"))
+
+
+@query("infix_profile", sql_profile([(infix_name(p, s), f"{sql_range(p, False, 'p', 'a')} AND {sql_range(s, True, 's', 'b')}", f"starts_with(lower(c_name), {lit(p)}) AND ends_with(lower(c_name), {lit(s)})") for p, s in CUSTOMER_PAIRS], f"WITH {sql_codes('customer', 'c_name', 8)}, {sql_codes('customer', 'c_name', 8, True, 's')}, coded2 AS (SELECT c_name, {sql_code(sql_key('c_name'))} AS a, {sql_code(sql_key('c_name', True), 's')} AS b FROM customer)"))
+def infix_profile(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer")
+    p, s = prefix_codes(df, "c_name"), suffix_codes(df, "c_name")
+    return metrics.profiles(quantile.assign(quantile.assign(df, p), s), {infix_name(a, b): Match("c_name", prefix=a, suffix=b) for a, b in CUSTOMER_PAIRS}, Index(prefix=p, suffix=s))
+
+
+SIX_SQL = f"""SELECT p AS prefix, s AS suffix, count(*) FILTER (starts_with(lower(text), p)) AS match_count_prefix, count(*) FILTER (ends_with(lower(text), s)) AS match_count_suffix,
+count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS match_count_infix, true AS two_col_same, true AS one_col_same FROM documents, {rows(list(INFIXES), 'p, s')} GROUP BY p, s"""
+
+
+@query("six_way_compare", SIX_SQL)
+def six_way_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Prefix, suffix and infix counts by plain scan, two columns and one packed column, all in one scan."""
+    df, p, s = two_columns(table(spark, d, "documents"))
+    df = df.withColumn("q16_infix", F.shiftleft(p.name, 8).bitwiseOR(F.col(s.name)))
+    two, one = Index(prefix=p, suffix=s), Index(prefix=p, suffix=s, packed="q16_infix")
+    aggs, out = [], []
+    for i, (a, b) in enumerate(INFIXES):
+        for j, m in enumerate((Match("text", prefix=a), Match("text", suffix=b), Match("text", prefix=a, suffix=b))):
+            aggs += [F.count_if(metrics.all_of([*conditions, m.exact()])).alias(f"c{i}_{j}_{k}") for k, conditions in enumerate(([], two.conditions(m), one.conditions(m)))]
+        same = [metrics.all_of([F.col(f"c{i}_{j}_0") == F.col(f"c{i}_{j}_{k}") for j in range(3)]) for k in (1, 2)]
+        out.append(F.struct(F.lit(a).alias("prefix"), F.lit(b).alias("suffix"), *[F.col(f"c{i}_{j}_0").alias(f"match_count_{n}") for j, n in enumerate(("prefix", "suffix", "infix"))], same[0].alias("two_col_same"), same[1].alias("one_col_same")))
+    return df.agg(*aggs).select(F.inline(F.array(*out)))
+
+
+@query("three_way_compare", f"SELECT p || '..' || s AS pattern, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS full_count, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS two_col_count, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS packed_count FROM documents, {rows(list(INFIXES), 'p, s')} GROUP BY p, s")
+def three_way_compare(spark: SparkSession, d: str) -> DataFrame:
+    df, p, s = two_columns(table(spark, d, "documents"))
+    df = df.withColumn("q16_infix", F.shiftleft(p.name, 8).bitwiseOR(F.col(s.name)))
+    aggs, out = [], []
+    for i, (name, m) in enumerate(I_MATCH.items()):
+        ways = ([], Index(prefix=p, suffix=s).conditions(m), packed_conditions("q16_infix", p, s, m, "shift"))
+        aggs += [F.count_if(metrics.all_of([*c, m.exact()])).alias(f"c{i}_{k}") for k, c in enumerate(ways)]
+        out.append(F.struct(F.lit(name).alias("pattern"), *[F.col(f"c{i}_{k}").alias(n) for k, n in enumerate(("full_count", "two_col_count", "packed_count"))]))
+    return df.agg(*aggs).select(F.inline(F.array(*out)))
+
+
+@query("accelerated_rows", "SELECT doc_id FROM documents WHERE starts_with(lower(text), 'the') AND ends_with(lower(text), '.')")
+def accelerated_rows(spark: SparkSession, d: str) -> DataFrame:
+    df, p, s = two_columns(table(spark, d, "documents"))
+    return accelerate(df, Match("text", prefix="the", suffix="."), Index(prefix=p, suffix=s)).select("doc_id")
+
+
+def sql_shuffled(columns: list[str], seed: int = 42) -> str:
+    return f"md5({' || ''|'' || '.join(columns)} || '|{seed}')"
+
+
+@query("sampled_prefixes", f"SELECT ngram FROM ({SQL['distinct_prefix_ngrams']}) ORDER BY {sql_shuffled(['ngram'])}, ngram LIMIT 50")
+def sampled_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.take(distinct_prefix_ngrams(spark, d), 50, "ngram")
+
+
+@query("sampled_rows", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id LIMIT 200")
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.take(table(spark, d, "documents").select("doc_id"), 200, "doc_id")
+
+
+@query("pair_cross_count", f"SELECT count(DISTINCT prefix) AS n_prefixes, count(DISTINCT suffix) AS n_suffixes, count(DISTINCT prefix) * count(DISTINCT suffix) AS n_pairs FROM ({PAIR_SQL})")
+def pair_cross_count(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.pair_count(distinct_prefix_ngrams(spark, d), distinct_suffix_ngrams(spark, d))
+
+
+@query("random_pairs")
+def random_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.random_pairs(distinct_prefix_ngrams(spark, d), distinct_suffix_ngrams(spark, d), 500)
+
+
+BIN_ORDER = [label for _, label in patterns.SPAN_BINS]
+ALLOC_SQL = f"""{REPORT_SQL}, s AS (SELECT {SPAN_CASE} AS span_bin, count(*) AS size FROM report GROUP BY 1),
+f AS (SELECT *, greatest(least(size, 5, 60 - coalesce(sum(least(size, 5)) OVER (ORDER BY list_position({BIN_ORDER}, span_bin) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS first FROM s),
+a AS (SELECT span_bin, size, least(size, first + greatest(((60 - sum(first) OVER ()) * size) // sum(size) OVER (), 0))::BIGINT AS allocated FROM f)"""
+
+
+@query("stratified_allocation", f"{ALLOC_SQL} SELECT * FROM a")
+def stratified_allocation(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.allocation(metrics.with_span_bin(prune_rate_all_prefixes(spark, d)), "span_bin", 60, 5, BIN_ORDER)
+
+
+@query("stratified_sample", f"{ALLOC_SQL} SELECT ngram, span_bin FROM (SELECT ngram, span_bin, allocated, row_number() OVER (PARTITION BY span_bin ORDER BY {sql_shuffled(['ngram'])}, ngram) AS r FROM (SELECT ngram, {SPAN_CASE} AS span_bin FROM report) JOIN a USING (span_bin)) WHERE r <= allocated")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    report = metrics.with_span_bin(prune_rate_all_prefixes(spark, d))
+    return patterns.stratified(report, "span_bin", 60, 5, BIN_ORDER, "ngram").select("ngram", "span_bin")
+
+
+SEGMENT = 100
+ORDERED_SQL = f"{CODED_SQL}, z AS (SELECT doc_id // {SEGMENT} AS segment, min(q8_prefix) AS low, max(q8_prefix) AS high FROM coded GROUP BY 1)"
+
+
+@query("segment_pruning_sim", f"{ORDERED_SQL} " + " UNION ALL ".join(f"SELECT count(*) AS segments, {lit(p)} AS query, count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))}) AS skipped, round(100 * (count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))})) / count(*), 6) AS skipped_pct FROM z" for p in PREFIXES))
+def segment_pruning_sim(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    return metrics.segment_pruning(quantile.assign(docs, codes), "doc_id", codes.name, {p: codes.range(p) for p in PREFIXES}, SEGMENT)
+
+
+@query("segment_pruning_sorted", f"{CODED_SQL}, o AS (SELECT q8_prefix, row_number() OVER (ORDER BY q8_prefix, doc_id) - 1 AS i FROM coded), z AS (SELECT i // {SEGMENT} AS segment, min(q8_prefix) AS low, max(q8_prefix) AS high FROM o GROUP BY 1) " + " UNION ALL ".join(f"SELECT count(*) AS segments, {lit(p)} AS query, count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))}) AS skipped FROM z" for p in PREFIXES))
+def segment_pruning_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The same with rows clustered by code: a row's number is the rows with smaller codes and its place among its code's."""
+    docs = table(spark, d, "documents")
+    codes = prefix_codes(docs)
+    own = quantile.assign(docs, codes)
+    sizes = own.groupBy(codes.name).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(codes.name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(codes.name, "before")  # one row for each code
+    numbered = own.join(F.broadcast(before), codes.name).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy(codes.name).orderBy("doc_id")) - 1)
+    return metrics.segment_pruning(numbered, "i", codes.name, {p: codes.range(p) for p in PREFIXES}, SEGMENT).drop("skipped_pct")
+
+
+# Summaries of measurements, over tables of numbers.
+
+
+@query("geomean_by_group", "SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geomean, count(*) AS n FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1")
+def geomean_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_extendedprice > 0").groupBy("l_returnflag").agg(F.round(K.geometric_mean(F.col("l_extendedprice")), 4).alias("geomean"), F.count("*").alias("n"))
+
+
+@query("percentile_summary", "SELECT l_shipmode_group, round(q[1], 4) AS p10, round(q[2], 4) AS p25, round(q[3], 4) AS p50, round(q[4], 4) AS p75, round(q[5], 4) AS p90, round(q[4] - q[2], 4) AS iqr FROM (SELECT l_linestatus AS l_shipmode_group, quantile_cont(l_quantity, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM lineitem GROUP BY 1)")
+def percentile_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("l_shipmode_group")).agg(stats.quartiles(F.col("l_quantity")).alias("q"))
+    return found.select("l_shipmode_group", *[F.round(F.get("q", i), 4).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))], F.round(F.get("q", 3) - F.get("q", 1), 4).alias("iqr"))
+
+
+@query("box_plot_quartiles", "SELECT o_orderpriority, [round(x, 4) for x in quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1])]::VARCHAR AS box FROM orders GROUP BY 1")
+def box_plot_quartiles(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "orders").groupBy("o_orderpriority").agg(stats.quartiles(F.col("o_totalprice"), (0.0, 0.25, 0.5, 0.75, 1.0)).alias("q"))
+    return found.select("o_orderpriority", F.concat(F.lit("["), F.array_join(F.transform("q", lambda x: F.round(x, 4).cast("string")), ", "), F.lit("]")).alias("box"))
+
+
+SUMMARY = ("n", "mean", "median", "least", "greatest", "geomean")
+
+
+@query("summary_by_length", "SELECT length(p_name)::BIGINT AS pattern_length, count(*) AS n, round(avg(p_retailprice), 4) AS mean, round(median(p_retailprice), 4) AS median, round(min(p_retailprice), 4) AS least, round(max(p_retailprice), 4) AS greatest, round(exp(avg(ln(p_retailprice))), 4) AS geomean FROM part GROUP BY 1")
+def summary_by_length(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.summary(table(spark, d, "part").withColumn("pattern_length", F.length("p_name").cast("long")), "p_retailprice", "pattern_length")
+    return found.select("pattern_length", "n", *[F.round(c, 4).alias(c) for c in SUMMARY[1:]])
+
+
+ZONES = "CASE WHEN l_quantity > 40 THEN 'high' WHEN l_quantity BETWEEN 15 AND 30 THEN 'middle' WHEN l_quantity BETWEEN 2 AND 8 THEN 'low' END"
+
+
+@query("zone_means", f"SELECT {ZONES} AS zone, count(*) AS n, round(avg(l_discount), 6) AS mean_discount FROM lineitem WHERE {ZONES} IS NOT NULL GROUP BY 1")
+def zone_means(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("l_quantity")
+    zone = F.when(q > 40, "high").when(q.between(15, 30), "middle").when(q.between(2, 8), "low")
+    return table(spark, d, "lineitem").withColumn("zone", zone).where("zone is not null").groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+
+
+@query("conditional_median_ratio", "SELECT o_orderpriority, round(a, 4) AS one, round(b, 4) AS two, round(a / b, 6) AS ratio FROM (SELECT o_orderpriority, median(o_totalprice) FILTER (o_orderstatus = 'O') AS a, median(o_totalprice) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+def conditional_median_ratio(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.median_ratio(table(spark, d, "orders"), "o_orderstatus", "O", "F", "o_totalprice", "o_orderpriority")
+    return found.select("o_orderpriority", F.round("one", 4).alias("one"), F.round("two", 4).alias("two"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("pivot_mean", "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS f, round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6) AS o FROM lineitem GROUP BY 1")
+def pivot_mean(spark: SparkSession, d: str) -> DataFrame:
+    wide = table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).avg("l_quantity")
+    return wide.select("l_returnflag", F.round("F", 6).alias("f"), F.round("O", 6).alias("o"))
+
+
+@query("constant_and_mean", "SELECT p_brand, min(p_type) AS first_type, round(avg(p_size), 6) AS mean_size FROM part GROUP BY 1")
+def constant_and_mean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_type").alias("first_type"), F.round(F.avg("p_size"), 6).alias("mean_size"))
+
+
+ORDERED = ["5-LOW", "1-URGENT", "9-NONE", "3-MEDIUM"]
+
+
+@query("left_align_order", f"SELECT place, o_orderpriority, n FROM {rows([(i, x) for i, x in enumerate(ORDERED)], 'place, o_orderpriority')} LEFT JOIN (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) USING (o_orderpriority)")
+def left_align_order(spark: SparkSession, d: str) -> DataFrame:
+    order = spark.createDataFrame(list(enumerate(ORDERED)), "place int, o_orderpriority string")
+    return stats.aligned(order, table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "o_orderpriority", "place")
+
+
+def sql_bins(x: str, edges: list[float], right: bool, closed: bool = False) -> str:
+    parts = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        parts.append(f"WHEN {x} > {a!r} AND {x} <= {b!r} THEN {i}" if right else f"WHEN {x} >= {a!r} AND {x} {'<=' if closed and i == len(edges) - 2 else '<'} {b!r} THEN {i}")
+    return f"CASE {' '.join(parts)} END"
+
+
+SHARES = [0.0, 0.0001, 0.001, 0.01, 0.1, 1.0]
+RIGHT_LABELS, LEFT_EDGES = ["<0.01%", "0.01-0.1%", "0.1-1%", "1-10%", "10-100%"], [0.0, 1e-06, 1e-05, 0.0001, 0.001, 0.01]
+SELECTIVITY_SQL = "SELECT l_extendedprice / 1000000 AS x, l_quantity AS y FROM lineitem"
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000000).alias("x"), F.col("l_quantity").alias("y"))
+
+
+@query("selectivity_bins_right_closed", f"SELECT {RIGHT_LABELS}[1 + {sql_bins('x', SHARES, True)}] AS label, count(*) AS n, round(avg(y), 6) AS mean FROM ({SELECTIVITY_SQL}) WHERE {sql_bins('x', SHARES, True)} IS NOT NULL GROUP BY 1")
+def selectivity_bins_right_closed(spark: SparkSession, d: str) -> DataFrame:
+    labelled = shares(spark, d).withColumn("label", stats.labelled_bins(F.col("x"), SHARES, RIGHT_LABELS, True)).where("label is not null")
+    return labelled.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean"))
+
+
+@query("selectivity_bins_left_closed", f"SELECT {sql_bins('x', LEFT_EDGES, False)} AS bin, count(*) AS n, round(avg(y), 6) AS mean FROM (SELECT x / 10 AS x, y FROM ({SELECTIVITY_SQL})) WHERE {sql_bins('x', LEFT_EDGES, False)} IS NOT NULL GROUP BY 1")
+def selectivity_bins_left_closed(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.binned_mean(shares(spark, d).withColumn("x", F.col("x") / 10), "x", "y", LEFT_EDGES, False)
+    return found.select("bin", "n", F.round("mean", 6).alias("mean"))
+
+
+PRICE_LOG, PRICE_LINEAR = [round(x, 6) for x in stats.edges_log(1000, 100000, 20)], stats.edges_linear(0.0, 50.0, 20)
+
+
+def sql_binned(edges: list[float], right: bool, least: int, x: str, source: str, geometric: bool = False) -> str:
+    centres = [repr((a * b) ** 0.5 if geometric else (a + b) / 2) for a, b in zip(edges, edges[1:], strict=False)]
+    return f"SELECT bin, count(*) AS n, round(avg(y), 6) AS mean, round([{', '.join(centres)}][bin + 1]::DOUBLE, 6) AS centre FROM (SELECT {sql_bins(x, edges, right)} AS bin, l_quantity AS y FROM {source}) WHERE bin IS NOT NULL GROUP BY bin HAVING count(*) >= {least}"
+
+
+def binned(spark: SparkSession, d: str, x: str, edges: list[float], right: bool, least: int, geometric: bool = False) -> DataFrame:
+    found = stats.binned_mean(table(spark, d, "lineitem").select(x, F.col("l_quantity").alias("y")), x, "y", edges, right, least, geometric)
+    return found.select("bin", "n", F.round("mean", 6).alias("mean"), F.round("centre", 6).alias("centre"))
+
+
+for _name, _x, _edges, _right, _least, _geometric in (
+    ("log_binned_average", "l_extendedprice", PRICE_LOG, True, 1, False), ("log_binned_average_left", "l_extendedprice", PRICE_LOG, False, 1, False), ("log_binned_min3", "l_extendedprice", PRICE_LOG, False, 3, True),
+    ("linear_binned_average", "l_quantity", PRICE_LINEAR, True, 1, False), ("linear_binned_average_left", "l_quantity", PRICE_LINEAR, False, 1, False),
+):
+    query(_name, sql_binned(_edges, _right, _least, _x, "lineitem", _geometric))(lambda spark, d, x=_x, e=_edges, r=_right, n=_least, g=_geometric: binned(spark, d, x, e, r, n, g))
+
+HIST = stats.edges_linear(1.0, 50.0, 51)
+
+
+@query("linear_histogram", f"SELECT i::INTEGER AS bin, coalesce(n, 0) AS n FROM range(50) t(i) LEFT JOIN (SELECT {sql_bins('l_quantity', HIST, False, True)} AS bin, count(*) AS n FROM lineitem GROUP BY 1) ON bin = i")
+def linear_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(table(spark, d, "lineitem"), "l_quantity", HIST)
+
+
+@query("display_format", "SELECT l_returnflag, printf('%.2fx', avg(l_quantity)) AS shown FROM lineitem GROUP BY 1")
+def display_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.format_string("%.2fx", F.avg("l_quantity")).alias("shown"))
+
+
+@query("length_guards", "SELECT count(*) FILTER (length(text) >= 300) AS long_texts, count(*) FILTER (length(lower(substring(text, 1, 3))) = 3) AS three, count(*) FILTER (text IS NOT NULL) AS present, count(DISTINCT lang) AS langs FROM documents")
+def length_guards(spark: SparkSession, d: str) -> DataFrame:
+    low = F.length(F.lower(F.substring("text", 1, 3)))
+    return table(spark, d, "documents").agg(F.count_if(F.length("text") >= 300).alias("long_texts"), F.count_if(low == 3).alias("three"), F.count_if(F.col("text").isNotNull()).alias("present"), F.count_distinct("lang").alias("langs"))
+
+
+@query("value_range", "SELECT min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_linenumber) AS lines FROM lineitem")
+def value_range(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.count_distinct("l_linenumber").alias("lines"))
+
+
+@query("union_distinct", "SELECT p_brand AS v FROM part UNION SELECT p_type FROM part")
+def union_distinct(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.select(F.col("p_brand").alias("v")).unionByName(part.select(F.col("p_type").alias("v"))).distinct()
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
