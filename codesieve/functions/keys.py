@@ -34,7 +34,7 @@ def unsigned(key_hex: Column) -> Column:
 
 def readable(key_hex: Column, suffix: bool = False) -> Column:
     """The characters of a key, without its filling; a character that the key cuts becomes U+FFFD."""
-    text = F.decode(F.unhex(F.regexp_replace(key_hex, "(00)+$", "")), "UTF-8")
+    text = F.make_valid_utf8(F.unhex(F.regexp_replace(key_hex, "(00)+$", "")).cast("string"))
     return F.reverse(text) if suffix else text
 
 
