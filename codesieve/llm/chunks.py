@@ -17,10 +17,10 @@ from codesieve.llm.common import flat, ranges
 
 
 class ChunkEncoder:
-    """encode_many: ids of each of a list of texts, independent of each other. most: chunks remembered, in two generations."""
+    """encode_many: ids of each of a list of texts, independent of each other; encode_chunks: the same for chunks without white space at either end but for one space before. most: chunks remembered, in two generations."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 200_000, special: str | None = None):
-        self.encode_many, self.most, self.special = encode_many, most, special
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], most: int = 200_000, encode_chunks: Callable[[list[str]], list] | None = None):
+        self.encode_many, self.most, self.encode_chunks = encode_many, most, encode_chunks or encode_many
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -31,7 +31,7 @@ class ChunkEncoder:
         young, old = self.young, self.old
         out = [young.get(x) or old.get(x) for x in chunks]
         if missing := [i for i, x in enumerate(out) if x is None]:
-            for i, ids in zip(missing, self.encode_many([chunks[i] for i in missing]), strict=True):
+            for i, ids in zip(missing, self.encode_chunks([chunks[i] for i in missing]), strict=True):
                 out[i] = np.asarray(ids, "<u4").tobytes()
         young.update(zip(chunks, out, strict=True))
         return out
@@ -49,8 +49,6 @@ class ChunkEncoder:
         rows = np.repeat(np.arange(n), np.diff(starts))
         whole = np.zeros(n, bool)
         whole[rows[odd[codes]]] = True
-        if self.special:
-            whole |= pc.match_substring(texts, self.special).to_numpy(zero_copy_only=False)
         # A text's first chunk has no space before it: it is looked up under a name of its own, after the others.
         first = np.zeros(len(codes), bool)
         first[starts[:-1][np.diff(starts) > 0]] = True

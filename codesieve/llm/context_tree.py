@@ -212,12 +212,14 @@ def mixed_scores(symbol_cost: np.ndarray, counts: np.ndarray, train: int, codes:
     run = np.flatnonzero(fresh)
     before = np.empty(len(tokens))
     before[order] = np.arange(len(tokens)) - np.repeat(run, np.diff(np.append(run, len(tokens))))
-    own = before / np.maximum(place, 1)
-    plain = 10.0**symbol_cost
-    ways = [np.log10((1 - share) * static[tokens] + share * own) for static in (plain, 0.5 * plain + 0.5 * counts / max(train, 1)) for share in OWN_SHARES]
+    # In logarithms, as a long unknown word's probability is below any float.
+    with np.errstate(divide="ignore"):
+        own, known = np.log(before / np.maximum(place, 1)), np.log(0.5 * counts / max(train, 1))
+    plain = symbol_cost * np.log(10)
+    ways = [static[tokens] if not share else np.logaddexp(np.log1p(-share) + static[tokens], np.log(share) + own) for static in (plain, np.logaddexp(np.log(0.5) + plain, known)) for share in OWN_SHARES]
     totals = np.array([row_sums(x, starts) for x in ways])
     most = totals.max(axis=0)
-    return most + np.log10((10.0 ** (totals - most)).mean(axis=0))
+    return (most + np.log(np.exp(totals - most).mean(axis=0))) / np.log(10)
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:

@@ -8,9 +8,10 @@ one-deletion neighbourhood). Which segments a set asks for, and which of them wi
 allotted by cost: empty and small subsets, which many sets share, are given up first for as many
 units as the pigeonhole bound leaves spare. What agrees on a segment is verified exactly.
 
-Members of a signature's group are held against one hub first. Shingle distance is a metric, so the
-hub's distances rule out most pairs of members without looking; pairs that are neither ruled out nor
-in one component already are verified too. No link between different texts is lost.
+Members of a signature's group are held against one hub first. Where a group then lies in one
+component, no more is to be learnt from it. The members of the others, and those alone, are paired
+by their rarest shingles, in which similar sets must meet, and verified if their components differ.
+So a group of many near copies isn't expanded into its pairs, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -45,9 +46,8 @@ class Bands:
     doubles: np.ndarray
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The most shingles in which similar sets of two sizes can differ."""
-        common = -(-self.percent * (a + b) // (100 + self.percent))
-        return a + b - 2 * common
+        """A bound, growing with the sizes, on the shingles in which similar sets can differ."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
 
     def needs(self, n: np.ndarray, band: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Units that a set of size n must ask for: among its own band's sets as large or larger, or the band below's."""
@@ -159,6 +159,23 @@ def grouped(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> list[np.ndar
     return list(lists.values())
 
 
+def rare_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components, among them all similar ones: those that share one of either's rarest shingles.
+
+    left: node, component, set. A set of n shingles has at least percent * n / 100 in common with a similar one, so the
+    n - ceil(percent * n / 100) + 1 shingles that the fewest sets have include a common one. Where so many are a
+    set's own, it is similar to none; shingles of one component only join nothing.
+    """
+    tokens = left.select("node", "component", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
+    shared = tokens.join(spread, "token").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token", (F.col("low") != F.col("high")).alias("mixed")))).alias("ts"))
+    budget = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.size("ts"))
+    rarest = shared.where(budget > 0).select("node", "component", "n", F.explode(F.slice("ts", F.lit(1), budget.cast("int"))).alias("t")).where("t.mixed").select("node", "component", "n", F.col("t.token").alias("token"))
+    one, two = rarest.alias("one"), rarest.alias("two")
+    sizes = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
+    return one.join(two, "token").where((F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component")) & sizes).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, Saved]:
     """(doc_id, node, n_shingles) of every row, and (node, component) of the distinct texts that have links; with the tables they read.
 
@@ -221,16 +238,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     spokes = saved.save(verified(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "spokes")
     links = spokes.where(linked).select("a", "b")
     found = saved.save(components(links, saved), "components")
-    # Members of one group in different components: the hub's distances rule out what is too far apart.
-    far = F.coalesce(1 - F.col("common") / F.col("united"), F.lit(0.0))
-    placed = members.join(spokes, (F.col("hub") == F.col("a")) & (members.node == F.col("b")), "left").join(found, "node", "left").select("gid", "hub", "node", far.alias("far"), F.coalesce("component", "node").alias("component"))
-    # The members that a hub is linked with lie in its component; only groups with others are looked at again.
+    # Members of one group in different components may still be linked; a group of two has been verified.
+    placed = members.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("gid")
-    left = saved.save(placed.join(mixed, "gid", "left_semi").where("node <> hub"), "left")
-    reach = (100 - percent) / 100 + 1e-9
-    one, two = left.alias("one"), left.alias("two")
-    pairs = one.join(two, "gid").where("one.node < two.node and one.component <> two.component").where(F.abs(F.col("one.far") - F.col("two.far")) <= reach).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
-    more = saved.save(verified(pairs).where(linked).select("a", "b"), "more")
+    left = saved.save(placed.join(mixed, "gid", "left_semi").select("node", "component").distinct().join(sets, "node"), "left")
+    more = saved.save(verified(rare_pairs(left, percent)).where(linked).select("a", "b"), "more")
     if more.isEmpty():
         return rows, found, saved
     return rows, saved.save(components(links.union(more), saved), "components"), saved

@@ -34,7 +34,7 @@ def test_quality_on_rated_documents(docs, labels):
     out = quality.score(docs, model)
     assert out.count() == docs.count()
     rated = out.join(labels.where("doc_id >= 0"), "doc_id").toPandas()
-    assert ((rated.tail >= 0.5) == (rated.quality == 1)).mean() > 0.95
+    assert ((rated["tail"] >= 0.5) == (rated["quality"] == 1)).mean() > 0.95
     assert out.where("isnan(tail) or tail < 0 or tail > 1").count() == 0
     kept = quality.select(docs, model)
     assert kept.columns == docs.columns and kept.count() == out.where("keep").count()
