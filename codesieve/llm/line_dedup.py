@@ -23,6 +23,11 @@ def short_hash(x: Column) -> Column:
     return F.substring(F.md5(x.cast("binary")), 1, 16)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text) and h (hashes of its non-blank lines) of each distinct document with such lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -46,7 +51,7 @@ def winnowed(g: Column, window: int) -> Column:
         last = F.least(p, F.size(least) - 1)
         return F.exists(F.slice(least, first + 1, last - first + 1), lambda m: m == F.get(g, p))
 
-    return F.get(F.transform(F.array(least), lambda x: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: chosen(p, x))), 0)
+    return let(least, lambda x: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: chosen(p, x)))
 
 
 def repeated_runs(docs: DataFrame, saved: Saved, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -67,15 +72,15 @@ def repeated_runs(docs: DataFrame, saved: Saved, gram: int = GRAM, window: int =
     low = F.greatest(F.col("shift"), F.lit(0))
     high = F.least(F.size("h"), F.size("from_h") + F.col("shift"))
     breaks = F.filter(F.sequence(low, high - 1), lambda i: F.get("h", i) != F.get("from_h", i - F.col("shift")))
-    runs = both.select("doc_id", "t", "ps", low.alias("low"), high.alias("high"), breaks.alias("breaks"))
 
-    def run(p: Column) -> Column:
-        start = F.coalesce(F.array_max(F.filter("breaks", lambda x: x < p)) + 1, F.col("low"))
-        end = F.coalesce(F.array_min(F.filter("breaks", lambda x: x > p)), F.col("high"))
+    def run(p: Column, ends: Column) -> Column:
+        # A diagonal of a fingerprint has its lines equal, so p is never a break.
+        start = F.coalesce(F.array_max(F.filter(ends, lambda x: x < p)) + 1, low)
+        end = F.coalesce(F.array_min(F.filter(ends, lambda x: x > p)), high)
         return F.sequence(start, end - 1)
 
-    # A diagonal of a fingerprint has its lines equal, so p is never a break.
-    gone = runs.select("doc_id", "t", F.array_distinct(F.flatten(F.array_distinct(F.transform("ps", run)))).alias("gone"))
+    runs = let(breaks, lambda ends: F.array_distinct(F.flatten(F.array_distinct(F.transform("ps", lambda p: run(p, ends))))))
+    gone = both.select("doc_id", "t", runs.alias("gone"))
     return gone.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
@@ -90,13 +95,15 @@ def rewrite(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")) & (F.md5(text.cast("binary")) == F.col("cs_t")), "left")
     lines = F.split(text, "\n")
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-    deleted = F.transform("cs_gone", lambda i: F.get(F.col("cs_places"), i))
-    kept = F.array_join(F.filter(F.col("cs_all"), lambda x, i: ~F.array_contains(F.col("cs_deleted"), i)), "\n")
-    cut = joined.withColumn("cs_all", F.when(F.col("cs_gone").isNotNull(), lines)).withColumn("cs_places", F.when(F.col("cs_gone").isNotNull(), places)).withColumn("cs_deleted", deleted)
+
+    def cut(every: Column, places: Column) -> Column:
+        deleted = F.transform("cs_gone", lambda i: F.get(places, i))
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), deleted), lambda i: F.get(every, i)), "\n")
+
+    kept = let(lines, lambda every: let(F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: F.trim(F.get(every, i)) != ""), lambda places: cut(every, places)))
     counted = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
     columns = [F.when(F.col("cs_gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return cut.select(*columns, counted.alias("cs_lines"), F.coalesce(F.size("cs_gone"), F.lit(0)).cast("long").alias("cs_removed"))
+    return joined.select(*columns, counted.alias("cs_lines"), F.coalesce(F.size("cs_gone"), F.lit(0)).cast("long").alias("cs_removed"))
 
 
 def counts(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
