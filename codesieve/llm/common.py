@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -127,7 +129,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a session that names none, as in tests, gets a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codesieve"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own:
+            own = tempfile.mkdtemp(prefix="codesieve")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 

@@ -27,8 +27,8 @@ from codesieve.llm.induced_sort import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the k-grams among which minimizers are chosen.
 LENGTH, GRAM = 50, 24
-#: Blocks of texts for each shuffle partition, and bytes that a block works on at a time.
-BLOCKS, SLICE = 2, 4 << 20
+#: Blocks of texts and shards of segments for each shuffle partition, and bytes that a block works on at a time.
+BLOCKS, SHARDS, SLICE = 2, 4, 4 << 20
 #: The place of documents without an id: after all others, none of them before another.
 NO_ID = np.iinfo(np.int64).max
 
@@ -66,20 +66,20 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of bytes: each segment's row, place of its first string, number of strings, and minimizer hash."""
+def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of rows of bytes: each segment's row, place of its first string, number of strings, minimizer hash, and the minimizer's place in it."""
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     hashes = gram_hashes(data, gram)
     least = window_minima(hashes, length - gram + 1)
     counts = np.maximum(np.diff(starts) - length + 1, 0)
     place, row = ranges(starts[:-1], counts), np.repeat(np.arange(len(counts)), counts)
     if not len(place):
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     chosen = least[place]
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])))
-    return row[first], place[first], np.diff(np.append(first, len(place))), hashes[chosen[first]]
+    return row[first], place[first], np.diff(np.append(first, len(place))), hashes[chosen[first]], chosen[first] - place[first]
 
 
 class Block:
@@ -94,10 +94,10 @@ class Block:
         found, begin = [], 0
         while begin < len(first):
             end = max(begin + 1, int(np.searchsorted(self.starts, self.starts[begin] + SLICE, side="right")) - 1)
-            row, place, count, value = segments(self.data[self.starts[begin] : self.starts[end]], self.starts[begin : end + 1] - self.starts[begin], length, gram)
-            found.append((row + begin, place + self.starts[begin], count, value))
+            row, place, count, value, within = segments(self.data[self.starts[begin] : self.starts[end]], self.starts[begin : end + 1] - self.starts[begin], length, gram)
+            found.append((row + begin, place + self.starts[begin], count, value, within))
             begin = end
-        self.row, self.place, self.count, self.value = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4))
+        self.row, self.place, self.count, self.value, self.within = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(5))
         self.value = self.value.astype(np.uint64)
 
     def anchors(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +112,8 @@ class Block:
         by = np.argsort(part, kind="stable")
         return value[by], part[by], several[by]
 
-    def candidates(self, anchors: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Segments whose minimizer repeats: their numbers; the distinct byte strings among them, each one's smallest document and minimizer, and each segment's string number."""
+    def candidates(self, anchors: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments whose minimizer repeats: their numbers; the distinct byte strings among them, each one's smallest document, minimizer and its place, and each segment's string number."""
         repeated = np.sort(anchors[flags])
         at = np.minimum(np.searchsorted(repeated, self.value), max(len(repeated) - 1, 0))
         chosen = np.flatnonzero(repeated[at] == self.value) if len(repeated) else np.zeros(0, np.int64)
@@ -123,13 +123,35 @@ class Block:
         docs, values = np.full(len(number), NO_ID, np.int64), np.zeros(len(number), np.uint64)
         np.minimum.at(docs, own, self.docs[self.row[chosen]])
         values[own] = self.value[chosen]
-        return chosen, list(number), docs, values, own
+        within = np.zeros(len(number), np.uint8)
+        within[own] = self.within[chosen]  # below 64
+        return chosen, list(number), docs, values, within, own
 
 
 def shard_of(values: np.ndarray, parts: int) -> np.ndarray:
     return (mix(values + np.uint64(7)) % np.uint64(parts)).astype(np.int64)
 
 
+def may_share(pieces: list[bytes], values: np.ndarray, within: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The distinct pieces that may share a string with another one: those that agree with one in the minimizer and in half of what a string has besides, before it or behind it.
+
+    A piece whose minimizer no other piece has needs no sorting: equal pieces are one here.
+    """
+    half = -(-(length - gram) // 2)
+    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    seen: dict[tuple, int] = {}
+    sides = []
+    for i in np.flatnonzero(counts[inverse] > 1).tolist():
+        piece, value, at = pieces[i], int(values[i]), int(within[i])
+        before = (value, 0, piece[at - half : at]) if at >= half else None
+        behind = (value, 1, piece[at + gram : at + gram + half]) if at + gram + half <= len(piece) else None
+        for x in (before, behind):
+            if x:
+                seen[x] = seen.get(x, 0) + 1
+        sides.append((i, before, behind))
+    return np.array([i for i, before, behind in sides if (before and seen[before] > 1) or (behind and seen[behind] > 1)], np.int64)
+
+
 def later_strings(pieces: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     """For each piece, a bit for each string in it that a piece of a smaller document has too."""
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -186,6 +208,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
     """
     spark = docs.sparkSession
     parts = partitions(spark)
+    shards = SHARDS * parts
     if length - gram >= 64 or not 0 < gram <= length:
         raise ValueError("a gram is shorter than a string, by less than 64")
     blocks = texts(docs, BLOCKS * parts)
@@ -219,13 +242,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
 
     def send_segments(table: pa.Table, found: pa.Table) -> pa.Table:
         own, value, bits = flagged(table, found)
-        _, pieces, least, values, _ = own.candidates(value, bits, length)
-        shard = shard_of(values, parts)
+        _, pieces, least, values, within, _ = own.candidates(value, bits, length)
+        shard = shard_of(values, shards)
         rows = [(s, np.flatnonzero(shard == s)) for s in np.unique(shard)]
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({
             "shard": pa.array([s for s, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "flags": pa.array([blob(np.packbits(bits)) if not i else b"" for i in range(len(rows))], pa.binary()),
             "bytes": pa.array([b"".join(pieces[i] for i in x) for _, x in rows], pa.binary()), "lengths": pa.array([blob(np.array([len(pieces[i]) for i in x], "<u2")) for _, x in rows], pa.binary()), "docs": pa.array([blob(least[x].astype("<i8")) for _, x in rows], pa.binary()),
+            "values": pa.array([blob(values[x]) for _, x in rows], pa.binary()), "within": pa.array([blob(within[x]) for _, x in rows], pa.binary()),
         })
 
     def sort_shard(table: pa.Table) -> pa.Table:
@@ -237,15 +261,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
             ids.append(np.frombuffer(docs_, "<i8"))
         least = np.full(len(number), NO_ID, np.int64)
         np.minimum.at(least, np.concatenate(own), np.concatenate(ids))
-        pieces = list(number)
-        masks = later_strings(pieces, least, length)
+        pieces, every = list(number), np.concatenate(own)
+        values, within = np.zeros(len(pieces), np.uint64), np.zeros(len(pieces), np.int64)
+        values[every] = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("values").to_pylist()])
+        within[every] = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("within").to_pylist()])
+        doubtful = may_share(pieces, values, within, length, gram)
+        masks = np.zeros(len(pieces), np.uint64)
+        masks[doubtful] = later_strings([pieces[i] for i in doubtful], least[doubtful], length)
         # A block's piece that another block has in a smaller document is removed whole.
         whole = np.array([(1 << (len(x) - length + 1)) - 1 for x in pieces], np.uint64)
         answers = [np.where(i > least[o], whole[o], masks[o]) for o, i in zip(own, ids, strict=True)]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": table.column("flags"), "masks": pa.array([blob(x.astype("<u8")) for x in answers], pa.binary())})
 
-    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send_segments, "shard int, block int, flags binary, bytes binary, lengths binary, docs binary")
-    answers = sent.groupBy("shard").applyInArrow(sort_shard, "block int, shard int, flags binary, masks binary")
+    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send_segments, "shard int, block int, flags binary, bytes binary, lengths binary, docs binary, values binary, within binary")
+    # A shard's bytes are few for the work that it is: they are dealt to all partitions, which Spark would else join by size.
+    answers = sent.repartition(parts, "shard").groupBy("shard").applyInArrow(sort_shard, "block int, shard int, flags binary, masks binary")
     schema = "node long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -256,8 +286,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
             value, _, _ = own.anchors(parts)
             packed = next(x for x in found.column("flags").to_pylist() if x)
             bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(value)).astype(bool)
-            chosen, pieces, least, values, string = own.candidates(value, bits, length)
-            by = np.argsort(shard_of(values, parts), kind="stable")
+            chosen, pieces, least, values, _, string = own.candidates(value, bits, length)
+            by = np.argsort(shard_of(values, shards), kind="stable")
             masks = np.zeros(len(pieces), np.uint64)
             masks[by] = np.concatenate([np.frombuffer(x, "<u8") for x in found.column("masks").to_pylist()])
             count = own.count[chosen]
