@@ -6,6 +6,7 @@ one in common. Each fingerprint is joined to its first place in the corpus, the
 both ways line by line, and the later run is deleted. Documents with fewer than GRAM lines have one
 fingerprint, all their lines.
 
+None of the tables joined has a bound on its size, so all are joined by sorting and none is broadcast.
 Earlier means smaller (doc_id, text hash, line); null doc_ids come last. Rows with one doc_id and one text are one document.
 """
 
@@ -62,13 +63,13 @@ def repeated_runs(docs: DataFrame, saved: Saved, gram: int = GRAM, window: int =
     prints = saved.save(prints, "prints")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "p")
     first = prints.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
-    anchors = prints.join(first, "g").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("p") == F.col("first.p"))))
+    anchors = prints.join(first.hint("merge"), "g").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("p") == F.col("first.p"))))
     # One row for each diagonal of a document and an earlier one.
     diagonals = anchors.select("doc_id", "t", "p", F.col("first.doc_id").alias("from_id"), F.col("first.t").alias("from_t"), (F.col("p") - F.col("first.p")).alias("shift")).groupBy("doc_id", "t", "from_id", "from_t", "shift").agg(F.collect_set("p").alias("ps"))
     own = table.select("doc_id", "t", "h")
     source = table.select(F.col("doc_id").alias("from_id"), F.col("t").alias("from_t"), F.col("h").alias("from_h"))
-    sides = diagonals.join(own, diagonals.doc_id.eqNullSafe(own.doc_id) & (diagonals.t == own.t)).select(diagonals.doc_id, diagonals.t, "from_id", "from_t", "shift", "ps", "h")
-    both = sides.join(source, sides.from_id.eqNullSafe(source.from_id) & (sides.from_t == source.from_t)).select("doc_id", "t", "shift", "ps", "h", "from_h")
+    sides = diagonals.join(own.hint("merge"), diagonals.doc_id.eqNullSafe(own.doc_id) & (diagonals.t == own.t)).select(diagonals.doc_id, diagonals.t, "from_id", "from_t", "shift", "ps", "h")
+    both = sides.join(source.hint("merge"), sides.from_id.eqNullSafe(source.from_id) & (sides.from_t == source.from_t)).select("doc_id", "t", "shift", "ps", "h", "from_h")
     low = F.greatest(F.col("shift"), F.lit(0))
     high = F.least(F.size("h"), F.size("from_h") + F.col("shift"))
     breaks = F.filter(F.sequence(low, high - 1), lambda i: F.get("h", i) != F.get("from_h", i - F.col("shift")))
@@ -93,7 +94,7 @@ def rewrite(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFram
     saved = Saved(docs.sparkSession)
     gone = saved.save(repeated_runs(docs, saved, gram, window), "gone").select(F.col("doc_id").alias("cs_id"), F.col("t").alias("cs_t"), F.col("gone").alias("cs_gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")) & (F.md5(text.cast("binary")) == F.col("cs_t")), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")) & (F.md5(text.cast("binary")) == F.col("cs_t")), "left")
     lines = F.split(text, "\n")
 
     def cut(every: Column, places: Column) -> Column:
