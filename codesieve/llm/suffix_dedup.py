@@ -325,7 +325,7 @@ def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     # A copy with a larger id than the one that was judged loses everything, if it has a string at all.
     copy = F.coalesce("doc_id", F.lit(NO_ID)) > F.col("doc")
     gone = copy & (F.col("n_bytes") >= length)
-    return rows.join(found, "node").select(
+    return rows.join(found.hint("merge"), "node").select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256")
     )
 
@@ -333,7 +333,7 @@ def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `text` less the repeated bytes and characters that lost some of theirs, without the rows that lost all; other columns as they are."""
     found = dedup(docs, length, gram).select(F.col("node").alias("cs_node"), F.col("doc").alias("cs_doc"), F.col("n_bytes").alias("cs_bytes"), F.col("n_removed").alias("cs_removed"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("cs_text"))
-    joined = docs.withColumn("cs_own", node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found, F.col("cs_own") == F.col("cs_node"))
+    joined = docs.withColumn("cs_own", node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found.hint("merge"), F.col("cs_own") == F.col("cs_node"))
     copy = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) > F.col("cs_doc")) & (F.col("cs_bytes") >= length)
     left = joined.where(~copy & ((F.col("cs_removed") == 0) | (F.col("cs_text") != "")))
     return left.select(*[F.when(F.col("cs_removed") > 0, F.col("cs_text")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
