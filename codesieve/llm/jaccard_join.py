@@ -11,6 +11,7 @@ units as the pigeonhole bound leaves spare. What agrees on a segment is verified
 Members of a signature's group are held against one hub first. Where a group then lies in one
 component, no more is to be learnt from it. The members of the others, and those alone, are paired
 by their rarest shingles, in which similar sets must meet, and verified if their components differ.
+None of the tables joined has a bound on its size, so all are joined by sorting and none is broadcast.
 So a group of many near copies isn't expanded into its pairs, and no link between different texts is lost.
 """
 
@@ -168,12 +169,12 @@ def rare_pairs(left: DataFrame, percent: int) -> DataFrame:
     """
     tokens = left.select("node", "component", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
     spread = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
-    shared = tokens.join(spread, "token").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token", (F.col("low") != F.col("high")).alias("mixed")))).alias("ts"))
+    shared = tokens.join(spread.hint("merge"), "token").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token", (F.col("low") != F.col("high")).alias("mixed")))).alias("ts"))
     budget = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.size("ts"))
     rarest = shared.where(budget > 0).select("node", "component", "n", F.explode(F.slice("ts", F.lit(1), budget.cast("int"))).alias("t")).where("t.mixed").select("node", "component", "n", F.col("t.token").alias("token"))
     one, two = rarest.alias("one"), rarest.alias("two")
     sizes = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    return one.join(two, "token").where((F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component")) & sizes).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+    return one.join(two.hint("merge"), "token").where((F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component")) & sizes).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, Saved]:
@@ -226,11 +227,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
             for part in sliced(batch):
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in shingles(part.column("text"), width)], pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = saved.save(numbered.join(needed, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(make_sets, "node long, set array<long>"), "sets")
+    sets = saved.save(numbered.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(make_sets, "node long, set array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """common and united of each pair (a, b)."""
-        near = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        near = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
         sized = near.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("both"))
         return sized.select("a", "b", "common", (F.col("both") - F.col("common")).alias("united"))
 
@@ -239,9 +240,9 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     links = spokes.where(linked).select("a", "b")
     found = saved.save(components(links, saved), "components")
     # Members of one group in different components may still be linked; a group of two has been verified.
-    placed = members.join(found, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(found.hint("merge"), "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("gid")
-    left = saved.save(placed.join(mixed, "gid", "left_semi").select("node", "component").distinct().join(sets, "node"), "left")
+    left = saved.save(placed.join(mixed.hint("merge"), "gid", "left_semi").select("node", "component").distinct().join(sets.hint("merge"), "node"), "left")
     more = saved.save(verified(rare_pairs(left, percent)).where(linked).select("a", "b"), "more")
     if more.isEmpty():
         return rows, found, saved
@@ -251,12 +252,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
 def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, node, n_shingles, component_id and stays (one document of each class does) of each row of docs."""
     rows, found, _ = join(docs, width, percent)
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     chosen = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node"))).alias("chosen"))
-    labels = nodes.join(chosen, "component").select("node", "chosen")
+    labels = nodes.join(chosen.hint("merge"), "component").select("node", "chosen")
     some = F.col("n_shingles") > 0
     stays = ~some | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("node") == F.col("chosen.node")))
-    return rows.join(labels, "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+    return rows.join(labels.hint("merge"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -277,5 +278,5 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = rows.select("cs_id", "cs_node", F.col("n_shingles").alias("cs_n"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     number = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    kept = docs.withColumn("cs_own", number).join(rows, (F.col("cs_own") == F.col("cs_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")))
+    kept = docs.withColumn("cs_own", number).join(rows.hint("merge"), (F.col("cs_own") == F.col("cs_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")))
     return kept.withColumn("cs_once", F.when(F.col("cs_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates(["cs_node", "cs_id", "cs_once"]).select(*[docs[c] for c in docs.columns])
