@@ -28,7 +28,7 @@ from codesieve.llm.induced_sort import suffix_array
 #: Bytes of a string that counts as repeated, and of the k-grams among which minimizers are chosen.
 LENGTH, GRAM = 50, 24
 #: Blocks of texts and shards of segments for each shuffle partition, and bytes that a block works on at a time.
-BLOCKS, SHARDS, SLICE = 2, 4, 4 << 20
+BLOCKS, SHARDS, SLICE = 2, 2, 4 << 20
 #: The place of documents without an id: after all others, none of them before another.
 NO_ID = np.iinfo(np.int64).max
 
