@@ -64,6 +64,8 @@ def repeated_runs(docs: DataFrame, saved: Saved, gram: int = GRAM, window: int =
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "p")
     first = prints.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
     anchors = prints.join(first.hint("merge"), "g").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("p") == F.col("first.p"))))
+    if gram == window == 1:
+        return anchors.groupBy("doc_id", "t").agg(F.collect_list("p").alias("gone"))
     # One row for each diagonal of a document and an earlier one.
     diagonals = anchors.select("doc_id", "t", "p", F.col("first.doc_id").alias("from_id"), F.col("first.t").alias("from_t"), (F.col("p") - F.col("first.p")).alias("shift")).groupBy("doc_id", "t", "from_id", "from_t", "shift").agg(F.collect_set("p").alias("ps"))
     own = table.select("doc_id", "t", "h")

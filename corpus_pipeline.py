@@ -27,8 +27,8 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document that has lost all its lines goes too."""
-    out = line_dedup.rewrite(docs)
+    """Every line that stands earlier in the corpus goes; a document that has lost all its lines goes too."""
+    out = line_dedup.rewrite(docs, gram=1, window=1)
     return counted(out.where("cs_removed = 0 or cs_removed < cs_lines"), docs.columns)
 
 

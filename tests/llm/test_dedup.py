@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codesieve.llm import components, induced_sort, jaccard_join, line_dedup, suffix_dedup
 from codesieve.llm.common import Saved
 
@@ -188,6 +189,30 @@ def test_lines_by_hand(spark):
     assert out.columns[:3] == df.columns and line_dedup.rewrite(df.limit(0)).count() == 0
 
 
+def brute_lines(rows):
+    """Texts by (doc_id, text) less each non-blank line that an earlier document, or the same one further up, has."""
+    seen, kept = set(), {}
+    for doc_id, text in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest())):
+        out = []
+        for line in text.split("\n"):
+            if not line.strip(" ") or line not in seen:
+                out.append(line)
+            seen.add(line)
+        kept[doc_id, text] = "\n".join(out)
+    return kept
+
+
+def test_pipeline_lines_equal_brute_force_over_all_lines(spark):
+    hot, longer = "hot one\nhot two", "w\nx\nhot one\nhot two\ny\nz"
+    texts = ["a\nlong shared line\nb", "c\nlong shared line\nd", hot, f"e\n{longer}\nf", f"g\n{longer}\nh", "long shared line", "q\n\nq"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 10, t) for i, (_, t) in enumerate(make_rows()) if t and t.strip()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    assert want[1, texts[1]] == "c\nd" and want[4, texts[4]] == "g\nh"
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert got == {(k[0], v) for k, v in want.items() if any(x.strip(" ") for x in v.split("\n"))}
+
+
 def test_native_plan(docs):
     plan = line_dedup.rewrite(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
