@@ -4,12 +4,15 @@ S[i] = sum of code[j] * B**j for j < i, modulo two primes, is computed for all p
 once. Two differences of such sums, shifted to one power, decide whether any two spans are equal, so
 binary search finds the longest common extension of two places. A fingerprint keeps the hashes of
 prefixes and suffixes at multiples of a power of two: from two fingerprints alone, binary search
-finds how far the texts agree from the front and from the back.
+finds how far the texts agree from the front and from the back. It also keeps the hashes of pieces cut
+at places that the text around them chooses, so that what two texts share between edits has the same
+pieces wherever it stands; their number grows with the length.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,10 @@ PRIMES = np.array([2147483647, 2147483629], np.uint64)
 BASES = (911382323, 972663749)
 #: A fingerprint has hashes at fewer than twice this many places, from either end.
 PLACES = 16
+#: Code points whose hash chooses cuts, and the longest piece.
+GRAM, LONGEST = 8, 255
+#: A cut has the least hash of so many places on either side: in all texts, and in those of at most SHORT code points as well.
+REACH, SHORT_REACH, SHORT = 16, 4, 2048
 
 
 class Powers:
@@ -58,6 +65,7 @@ class Prefixes:
             # Terms are below 2 ** 31, so the plain sum of 2 ** 33 of them fits.
             sums[:, 1:] = np.cumsum(terms, axis=1) % PRIMES[:, None]
         self.sums = sums
+        self.made: str | None = None
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Sums of spans, still times base ** start."""
@@ -92,15 +100,50 @@ class Prefixes:
         joined = (self.sums[:, [keep]] + other.sums[:, 1 : most + 1] * shift) % PRIMES[:, None]
         return Prefixes(np.empty(keep + most, np.uint8), np.concatenate([self.sums[:, : keep + 1], joined], axis=1))
 
+    def cuts(self, reach: int) -> np.ndarray:
+        """Where pieces start, and the end: at 0, before each run of GRAM whose hash is the least of `reach` ones on either side, and LONGEST after a start at most."""
+        n = self.n - GRAM + 1
+        inner = np.zeros(0, np.int64)
+        if n > 0:
+            prime = PRIMES[0]
+            h = (self.sums[0, GRAM:] + prime - self.sums[0, :n]) % prime * inverses.upto(self.n)[0, :n] % prime
+            # least[i] is the least of the `reach` hashes from place i - reach on; a power of two, so doubling finds it.
+            least = np.concatenate([np.full(reach, prime), h, np.full(reach, prime)])
+            step = 1
+            while step < reach:
+                least = np.minimum(least[:-step], least[step:])
+                step *= 2
+            inner = np.flatnonzero((h < least[:n]) & (h < least[reach + 1 : reach + 1 + n]))
+        edges = np.unique(np.concatenate([[0], inner, [self.n]])).astype(np.int64)
+        counts = -(-np.diff(edges) // LONGEST)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.append(np.repeat(edges[:-1], counts) + within * LONGEST, self.n)
+
+    def pieces(self, reach: int) -> str:
+        """32-bit hash and length of each piece, 10 hexadecimal digits each."""
+        cuts = self.cuts(reach)
+        start, end = cuts[:-1], cuts[1:]
+        out = np.empty((len(start), 5), np.uint8)
+        out[:, :4] = short_hashes(self.spans(start, end)).view(np.uint8).reshape(-1, 4)
+        out[:, 4] = end - start
+        return out.tobytes().hex()
+
     def fingerprint(self) -> str:
-        """Length, hash of the whole, and 32-bit hashes of prefixes and suffixes at multiples of the grid, all hexadecimal."""
-        grid = grid_of(self.n)
-        places = np.arange(grid, self.n + 1, grid)
-        whole = self.spans(np.array([0]), np.array([self.n]))[:, 0]
-        front = self.sums[:, places]
-        back = self.spans(self.n - places, np.full(len(places), self.n))
-        short = [((x[0] << np.uint64(16) ^ x[1]) & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex() for x in (front, back)]
-        return f"{self.n:x}-{int(whole[0]):08x}{int(whole[1]):08x}-{short[0]}-{short[1]}"
+        """Length, hash of the whole, 32-bit hashes of prefixes and suffixes at multiples of the grid, and pieces at each reach, all hexadecimal."""
+        if self.made is None:
+            grid = grid_of(self.n)
+            places = np.arange(grid, self.n + 1, grid)
+            whole = self.spans(np.array([0]), np.array([self.n]))[:, 0]
+            front = self.sums[:, places]
+            back = self.spans(self.n - places, np.full(len(places), self.n))
+            short = [short_hashes(x).tobytes().hex() for x in (front, back)]
+            pieces = [self.pieces(REACH), self.pieces(SHORT_REACH) if self.n <= SHORT else ""]
+            self.made = f"{self.n:x}-{int(whole[0]):08x}{int(whole[1]):08x}-{'-'.join(short + pieces)}"
+        return self.made
+
+
+def short_hashes(x: np.ndarray) -> np.ndarray:
+    return ((x[0] << np.uint64(16) ^ x[1]) & np.uint64(0xFFFFFFFF)).astype(">u4")
 
 
 def grid_of(n: int) -> int:
@@ -133,21 +176,37 @@ def agreement(a: list[str], b: list[str]) -> int:
     return low
 
 
+def shared(one: str, two: str, low: int, high: int) -> int:
+    """Code points from low to high of the first text whose pieces the second has too, each piece as often as the second has it."""
+    left = Counter(two[i : i + 10] for i in range(0, len(two), 10))
+    at = same = 0
+    for i in range(0, len(one), 10):
+        piece = one[i : i + 10]
+        end = at + int(piece[8:], 16)
+        if left[piece] > 0:
+            left[piece] -= 1
+            same += max(0, min(end, high) - max(at, low))
+        at = end
+    return same
+
+
 def likeness(one: str, two: str) -> float:
-    """Share of the longer text on which two texts agree from the front and from the back, as far as their fingerprints tell.
+    """Share of the longer text that the other has too, as far as their fingerprints tell: what agrees from the front and from the back, and equal pieces between.
 
     1 for equal texts; 0 when an empty text is held against another.
     """
     if one == two:
         return 1.0
+    one, two = sorted((one, two), key=lambda x: (-int(x.split("-", 1)[0], 16), x))
     (n, _, *own), (m, _, *other) = one.split("-"), two.split("-")
     n, m = int(n, 16), int(m, 16)
     grid = max(grid_of(n), grid_of(m))
-    same = 0
-    for x, y in zip(own, other, strict=True):
+    ends = []
+    for x, y in zip(own[:2], other[:2], strict=True):
         x, y = ([s[8 * i : 8 * i + 8] for i in range(grid // grid_of(k) - 1, len(s) // 8, grid // grid_of(k))] for s, k in ((x, n), (y, m)))
-        same += agreement(x, y) * grid
-    return min(same, min(n, m)) / max(n, m)
+        ends.append(agreement(x, y) * grid)
+    between = max(shared(x, y, ends[0], n - ends[1]) for x, y in zip(own[2:], other[2:], strict=True))
+    return min(sum(ends) + between, m) / n
 
 
 def next_in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -217,6 +217,32 @@ def test_likeness_follows_what_is_shared():
     assert near(a, a[:1000] + "zz" + a[1002:]) > 0.85
 
 
+def test_likeness_counts_the_middle():
+    r = random.Random(7)
+    near = lambda x, y: fingerprints.likeness(*(fingerprints.Prefixes(fingerprints.code_points(s)).fingerprint() for s in (x, y)))
+    for n, least in ((300, 0.6), (3000, 0.9), (2040, 0.85), (200_000, 0.998)):
+        a = "".join(r.choice("abcdefé ") for _ in range(n))
+        b = a[:20] + "ZZZZ" + a[24 : n - 20] + "Y" + a[n - 16 :]
+        assert least < near(a, b) < 1 and near(a, b) == near(b, a)
+        assert near(a, "Z" + a[: n // 2] + "YY" + a[n // 2 :] + "X") > least  # shifted, so that nothing stands where it stood
+        assert near(a, "".join(r.choice("abcdefé ") for _ in range(n))) < 0.05
+    assert near("x" * 100_000, "y" + "x" * 99_998 + "y") > 0.99 and near("", "") == 1
+
+
+def test_pieces_cover_the_text():
+    r = random.Random(8)
+    for n in (0, 1, 7, 8, 9, 40, 700):
+        for letters in ("a", "ab", "abcdefgh"):
+            text = "".join(r.choice(letters) for _ in range(n))
+            own = fingerprints.Prefixes(fingerprints.code_points(text))
+            for reach in (4, 16):
+                h = [int(own.spans(np.array([i]), np.array([i + 8]))[0, 0]) for i in range(n - 7)]
+                chosen = {i for i in range(len(h)) if all(h[i] < x for x in h[max(0, i - reach) : i] + h[i + 1 : i + 1 + reach])}
+                cuts = own.cuts(reach).tolist()
+                assert cuts[0] == 0 and cuts[-1] == n and cuts == sorted(cuts) and chosen <= set(cuts)
+                assert all(0 < y - x <= 255 for x, y in zip(cuts, cuts[1:], strict=False))
+
+
 def test_fingerprint_rows(spark, docs):
     sub = docs.where("doc_id is not null and doc_id <> -4")
     got = {(r.doc_id, r.fingerprint): r for r in fingerprints.compare(sub).collect()}
