@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.keys import key, key_text
 
-#: Rows from which boundaries are taken, at most; widest code; bits up to which boundaries are literals of the plan, and up to which an array is broadcast.
-SAMPLE, WIDEST, LITERAL_BITS, BROADCAST_BITS = 500_000, 28, 10, 20
+#: Widest code; bits up to which boundaries are literals of the plan, and up to which an array is broadcast.
+WIDEST, LITERAL_BITS, BROADCAST_BITS = 28, 10, 20
 
 
 @dataclass(frozen=True)
@@ -37,29 +37,50 @@ class Codes:
         return self.code(key_text(pattern, self.suffix, "0")), self.code(key_text(pattern, self.suffix, "F"))
 
 
-def sample(df: DataFrame, column: str, n: int = SAMPLE) -> DataFrame:
-    """n rows by hash of the value: the same whatever the partitions."""
-    return df.select(column).orderBy(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")), column).limit(n)
+def ranked(counted: DataFrame) -> DataFrame:
+    """k and the ranks `low` to `high` - 1 that each key has among all rows, from keys k with their numbers of rows n.
+
+    Running counts are taken in ranges of two bytes, so no task sorts more than the distinct keys that begin with its two.
+    """
+    ranges = counted.withColumn("r", F.substring("k", 1, 4))
+    before = ranges.groupBy("r").agg(F.sum("n").alias("all")).select("r", F.coalesce(F.sum("all").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 65,536 rows at most
+    inside = F.sum("n").over(Window.partitionBy("r").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ranges.withColumn("inside", inside).join(F.broadcast(before), "r")
+    return ends.select("k", (F.col("before") + F.col("inside") - F.col("n")).alias("low"), (F.col("before") + F.col("inside")).alias("high"))
 
 
-def boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False, method: str = "lower", most: int = SAMPLE) -> Codes:
-    """Boundaries at equal shares of the sorted keys of a bounded sample.
+def boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False, method: str = "lower") -> Codes:
+    """Boundaries at equal shares of the sorted keys of all rows.
 
     lower: the key at rank floor(i * (n - 1) / 2 ** bits). linear: numpy's interpolated percentiles of the keys as
     numbers, made monotone. An empty table has all boundaries at the least key.
     """
     if not 1 <= bits <= WIDEST:
         raise ValueError(f"bits must be 1 to {WIDEST}")
-    n = df.count()
-    rows = df if n <= most else sample(df, column, most)
-    keys = np.array(sorted(r[0] for r in rows.select(key(F.col(column), suffix)).collect()))  # at most `most` keys of 16 characters
+    counted = df.select(key(F.col(column), suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     size = 1 << bits
-    if not len(keys):
+    n = df.count()
+    if not n:
         return Codes(column, bits, suffix, ("0" * 16,) * size)
+    # Interpolation needs the next rank too, and its floating-point rank may be one off.
+    spare = 0 if method == "lower" else 2
+    steps = max(n - 1, 1)
+    # The first i whose rank is not below `low`: its rank is one of the key's, or none is.
+    first = f"(greatest(low - {spare}, 0) * {size}L + {steps - 1}L) div {steps}L"
+    held = ranked(counted).where(f"{first} < {size} and ({first}) * {n - 1}L div {size}L < high + {spare}").orderBy("low").collect()  # 5 * 2 ** bits rows at most
+    keys, ends = np.array([r.k for r in held]), np.array([r.high for r in held])
+
+    def at(ranks: np.ndarray) -> np.ndarray:
+        return keys[np.searchsorted(ends, ranks, side="right")]
+
     if method == "lower":
-        return Codes(column, bits, suffix, tuple(keys[np.arange(size) * (len(keys) - 1) // size].tolist()))
-    values = np.array([int(k, 16) for k in keys], np.uint64)
-    points = np.maximum.accumulate(np.percentile(values, np.arange(size) * 100 / size).clip(0, float(2**64 - 2048)).astype(np.uint64))
+        return Codes(column, bits, suffix, tuple(at(np.arange(size) * (n - 1) // size).tolist()))
+    place = np.arange(size) * 100 / size / 100 * (n - 1)
+    floor = np.floor(place).astype(np.int64)
+    left, right = (np.array([int(k, 16) for k in at(x)], np.uint64) for x in (floor, np.minimum(floor + 1, n - 1)))
+    share, gap = place - floor, right - left
+    values = np.where(share >= 0.5, right - gap * (1 - share), left + gap * share)
+    points = np.maximum.accumulate(values.clip(0, float(2**64 - 2048)).astype(np.uint64))
     return Codes(column, bits, suffix, tuple(f"{int(x):016X}" for x in points))
 
 

@@ -111,6 +111,21 @@ def test_linear_boundaries_are_numpy_percentiles(spark):
     assert [int(x, 16) for x in codes.boundaries] == np.percentile(values, [0, 25, 50, 75]).astype(np.uint64).tolist()
 
 
+@pytest.mark.parametrize("method", ["lower", "linear"])
+def test_boundaries_rank_all_rows(spark, method):
+    # More rows than any sample that boundaries were once taken from, a third of them one value.
+    df = spark.range(600_000).select(F.when(F.col("id") % 3 == 0, F.lit("many")).otherwise(F.substring(F.md5(F.col("id").cast("string")), 1, 5)).alias("text"))
+    all_keys = np.array(sorted(r[0] for r in df.select(keys.key(F.col("text"))).collect()))
+    for bits in (1, 8, 11):
+        at = np.arange(1 << bits)
+        if method == "lower":
+            want = all_keys[at * (len(all_keys) - 1) >> bits].tolist()
+        else:
+            values = np.percentile(np.array([int(k, 16) for k in all_keys], np.uint64), at * 100 / (1 << bits))
+            want = [f"{int(x):016X}" for x in np.maximum.accumulate(values.astype(np.uint64))]
+        assert list(quantile.boundaries(df, "text", bits, method=method).boundaries) == want
+
+
 def test_allocation_takes_no_more_than_there_is(spark):
     df = spark.createDataFrame([("1", i) for i in range(30)] + [("2-5", i) for i in range(3)], "b string, i int")
     got = {r.b: r.allocated for r in patterns.allocation(df, "b", 20, 5, [x for _, x in patterns.SPAN_BINS]).collect()}
