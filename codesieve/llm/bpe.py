@@ -1,16 +1,19 @@
 """Byte-level BPE by a finite-state transducer, and streaming decoding by an incremental UTF-8 machine.
 
-The merges, given as ranks, are compiled into a transducer that reads a pre-token byte by byte. A
-state is the last token emitted and the bytes read since; its table has, for each place in those
-bytes, the token that ends there. A token is final once every way in which a later token can begin
-passes through it, which the longest token bounds. States and moves are made when a text first
-needs them (lazy determinisation) and forgotten together beyond a number of states.
+The merges, given as ranks, are compiled into a transducer that reads a pre-token byte by byte and
+says, for each byte, which token ends there if the pre-token ended there. A state is what later
+tokens depend on: the bytes since the first place where a token that isn't complete may have
+begun, and the token that ends at each such place. A token is final once every such place is
+reached through it, which the longest token bounds. States and moves are made when a text first
+needs them (lazy determinisation) and forgotten together beyond a number of states; the moves lie in one
+table, so all distinct pre-tokens of a batch step through it together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from codesieve.llm.chunks import ChunkEncoder
-from codesieve.llm.common import sliced, view
+from codesieve.llm.common import ranges, sliced, view
 
+#: States that a transducer keeps, pre-tokens that step together, and the bytes that one of them may have.
+MOST_STATES, STEP, TOGETHER = 200_000, 1 << 16, 48
+#: Ids that are decoded at a time.
+PORTION = 8192
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a rank file: base64, space, id on each line."""
@@ -29,13 +36,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """The transducer of one vocabulary; it encodes one pre-token at a time."""
+    """The transducer of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.ranks, self.most_states = ranks, most_states
         self.spell = {v: k for k, v in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(self.spell)] = [len(x) for x in self.spell.values()]
         self.inner = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pairs: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
@@ -43,10 +52,14 @@ class Transducer:
 
     def forget(self) -> None:
         """Start again with the first state only."""
-        self.number: dict[tuple[int | None, bytes], int] = {(None, b""): 0}
-        self.tables: list[tuple[int | None, bytes, tuple, list[int]]] = [(None, b"", (None,), [0])]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.ends: list[tuple[int, ...] | None] = [()]
+        first = (b"", (None,))
+        self.number: dict[tuple[bytes, tuple], int] = {first: 0}
+        #: Of each state: bytes since the first open place, and for each open place how many bytes ago it is and the token that ends there.
+        self.states: list[tuple[bytes, tuple[int, ...], tuple]] = [(b"", (0,), (None,))]
+        #: A column for each byte that has been read, a row for each state; -1 where a move isn't made yet.
+        self.columns = np.zeros(256, np.int64)
+        self.moves = np.full((1024, 1), -1, np.int32)
+        self.token = np.zeros(1024, np.int32)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge is the last step of spelling a token; none for a byte or a token that no merges reach."""
@@ -91,79 +104,140 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that have become final.
+    def move(self, state: int, byte: int) -> int:
+        """The next state; its token is the one that ends with this byte.
 
-        live has the places where a token that isn't complete may have begun. Only there can the token
-        that ends with this byte begin, and only there can later ones begin, besides at the new end.
+        Only at an open place can that token begin, and only there can later ones begin, besides at the new end.
         """
-        last, pending, table, live = self.tables[state]
+        pending, back, before = self.states[state]
         pending = pending + bytes([byte])
         end, spell, entry = len(pending), self.ranks, None
-        for start in live:
-            token = spell.get(pending[start:])
-            if token is not None and self.fits(table[start][1] if start else last, token):
-                entry = start, token
+        for k, last in zip(back, before, strict=True):
+            token = spell.get(pending[end - 1 - k :])
+            if token is not None and self.fits(last, token):
+                entry = token
                 break
         if entry is None:
             raise ValueError("the ranks aren't those of byte-pair merges")
-        table = (*table, entry)
         inner = self.inner
-        live = [s for s in live if pending[s:] in inner]
-        live.append(end)
-        cut = 0
-        if live[0]:  # else the bytes may all become one token
-            paths = []
-            for s in live:
-                path = {s}
-                while s:
-                    s = table[s][0]
-                    path.add(s)
-                paths.append(path)
-            cut = max(set.intersection(*paths))
-        out: tuple[int, ...] = ()
-        if cut:
-            final, s = [], cut
-            while s:
-                s, token = table[s]
-                final.append(token)
-            out, kept = tuple(reversed(final)), set.union(*paths)
-            last, pending, live = out[-1], pending[cut:], [s - cut for s in live]
-            table = (None, *((table[s][0] - cut, table[s][1]) if s in kept else None for s in range(cut + 1, end + 1)))
-        key = (last, pending)
+        live = [(k + 1, last) for k, last in zip(back, before, strict=True) if pending[end - 1 - k :] in inner]
+        live.append((0, entry))
+        back, before = (tuple(x) for x in zip(*live, strict=True))
+        pending = pending[end - back[0] :]
+        key = (pending, before)
         if (nxt := self.number.get(key)) is None:
-            nxt = self.number[key] = len(self.tables)
-            self.tables.append((last, pending, table, live))
-            self.moves.append({})
-            self.ends.append(None)
-        self.moves[state][byte] = nxt, out
-        return nxt, out
-
-    def finish(self, state: int) -> tuple[int, ...]:
-        """The tokens of the bytes that are pending at the end of a pre-token."""
-        if (out := self.ends[state]) is None:
-            _, pending, table, _ = self.tables[state]
-            back, s = [], len(pending)
-            while s:
-                s, token = table[s]
-                back.append(token)
-            out = self.ends[state] = tuple(reversed(back))
-        return out
+            nxt = self.number[key] = len(self.states)
+            self.states.append((pending, back, before))
+            if nxt == len(self.moves):
+                self.moves = np.concatenate([self.moves, np.full_like(self.moves, -1)])
+                self.token = np.concatenate([self.token, np.zeros_like(self.token)])
+            self.token[nxt] = entry
+        if not self.columns[byte]:  # column 0 is that of bytes without one
+            self.columns[byte] = self.columns.max() + 1
+            if self.columns[byte] == self.moves.shape[1]:
+                self.moves = np.concatenate([self.moves, np.full((len(self.moves), 16), -1, np.int32)], axis=1)
+        self.moves[state, self.columns[byte]] = nxt
+        return nxt
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token; a pre-token that is itself a token is that token."""
+        """Ids of one pre-token; a pre-token that is itself a token is that token. Tokens leave as soon as they are final."""
         if (known := self.ranks.get(piece)) is not None:
             return [known]
-        if len(self.tables) > self.most_states:
+        if len(self.states) > self.most_states:
             self.forget()
-        state, ids, moves = 0, [], self.moves
+        state, ids, ends, look = 0, [], [0], 256
         for byte in piece:
-            step = moves[state].get(byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                ids += step[1]
-        ids += self.finish(state)
-        return ids
+            nxt = int(self.moves[state, self.columns[byte]])
+            state = nxt if nxt >= 0 else self.move(state, byte)
+            ends.append(int(self.token[state]))
+            if len(ends) > look:
+                final = self.final(ends, self.states[state][1])
+                ids += self.walk(ends, final)
+                ends = [0, *ends[final + 1 :]]
+                look = 2 * len(ends) + 256
+                if len(self.states) > self.most_states:
+                    pending = self.states[state]
+                    self.forget()
+                    state = self.number[pending[0], pending[2]] = len(self.states)
+                    self.states.append(pending)
+                    self.token[state] = ends[-1]
+        return ids + self.walk(ends, len(ends) - 1)
+
+    def final(self, ends: list[int], back: tuple[int, ...]) -> int:
+        """The last place that all ways to an open place pass through."""
+        paths = []
+        for k in back:
+            place = len(ends) - 1 - k
+            path = {place}
+            while place > 0:
+                place -= int(self.sizes[ends[place]])
+                path.add(place)
+            paths.append(path)
+        return max(set.intersection(*paths))
+
+    def walk(self, ends: list[int], place: int) -> list[int]:
+        """Tokens up to a place, from those that end at each place."""
+        out = []
+        while place > 0:
+            out.append(ends[place])
+            place -= int(self.sizes[ends[place]])
+        return out[::-1]
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pre-tokens one after the other, and how many each has. Those of up to TOGETHER bytes step together, longer ones alone."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = np.fromiter((self.ranks.get(x, -1) for x in pieces), np.int64, n)
+        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        counts = np.ones(n, np.int64)
+        long = {int(i): self.encode(pieces[i]) for i in np.flatnonzero((known < 0) & (lengths > TOGETHER))}
+        counts[list(long)] = [len(x) for x in long.values()]
+        # Longest first, so those that still have a byte at a place are the first ones.
+        short = np.flatnonzero((known < 0) & (lengths <= TOGETHER))
+        short = short[np.argsort(-lengths[short], kind="stable")]
+        found = []
+        for begin in range(0, len(short), STEP):
+            some = short[begin : begin + STEP]
+            tokens = self.step([pieces[i] for i in some], lengths[some])
+            place, row = lengths[some].copy(), np.arange(len(some))
+            taken = []
+            while len(row):
+                ids = tokens[place[row] - 1, row]
+                taken.append((row, ids))
+                place[row] -= self.sizes[ids]
+                row = row[place[row] > 0]
+            number = np.bincount(np.concatenate([x[0] for x in taken]), minlength=len(some))
+            counts[some] = number
+            found.append((some, number, taken))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        out[starts[known >= 0]] = known[known >= 0]
+        for i, ids in long.items():
+            out[starts[i] : starts[i] + len(ids)] = ids
+        for some, number, taken in found:
+            for k, (row, ids) in enumerate(taken):
+                out[starts[some[row]] + number[row] - 1 - k] = ids
+        return out, counts
+
+    def step(self, pieces: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """The token that ends at each place (row) of each piece (column); the longest pieces come first."""
+        if len(self.states) > self.most_states:
+            self.forget()
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        tokens = np.zeros((int(lengths.max(initial=0)), len(pieces)), np.int32)
+        state = np.zeros(len(pieces), np.int64)
+        for at in range(len(tokens)):
+            alive = int(np.searchsorted(-lengths, -at, side="left"))
+            byte = raw[starts[:alive] + at]
+            nxt = self.moves[state[:alive], self.columns[byte]]
+            if len(missing := np.flatnonzero(nxt < 0)):
+                pairs, inverse = np.unique(state[missing] * 256 + byte[missing], return_inverse=True)
+                nxt[missing] = np.array([self.move(x >> 8, x & 255) for x in pairs.tolist()], np.int32)[inverse]
+            state = nxt.astype(np.int64)
+            tokens[at, :alive] = self.token[state]
+        return tokens
 
 
 class Utf8Machine:
@@ -174,49 +248,84 @@ class Utf8Machine:
         self.low, self.high = 0x80, 0xBF
 
     def feed(self, data: bytes, last: bool = False) -> str:
-        out = []
-        for byte in data:
-            if self.need:
-                if self.low <= byte <= self.high:
-                    self.code, self.need, self.low, self.high = self.code << 6 | byte & 63, self.need - 1, 0x80, 0xBF
-                    if not self.need:
-                        out.append(chr(self.code))
+        """The characters that this portion completes. The machine's states tell where whole characters lie; a run of them that is well-formed is read at once."""
+        out, at = [], 0
+        while at < len(data):
+            if self.need == 0 and (whole := self.whole(data, at)) > at:
+                try:
+                    out.append(data[at:whole].decode())
+                    at = whole
                     continue
-                out.append("�")
-                self.need, self.low, self.high = 0, 0x80, 0xBF
-            if byte < 0x80:
-                out.append(chr(byte))
-            elif 0xC2 <= byte <= 0xDF:
-                self.code, self.need = byte & 31, 1
-            elif 0xE0 <= byte <= 0xEF:
-                self.code, self.need = byte & 15, 2
-                self.low, self.high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
-            elif 0xF0 <= byte <= 0xF4:
-                self.code, self.need = byte & 7, 3
-                self.low, self.high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
-            else:
-                out.append("�")
+                except UnicodeDecodeError as error:
+                    whole = at + error.start
+                    out.append(data[at:whole].decode())
+                    at = whole
+            out.append(self.read(data[at]))
+            at += 1
         if last and self.need:
-            out.append("�")
+            out.append("\ufffd")
             self.need = 0
         return "".join(out)
 
+    @staticmethod
+    def whole(data: bytes, start: int) -> int:
+        """Where the last character that has not ended in the data begins."""
+        end = len(data)
+        for back in range(1, min(3, end - start) + 1):
+            byte = data[end - back]
+            if byte >= 0xC0:
+                return end - back if back < (2 if byte < 0xE0 else 3 if byte < 0xF0 else 4) else end
+            if byte < 0x80:
+                break
+        return end
+
+    def read(self, byte: int) -> str:
+        """One byte's move."""
+        out = ""
+        if self.need:
+            if self.low <= byte <= self.high:
+                self.code, self.need, self.low, self.high = self.code << 6 | byte & 63, self.need - 1, 0x80, 0xBF
+                return "" if self.need else chr(self.code)
+            out = "\ufffd"
+            self.need, self.low, self.high = 0, 0x80, 0xBF
+        if byte < 0x80:
+            return out + chr(byte)
+        if 0xC2 <= byte <= 0xDF:
+            self.code, self.need = byte & 31, 1
+        elif 0xE0 <= byte <= 0xEF:
+            self.code, self.need = byte & 15, 2
+            self.low, self.high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+        elif 0xF0 <= byte <= 0xF4:
+            self.code, self.need = byte & 7, 3
+            self.low, self.high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+        else:
+            out += "\ufffd"
+        return out
+
 
 class Codec:
     """Texts to ids and back with one vocabulary and one pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_chunks: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_chunks: int = 300_000):
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.chunks = ChunkEncoder(self.encode_many, most_chunks)
         self.spelling = np.array([self.machine.spell.get(i, b"") for i in range(max(ranks.values()) + 1)], object)
         self.decimal = np.array([str(i) for i in range(len(self.spelling))], object)
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        encode = self.machine.encode
-        return [[i for piece in self.split(text) for i in encode(piece.encode())] for text in texts]
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes; each distinct pre-token is encoded once."""
+        number: dict[str, int] = {}
+        pieces = [[number.setdefault(x, len(number)) for x in self.split(text)] for text in texts]
+        ids, counts = self.machine.encode_all([x.encode() for x in number])
+        per = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        used = np.fromiter((i for x in pieces for i in x), np.int64, int(per.sum()))
+        starts = np.cumsum(counts) - counts
+        out = ids[ranges(starts[used], counts[used])].astype("<u4").tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(counts[used])])[np.concatenate([[0], np.cumsum(per)])]).tolist()
+        return [out[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return np.frombuffer(self.encode_many([text])[0], "<u4").tolist()
 
     def decode_bytes(self, ids: np.ndarray | list[int]) -> bytes:
         return b"".join(self.spelling[np.asarray(ids, np.int64)].tolist())
@@ -224,8 +333,8 @@ class Codec:
     def stream(self, ids: Iterator[int]) -> Iterator[str]:
         """The text in portions as ids arrive; characters that are cut between ids come whole."""
         machine = Utf8Machine()
-        for i in ids:
-            if text := machine.feed(self.spelling[i]):
+        while portion := list(itertools.islice(ids, PORTION)):
+            if text := machine.feed(self.decode_bytes(portion)):
                 yield text
         if text := machine.feed(b"", last=True):
             yield text
@@ -255,10 +364,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: bool = True) ->
                 ids, starts = own.chunks.encode(part.column("text"))
                 spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
                 listed = [hashlib.sha256(",".join(own.decimal[ids[a:b]].tolist()).encode()).hexdigest() for a, b in spans]
-                back = [own.decode_bytes(ids[a:b]) for a, b in spans]
-                columns = [part.column("doc_id"), pa.array(np.diff(starts)), pa.array(listed), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
+                back = ["".join(own.stream(iter(ids[a:b]))) for a, b in spans]
+                columns = [part.column("doc_id"), pa.array(np.diff(starts)), pa.array(listed), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
                 if keep:
-                    columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([Utf8Machine().feed(x, True) for x in back])]
+                    columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return view(docs).mapInArrow(run, schema)

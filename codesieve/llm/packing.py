@@ -17,39 +17,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm.chunks import ChunkEncoder
-from codesieve.llm.common import sliced, view
+from codesieve.llm.common import byte_lengths, sliced, view
 
 
 class Tokens:
-    """Ids of a `tokenizers` file; strings of special tokens in a text are ordinary text."""
+    """Ids of a `tokenizers` file, as its plain call gives them: a special token's string in a text is that token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.chunks = ChunkEncoder(self.encode_many, most=500_000, encode_chunks=self.encode_chunks)
+        special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.chunks = ChunkEncoder(self.encode_many, most=400_000, encode_chunks=self.encode_chunks, special=special)
         # A byte-level token has one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_chunks(self, chunks: list[str], together: int = 2000) -> list:
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self.ids(texts)]
+
+    def encode_chunks(self, chunks: list[str], together: int = 2000) -> list[bytes]:
         """Ids of chunks: those with a space before them are encoded many in a row, as their borders cut tokens anyway, and told apart by the tokens' sizes."""
         out: list = [None] * len(chunks)
-        spaced = [i for i, x in enumerate(chunks) if x[0] == " "]
         alone = [i for i, x in enumerate(chunks) if x[0] != " "]
-        for i, ids in zip(alone, self.encode_many([chunks[i] for i in alone]), strict=True):
-            out[i] = ids
-        runs = [spaced[k : k + together] for k in range(0, len(spaced), together)]
-        for run, ids in zip(runs, self.encode_many(["".join(chunks[i] for i in run) for run in runs]), strict=True):
-            ids = np.asarray(ids)
-            ends = np.cumsum([len(chunks[i].encode()) for i in run])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            for i, part in zip(run, np.split(ids, cuts[:-1]), strict=True):
-                out[i] = part
+        for i, raw in zip(alone, self.encode_many([chunks[i] for i in alone]), strict=True):
+            out[i] = raw
+        behind = [i for i, x in enumerate(chunks) if x[0] == " "]
+        runs = [behind[k : k + together] for k in range(0, len(behind), together)]
+        for run, ids in zip(runs, self.ids(["".join([chunks[i] for i in run]) for run in runs]), strict=True):
+            ids = np.array(ids, "<u4")
+            raw, ends = ids.tobytes(), np.cumsum(byte_lengths(pa.array([chunks[i] for i in run], pa.large_string())))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            for i, a, b in zip(run, [0, *cuts[:-1]], cuts, strict=True):
+                out[i] = raw[a:b]
         return out
 
 

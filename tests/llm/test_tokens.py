@@ -39,6 +39,9 @@ def test_transducer_equals_merges():
     for i, t in enumerate(TEXTS):
         assert ids[starts[i] : starts[i + 1]].tolist() == library.encode_ordinary(t) == own.encode(t), t[:50]
         assert own.decode_bytes(library.encode_ordinary(t)).decode() == t == "".join(own.stream(iter(own.encode(t))))
+    pieces = [t.encode() for t in TEXTS if t]
+    ids, counts = own.machine.encode_all(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library._encode_single_piece(x) for x in pieces]
     spelled = list(ranks)
     own.machine.most_states = 300  # forgetting changes nothing
     for _ in range(2000):
@@ -51,6 +54,8 @@ def test_utf8_machine_equals_the_codec():
         data = bytes(random.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF, 0xC0]) for _ in range(random.randint(0, 12)))
         machine = bpe.Utf8Machine()
         assert "".join(machine.feed(data[i : i + 1]) for i in range(len(data))) + machine.feed(b"", True) == data.decode(errors="replace")
+        whole, cut = bpe.Utf8Machine(), random.randint(0, len(data))
+        assert whole.feed(data[:cut]) + whole.feed(data[cut:], True) == data.decode(errors="replace")
 
 
 def test_bpe_rows(docs):
@@ -78,7 +83,6 @@ def test_decomposition():
 
 def test_packing_rows(docs):
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     rows = packing.pack(docs, JSON, longest=64).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length == 1 << r.bucket <= 64 and len(r.ids) == r.length for r in rows)
     assert sorted({r.doc_id for r in rows}, key=repr) == sorted({r.doc_id for r in docs.collect()}, key=repr)
