@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: How the names of folders with saved tables begin.
+OWN_PREFIX = "codesieve-saved-"
 #: Bytes of text that an operator holds in its working arrays at a time.
 SLICE_BYTES = 4 << 20
 
@@ -27,6 +29,14 @@ def view(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Column names that none of `columns` has, one for each of `names`."""
+    prefix = "cs"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"x{prefix}"
+    return [f"{prefix}_{name}" for name in names]
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session sets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -141,7 +151,7 @@ class Saved:
     """Tables written to the shared folder: they cut lineage, so a lost executor repeats one step and not all."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.home, self.paths = spark, f"{shared_folder(spark)}/codesieve-{uuid.uuid4().hex}", []
+        self.spark, self.home, self.paths = spark, f"{shared_folder(spark)}/{OWN_PREFIX}{uuid.uuid4().hex}", []
 
     def save(self, table: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.home}/{name}-{len(self.paths)}"
@@ -151,8 +161,23 @@ class Saved:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for table in tables:
-            for file in table.inputFiles()[:1]:
-                path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(*tables)
+
+    def last(self, table: DataFrame, name: str = "t") -> DataFrame:
+        """Save a result and delete every other table that was saved here."""
+        others, out = list(self.paths), self.save(table, name)
+        delete(self.spark, others)
+        self.paths = self.paths[-1:]
+        return out
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the saved tables that these read, once their own rows are saved or not needed; other files stay."""
+    for table in tables:
+        paths = {file.rpartition("/")[0] for file in table.inputFiles()}
+        delete(table.sparkSession, [x for x in paths if x.rpartition("/")[0].rpartition("/")[2].startswith(OWN_PREFIX)])

@@ -182,11 +182,42 @@ def test_line_dedup_equals_sql(docs):
 
 
 def test_lines_by_hand(spark):
-    run = "one\ntwo\nthree\nfour"
-    df = spark.createDataFrame([(1, f"a\n{run}\nb", "k"), (2, f"c\n\n{run}\nd", "k"), (3, run, "k"), (4, "one\nx\ntwo", "k"), (5, None, "k"), (6, "same\nsame\nsame\nsame\nsame", "k"), (7, "lone", "k"), (8, "lone", "k")], "doc_id long, text string, cs_name string")
+    run, passage = "one\ntwo\nthree", "a line of more than thirty-two characters"
+    df = spark.createDataFrame([(1, f"a\n{run}\nb", "k"), (2, f"c\n\n{run}\nd", "k"), (3, run, "k"), (4, "one\nx\ntwo", "k"), (5, None, "k"), (6, "same\nsame\nsame\nsame\nsame", "k"), (7, "lone", "k"), (8, "lone", "k"), (9, f"p\n{passage}\nq", "k"), (10, f"r\n{passage}", "k")], "doc_id long, text string, cs_name string")
     out = line_dedup.rewrite(df)
-    assert {r.doc_id: r.text for r in out.collect()} == {1: f"a\n{run}\nb", 2: "c\n\nd", 3: "", 4: "one\nx\ntwo", 5: None, 6: "same", 7: "lone", 8: ""}
-    assert out.columns[:3] == df.columns and line_dedup.rewrite(df.limit(0)).count() == 0
+    assert {r.doc_id: r.text for r in out.collect()} == {1: f"a\n{run}\nb", 2: "c\n\nd", 3: "", 4: "one\nx\ntwo", 5: None, 6: "same", 7: "lone", 8: "", 9: f"p\n{passage}\nq", 10: "r"}
+    assert out.columns == df.columns and line_dedup.rewrite(df.limit(0)).count() == 0
+    assert {r.doc_id for r in line_dedup.rewrite(df, emptied=False).collect()} == {1, 2, 4, 5, 6, 7, 9, 10}
+
+
+def test_runs_that_the_first_place_lacks(spark):
+    """A pair of lines stands first in one document; two others share a longer run around it."""
+    longer = "w\nx\nhot one\nhot two\ny\nz"
+    df = spark.createDataFrame([(1, "a\nhot one\nhot two\nb"), (2, f"c\n{longer}\nd"), (3, f"e\n{longer}\nf")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.rewrite(df).collect()}[3] == "e\nf"
+
+
+def brute_runs(rows, window=line_dedup.WINDOW, long=line_dedup.LONG):
+    """Numbers of the non-blank lines to delete by (doc_id, text), from the definition, place by place."""
+    seen, gone = set(), {}
+    for doc_id, text in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).digest())):
+        own = [x for x in text.split("\n") if x.strip(" ")]
+        off = set()
+        for p in range(len(own)):
+            for size, key in ((1, ("line", own[p]) if len(own[p]) >= long else None), (window, ("run", *own[p : p + window]) if p + window <= len(own) else None), (len(own), ("all", *own) if p == 0 and len(own) < window else None)):
+                if key in seen:
+                    off.update(range(p, p + size))
+                if key:
+                    seen.add(key)
+        gone[doc_id, text] = off
+    return gone
+
+
+def test_line_dedup_equals_the_definition(docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    want = brute_runs(rows)
+    got = {(r.doc_id, r.n_removed) for r in line_dedup.counts(docs).collect()}
+    assert got == {(k[0], len(v)) for k, v in want.items()} and sum(map(len, want.values())) > 500
 
 
 def brute_lines(rows):
@@ -224,6 +255,7 @@ def test_empty_tables(docs):
 
 
 def test_clashing_columns(docs):
-    odd = docs.withColumns({"node": F.lit(1), "t": F.lit("t"), "component_id": F.lit(2), "h": F.lit(3)})
-    assert jaccard_join.representatives(odd).columns == suffix_dedup.rewrite(odd).columns == odd.columns
-    assert line_dedup.rewrite(odd).columns[: len(odd.columns)] == odd.columns
+    names = ["node", "t", "component_id", "h", "cs_id", "cs_t", "cs_gone", "cs_lines", "cs_removed", "CS_node", "cs_own", "cs_text", "cs_bytes", "cs_doc", "cs_once", "cs_n", "xcs_id"]
+    odd = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    for table in (jaccard_join.representatives(odd), suffix_dedup.rewrite(odd), line_dedup.rewrite(odd)):
+        assert table.columns == odd.columns and table.where("cs_id <> 4 or xcs_id <> 16").count() == 0 and table.count() > 50
