@@ -9,8 +9,9 @@ allotted by cost: empty and small subsets, which many sets share, are given up f
 units as the pigeonhole bound leaves spare. What agrees on a segment is verified exactly.
 
 Members of a signature's group are held against one hub first. Where a group then lies in one
-component, no more is to be learnt from it. The members of the others, and those alone, are paired
-by their rarest shingles, in which similar sets must meet, and verified if their components differ.
+component, no more is to be learnt from it. The members of the others, and those alone, are held
+against further hubs, one for each of their rarest shingles, in which similar sets must meet; those that
+may still be similar to a set of another component, by their sizes and the shingles that they alone have, are paired and verified.
 None of the tables joined has a bound on its size, so all are joined by sorting and none is broadcast.
 So a group of many near copies isn't expanded into its pairs, and no link between different texts is lost.
 """
@@ -23,12 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Saved, hash_words, mix, partitions, sliced, view, words
+from codesieve.llm.common import Saved, hash_words, mix, partitions, sliced, spare, view, words
 from codesieve.llm.components import components
 
+#: Shingles that a set may have; bands go so far, whatever the texts are.
+MOST = 1 << 40
+#: Rounds in which sets are held against the hubs of their shingles, before those that are left are paired.
+HUBS = 2
 #: Roles of a set in a signature's group: it is found there, it asks there.
 FOUND, ASKS = 1, 2
 
@@ -160,21 +165,62 @@ def grouped(sig: np.ndarray, node: np.ndarray, role: np.ndarray) -> list[np.ndar
     return list(lists.values())
 
 
-def rare_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components, among them all similar ones: those that share one of either's rarest shingles.
+def prefixes(left: DataFrame, percent: int) -> DataFrame:
+    """A row for each of the rarest shingles (token) of each set of left (node, set): n, s, room, and its place `at` in the set's order, rarest first.
 
-    left: node, component, set. A set of n shingles has at least percent * n / 100 in common with a similar one, so the
-    n - ceil(percent * n / 100) + 1 shingles that the fewest sets have include a common one. Where so many are a
-    set's own, it is similar to none; shingles of one component only join nothing.
+    A set of n shingles has at least percent * n / 100 in common with a similar one, so the n - ceil(percent * n / 100) + 1
+    shingles that the fewest sets have include a common one; where so many are a set's own, it is similar to none. A set
+    has `s` shingles that another one has too and `u` of its own, so it shares at most s with any: two sets are similar only
+    if each one's `room`, 100 * s - percent * u, is percent * n of the other or more.
     """
-    tokens = left.select("node", "component", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).where("f > 1")
-    shared = tokens.join(spread.hint("merge"), "token").groupBy("node").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token", (F.col("low") != F.col("high")).alias("mixed")))).alias("ts"))
-    budget = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - (F.col("n") - F.size("ts"))
-    rarest = shared.where(budget > 0).select("node", "component", "n", F.explode(F.slice("ts", F.lit(1), budget.cast("int"))).alias("t")).where("t.mixed").select("node", "component", "n", F.col("t.token").alias("token"))
-    one, two = rarest.alias("one"), rarest.alias("two")
-    sizes = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    return one.join(two.hint("merge"), "token").where((F.col("one.node") < F.col("two.node")) & (F.col("one.component") != F.col("two.component")) & sizes).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+    tokens = left.select("node", F.size("set").cast("long").alias("n"), F.explode("set").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    shared = tokens.join(spread.hint("merge"), "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts"))
+    shared = shared.withColumn("s", F.size("ts").cast("long")).withColumn("room", 100 * F.col("s") - percent * (F.col("n") - F.col("s")))
+    budget = F.col("s") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    return shared.where(budget > 0).select("node", "n", "s", "room", F.posexplode(F.slice("ts", F.lit(1), budget.cast("int"))).alias("at", "t")).select("node", "n", "s", "room", "at", F.col("t.token").alias("token"))
+
+
+def live(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of prefixes, with component, at which a set of another component may be similar; `main` is the component that most sets at the shingle have.
+
+    At each shingle that component is held against the others, and these against each other: a place is given up where none of
+    them has the room, or so little to ask for. So near copies that differ by words of their own are told apart by
+    their counts, set by set, however many share a shingle, and shingles of one component join nothing.
+    """
+    counts = rows.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.max("room").alias("room"))
+    main = counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("main"))
+    split = counts.join(main.hint("merge"), "token").withColumn("is_main", F.col("component") == F.col("main.component"))
+    bounds = split.groupBy("token").agg(F.first("main.component").alias("main"), *[f(F.when(F.col("is_main") == side, F.col(c))).alias(f"{c}_{name}") for side, name in ((True, "main"), (False, "other")) for f, c in ((F.min, "n"), (F.max, "room"))])
+
+    def meets(name: str) -> Column:
+        return F.coalesce((F.col(f"n_{name}") * percent <= F.col("room")) & (F.col(f"room_{name}") >= F.col("n") * percent), F.lit(False))
+
+    return rows.join(bounds.hint("merge"), "token").where(meets("other") | ((F.col("component") != F.col("main")) & meets("main"))).select("node", "component", "n", "s", "room", "at", "token", "main")
+
+
+def may_link(one: str, two: str, percent: int) -> Column:
+    """Whether two sets of different components may be similar and this may be the first shingle that they share.
+
+    As many shingles must stand from there on, in either's order, as they need in common.
+    """
+    a, b = (lambda c: F.col(f"{one}.{c}")), (lambda c: F.col(f"{two}.{c}"))
+    common = F.ceil(percent * (a("n") + b("n")) / (100 + percent))
+    return (a("component") != b("component")) & (a("room") >= b("n") * percent) & (b("room") >= a("n") * percent) & (a("s") - a("at") >= common) & (b("s") - b("at") >= common)
+
+
+def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each live set and, at each of its shingles, the set of the main component with most room: of near copies, the one nearest to them all."""
+    best = rows.where("component = main").groupBy("token").agg(F.max(F.struct("room", "node", "component", "n", "s", "at")).alias("hub")).select("token", "hub.*")
+    one, two = rows.alias("one"), best.alias("two")
+    pair = F.sort_array(F.array("one.node", "two.node"))
+    return one.join(two.hint("merge"), "token").where(may_link("one", "two", percent)).select(pair[0].alias("a"), pair[1].alias("b")).distinct()
+
+
+def rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of live sets of different components, among them all similar ones."""
+    one, two = rows.alias("one"), rows.alias("two")
+    return one.join(two.hint("merge"), "token").where((F.col("one.node") < F.col("two.node")) & may_link("one", "two", percent)).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, Saved]:
@@ -193,7 +239,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(x) for x in part.column("text").to_pylist()], pa.int64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "node", "n_shingles"])
 
     rows = saved.save(own.mapInArrow(sizes, "doc_id long, node long, n_shingles long"), "sizes")
-    plan = bands(percent, rows.agg(F.max("n_shingles")).first()[0] or 1)
+    plan = bands(percent, MOST)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,28 +282,39 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
         return sized.select("a", "b", "common", (F.col("both") - F.col("common")).alias("united"))
 
     linked = 100 * F.col("common") >= percent * F.col("united")
-    spokes = saved.save(verified(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "spokes")
-    links = spokes.where(linked).select("a", "b")
+    links = saved.save(verified(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()).where(linked).select("a", "b"), "spokes")
     found = saved.save(components(links, saved), "components")
     # Members of one group in different components may still be linked; a group of two has been verified.
     placed = members.join(found.hint("merge"), "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("gid")
-    left = saved.save(placed.join(mixed.hint("merge"), "gid", "left_semi").select("node", "component").distinct().join(sets.hint("merge"), "node"), "left")
-    more = saved.save(verified(rare_pairs(left, percent)).where(linked).select("a", "b"), "more")
-    if more.isEmpty():
-        return rows, found, saved
-    return rows, saved.save(components(links.union(more), saved), "components"), saved
+    left = saved.save(members.join(mixed.hint("merge"), "gid", "left_semi").select("node").distinct().join(sets.hint("merge"), "node"), "left")
+    saved.drop(members)
+    places = saved.save(prefixes(left, percent), "places")
+    saved.drop(left)
+    for step in range(HUBS + 1):
+        rows_ = places.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = saved.save(live(rows_, percent), "live")
+        more = saved.save(verified(rare_pairs(own, percent) if step == HUBS else hub_pairs(own, percent)).where(linked).select("a", "b"), "more")
+        saved.drop(own)
+        if not more.isEmpty():
+            # Later rounds need the components alone, as a link between two of them.
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            again = saved.save(components(links, saved), "components")
+            saved.drop(found, more)
+            found = again
+    saved.drop(places, sets)
+    return rows, found, saved
 
 
 def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, node, n_shingles, component_id and stays (one document of each class does) of each row of docs."""
-    rows, found, _ = join(docs, width, percent)
+    rows, found, saved = join(docs, width, percent)
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     chosen = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node"))).alias("chosen"))
     labels = nodes.join(chosen.hint("merge"), "component").select("node", "chosen")
     some = F.col("n_shingles") > 0
     stays = ~some | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("node") == F.col("chosen.node")))
-    return rows.join(labels.hint("merge"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+    return saved.last(rows.join(labels.hint("merge"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays")), "labels")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -274,9 +331,9 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Rows without words all stay. A class without ids keeps one row.
     """
-    rows = labelled(docs, width, percent).where("stays").select(F.col("doc_id").alias("cs_id"), F.col("node").alias("cs_node"), "n_shingles").distinct()
-    rows = rows.select("cs_id", "cs_node", F.col("n_shingles").alias("cs_n"))
+    own_id, own_node, size, number, once = spare(docs.columns, "id", "node", "n", "own", "once")
+    rows = labelled(docs, width, percent).where("stays").select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), F.col("n_shingles").alias(size)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    number = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    kept = docs.withColumn("cs_own", number).join(rows.hint("merge"), (F.col("cs_own") == F.col("cs_node")) & docs["doc_id"].cast("long").eqNullSafe(F.col("cs_id")))
-    return kept.withColumn("cs_once", F.when(F.col("cs_n") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates(["cs_node", "cs_id", "cs_once"]).select(*[docs[c] for c in docs.columns])
+    kept = docs.withColumn(number, F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long"))
+    kept = kept.join(rows.hint("merge"), (F.col(number) == F.col(own_node)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)))
+    return kept.withColumn(once, F.when(F.col(size) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates([own_node, own_id, once]).select(*[docs[c] for c in docs.columns])
