@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import keys as K
 from codesieve.operators import bitmask, metrics, patterns, quantile, stats
-from codesieve.plans.predicates import Index, Match, accelerate, like, packed_conditions
+from codesieve.plans import reports
+from codesieve.plans.predicates import Index, Match, like, packed_conditions
+from codesieve.sources import coded as C
+from codesieve.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,62 +127,63 @@ def like_patterns(spark: SparkSession, d: str) -> DataFrame:
     return metrics.count_all(table(spark, d, "documents"), conditions)
 
 
+def coded_documents(spark: SparkSession, d: str, prefix_bits: int = 0, suffix_bits: int = 0, **recipe) -> C.CodedTable:
+    """documents with codes of its text, written clustered once in a session; queries read it through its index."""
+    return C.made(spark, f"{d}/documents.parquet", "text", prefix_bits=prefix_bits, suffix_bits=suffix_bits, **recipe)
+
+
 @query("prefix_code_count", P_SQL)
 def prefix_code_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs)
-    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+    return coded_documents(spark, d, 8, 8).count(spark, P_MATCH)
 
 
 @query("suffix_code_count", S_SQL)
 def suffix_code_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = suffix_codes(docs)
-    return counted(quantile.assign(docs, codes), S_MATCH, Index(suffix=codes))
-
-
-def two_columns(docs: DataFrame, bits: tuple[int, int] = (8, 8)) -> tuple[DataFrame, quantile.Codes, quantile.Codes]:
-    p, s = prefix_codes(docs, bits=bits[0]), suffix_codes(docs, bits=bits[1])
-    return quantile.assign(quantile.assign(docs, p), s), p, s
+    return coded_documents(spark, d, suffix_bits=8).count(spark, S_MATCH)
 
 
 @query("infix_two_col_count", I_SQL)
 def infix_two_col_count(spark: SparkSession, d: str) -> DataFrame:
-    df, p, s = two_columns(table(spark, d, "documents"))
-    return counted(df, I_MATCH, Index(prefix=p, suffix=s))
+    return coded_documents(spark, d, 8, 8).count(spark, I_MATCH)
 
 
 @query("infix_two_col_case_sensitive", E_SQL)
 def infix_two_col_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
-    df, p, s = two_columns(table(spark, d, "documents"))
-    return counted(df, E_MATCH, Index(prefix=p, suffix=s))
-
-
-def packed(spark: SparkSession, d: str, matches: dict[str, Match], way: str = "range", bits: tuple[int, int] = (8, 8)) -> DataFrame:
-    docs = table(spark, d, "documents")
-    p, s = prefix_codes(docs, bits=bits[0]), suffix_codes(docs, bits=bits[1])
-    return counted(quantile.pack(docs, p, s), matches, Index(prefix=p, suffix=s, packed="q16_infix"), way)
+    return coded_documents(spark, d, 8, 8).count(spark, E_MATCH)
 
 
 for _name, _matches, _sql, _way, _bits in (
     ("packed_prefix_count", P_MATCH, P_SQL, "range", (8, 8)), ("packed_prefix_shift_count", P_MATCH, P_SQL, "shift", (4, 8)), ("packed_suffix_count", S_MATCH, S_SQL, "range", (8, 8)),
     ("packed_infix_count", I_MATCH, I_SQL, "range", (8, 8)), ("packed_infix_shift_count", I_MATCH, I_SQL, "shift", (8, 4)), ("packed_in_count", I_MATCH, I_SQL, "in", (4, 4)),
 ):
-    query(_name, _sql)(lambda spark, d, m=_matches, w=_way, b=_bits: packed(spark, d, m, w, b))
+    query(_name, _sql)(lambda spark, d, m=_matches, w=_way, b=_bits: coded_documents(spark, d, *b, packed=True).count(spark, m, w))
 
 
 @query("wide_code_count", P_SQL)
 def wide_code_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs, bits=14)
-    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+    return coded_documents(spark, d, 14).count(spark, P_MATCH)
 
 
 @query("linear_code_count", P_SQL)
 def linear_code_count(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = quantile.boundaries(docs, "text", 8, method="linear")
-    return counted(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+    return coded_documents(spark, d, 8, method="linear").count(spark, P_MATCH)
+
+
+@query("single_code_count", "SELECT 'the end' AS pattern, count(*) AS match_count FROM documents WHERE starts_with(lower(text), 'the end')")
+def single_code_count(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern that one code holds is filtered by equality; one that several hold by its range."""
+    own = coded_documents(spark, d, 8, 8)
+    low, high = own.index.prefix.range("the end")
+    code = F.col(own.index.prefix.name)
+    condition = code == low if low == high else code.between(low, high)
+    return own.read(spark).where(condition).agg(F.lit("the end").alias("pattern"), F.count_if(Match("text", prefix="the end").exact()).alias("match_count"))
+
+
+@query("fallback_code_count", P_SQL)
+def fallback_code_count(spark: SparkSession, d: str) -> DataFrame:
+    """Without boundaries the keys' leading bits are the codes."""
+    codes = io.load_boundaries(spark, f"{io.work_folder(spark)}/codesieve-none", io.radix_boundaries("text", 8))
+    return counted(quantile.assign(table(spark, d, "documents"), codes), P_MATCH, Index(prefix=codes))
 
 
 #: Short strings for masks.
@@ -279,13 +283,14 @@ CODED_SQL = f"WITH {sql_codes('documents', 'text', 8)}, coded AS (SELECT doc_id,
 
 
 def coded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return quantile.assign(docs, prefix_codes(docs))
+    """documents with q8_prefix, as it was written."""
+    return coded_documents(spark, d, 8, 8).read(spark)
 
 
 @query("code_assignment", f"{CODED_SQL} SELECT doc_id, q8_prefix FROM coded")
 def code_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return coded(spark, d).select("doc_id", "q8_prefix")
+    docs = table(spark, d, "documents")
+    return quantile.assign(docs, prefix_codes(docs)).select("doc_id", "q8_prefix")
 
 
 @query("code_assignment_suffix", f"WITH {sql_codes('customer', 'c_name', 8, True, 's')} SELECT c_custkey, {sql_code(sql_key('c_name', True), 's')}::INTEGER AS q8_suffix FROM customer")
@@ -307,9 +312,16 @@ def code_assignment_sorted(spark: SparkSession, d: str) -> DataFrame:
     return quantile.assign_sorted(docs, quantile.boundary_table(spark, codes).select(F.col("key").alias("k")), codes, "code").select("doc_id", "code")
 
 
+@query("code_assignment_widest", f"WITH k AS (SELECT doc_id, {sql_key('text')} AS key FROM documents), r AS (SELECT key, sum(count(*)) OVER (ORDER BY key) AS upto FROM k GROUP BY key), n AS (SELECT greatest(count(*) - 1, 1) AS steps FROM k) SELECT doc_id, (least((upto::HUGEINT * {1 << 24} + steps - 1) // steps, {1 << 24}) - 1)::INTEGER AS q24_prefix FROM k JOIN r USING (key), n")
+def code_assignment_widest(spark: SparkSession, d: str) -> DataFrame:
+    """24 bits: boundaries stay a table. In SQL: boundary i is the key at rank floor(i * (n - 1) / 2 ** 24), so as many are up to a key as have a rank below its last."""
+    docs = table(spark, d, "documents")
+    return quantile.assign(docs, quantile.wide_boundaries(docs, "text", 24)).select("doc_id", "q24_prefix")
+
+
 @query("bucket_stats", f"{CODED_SQL} SELECT q8_prefix AS bucket_id, count(*) AS row_count FROM coded GROUP BY 1")
 def bucket_stats(spark: SparkSession, d: str) -> DataFrame:
-    return quantile.bucket_stats(coded(spark, d), "q8_prefix")
+    return quantile.bucket_stats(coded(spark, d), "q8_prefix").withColumn("bucket_id", F.col("bucket_id").cast("int"))
 
 
 @query("bucket_summary", f"{CODED_SQL} SELECT count(*) AS non_empty, max(n) AS largest, min(n) AS smallest, avg(n) AS mean_rows FROM (SELECT count(*) AS n FROM coded GROUP BY q8_prefix)")
@@ -324,7 +336,7 @@ def bucket_top10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("code_of_any_match", f"{CODED_SQL} SELECT min(q8_prefix) AS code, count(DISTINCT q8_prefix) AS codes FROM coded JOIN documents USING (doc_id) WHERE starts_with(lower(text), 'the')")
 def code_of_any_match(spark: SparkSession, d: str) -> DataFrame:
-    return coded(spark, d).where(Match("text", prefix="the").exact()).agg(F.min("q8_prefix").alias("code"), F.count_distinct("q8_prefix").alias("codes"))
+    return coded(spark, d).where(Match("text", prefix="the").exact()).agg(F.min("q8_prefix").cast("int").alias("code"), F.count_distinct("q8_prefix").alias("codes"))
 
 
 @query("packed_distribution", f"WITH {sql_codes('customer', 'c_name', 4)}, {sql_codes('customer', 'c_name', 4, True, 's')} SELECT (({sql_code(sql_key('c_name'))} << 4) | {sql_code(sql_key('c_name', True), 's')})::INTEGER AS q16_infix, count(*) AS n FROM customer GROUP BY 1")
@@ -409,17 +421,17 @@ report AS (SELECT ngram, match_count, lo::INTEGER AS bucket_lo, hi::INTEGER AS b
 
 @query("prune_rate_all_prefixes", f"{REPORT_SQL} SELECT *, round(match_count / (SELECT count(*) FROM documents), 9) AS selectivity, round(1 - rows_in_buckets / (SELECT count(*) FROM documents), 9) AS prune_rate FROM report")
 def prune_rate_all_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs)
-    return metrics.prefix_report(quantile.assign(docs, codes), "text", codes)
+    own = coded_documents(spark, d, 8, 8)
+    return metrics.prefix_report(own.read(spark), "text", own.index.prefix)
 
 
 SPAN_CASE = "CASE WHEN bucket_span <= 1 THEN '1' WHEN bucket_span <= 5 THEN '2-5' WHEN bucket_span <= 10 THEN '6-10' WHEN bucket_span <= 20 THEN '11-20' WHEN bucket_span <= 50 THEN '21-50' ELSE '>50' END"
 
 
-@query("bucket_span_bins", f"{REPORT_SQL} SELECT {SPAN_CASE} AS span_bin, count(*) AS n, round(exp(avg(ln(match_count))), 6) AS geomean FROM report GROUP BY 1")
+@query("bucket_span_bins", f"{REPORT_SQL} SELECT {SPAN_CASE} AS span_bin, count(*) AS n, round(exp(avg(ln(match_count))), 6) AS geomean, round(exp(avg(ln(rows_in_buckets))), 6) AS geomean_rows FROM report GROUP BY 1")
 def bucket_span_bins(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.with_span_bin(prune_rate_all_prefixes(spark, d)).groupBy("span_bin").agg(F.count("*").alias("n"), F.round(K.geometric_mean(F.col("match_count")), 6).alias("geomean"))
+    measures = [F.round(K.geometric_mean(F.col(c)), 6).alias(n) for c, n in (("match_count", "geomean"), ("rows_in_buckets", "geomean_rows"))]
+    return metrics.with_span_bin(prune_rate_all_prefixes(spark, d)).groupBy("span_bin").agg(F.count("*").alias("n"), *measures)
 
 
 @query("group_having_min3", f"{REPORT_SQL} SELECT bucket_span, count(*) AS n, round(avg(match_count), 6) AS mean FROM report GROUP BY 1 HAVING count(*) >= 3")
@@ -445,9 +457,8 @@ def sql_range(pattern: str, suffix: bool, tag: str, column: str) -> str:
 
 @query("query_profile", sql_profile([(p, sql_range(p, False, "p", "q8_prefix"), f"starts_with(lower(text), {lit(p)})") for p in PREFIXES], f"{CODED_SQL}, coded2 AS (SELECT text, q8_prefix FROM coded JOIN documents USING (doc_id))"))
 def query_profile(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs)
-    return metrics.profiles(quantile.assign(docs, codes), P_MATCH, Index(prefix=codes))
+    own = coded_documents(spark, d, 8, 8)
+    return metrics.profiles(own.read(spark), P_MATCH, Index(prefix=own.index.prefix))
 
 
 CUSTOMER_PAIRS = (("customer", "1"), ("cust", "00"), ("customer", "99"))
@@ -467,8 +478,9 @@ count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS m
 @query("six_way_compare", SIX_SQL)
 def six_way_compare(spark: SparkSession, d: str) -> DataFrame:
     """Prefix, suffix and infix counts by plain scan, two columns and one packed column, all in one scan."""
-    df, p, s = two_columns(table(spark, d, "documents"))
-    df = df.withColumn("q16_infix", F.shiftleft(p.name, 8).bitwiseOR(F.col(s.name)))
+    own = coded_documents(spark, d, 8, 8)
+    df, p, s = own.read(spark), own.index.prefix, own.index.suffix
+    df = df.withColumn("q16_infix", F.shiftleft(F.col(p.name).cast("int"), 8).bitwiseOR(F.col(s.name).cast("int")))
     two, one = Index(prefix=p, suffix=s), Index(prefix=p, suffix=s, packed="q16_infix")
     aggs, out = [], []
     for i, (a, b) in enumerate(INFIXES):
@@ -481,8 +493,9 @@ def six_way_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query("three_way_compare", f"SELECT p || '..' || s AS pattern, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS full_count, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS two_col_count, count(*) FILTER (starts_with(lower(text), p) AND ends_with(lower(text), s)) AS packed_count FROM documents, {rows(list(INFIXES), 'p, s')} GROUP BY p, s")
 def three_way_compare(spark: SparkSession, d: str) -> DataFrame:
-    df, p, s = two_columns(table(spark, d, "documents"))
-    df = df.withColumn("q16_infix", F.shiftleft(p.name, 8).bitwiseOR(F.col(s.name)))
+    own = coded_documents(spark, d, 8, 8)
+    df, p, s = own.read(spark), own.index.prefix, own.index.suffix
+    df = df.withColumn("q16_infix", F.shiftleft(F.col(p.name).cast("int"), 8).bitwiseOR(F.col(s.name).cast("int")))
     aggs, out = [], []
     for i, (name, m) in enumerate(I_MATCH.items()):
         ways = ([], Index(prefix=p, suffix=s).conditions(m), packed_conditions("q16_infix", p, s, m, "shift"))
@@ -493,8 +506,7 @@ def three_way_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query("accelerated_rows", "SELECT doc_id FROM documents WHERE starts_with(lower(text), 'the') AND ends_with(lower(text), '.')")
 def accelerated_rows(spark: SparkSession, d: str) -> DataFrame:
-    df, p, s = two_columns(table(spark, d, "documents"))
-    return accelerate(df, Match("text", prefix="the", suffix="."), Index(prefix=p, suffix=s)).select("doc_id")
+    return coded_documents(spark, d, 8, 8).rows(spark, Match("text", prefix="the", suffix=".")).select("doc_id")
 
 
 def sql_shuffled(columns: list[str], seed: int = 42) -> str:
@@ -516,7 +528,14 @@ def pair_cross_count(spark: SparkSession, d: str) -> DataFrame:
     return patterns.pair_count(distinct_prefix_ngrams(spark, d), distinct_suffix_ngrams(spark, d))
 
 
-@query("random_pairs")
+RANDOM_SQL = f"""WITH a AS (SELECT ngram AS prefix, row_number() OVER (ORDER BY {sql_shuffled(['ngram'])}, ngram) - 1 AS i FROM ({SQL['distinct_prefix_ngrams']}) QUALIFY i < 500),
+b AS (SELECT ngram AS suffix, row_number() OVER (ORDER BY {sql_shuffled(['ngram'], 43)}, ngram) - 1 AS i FROM ({SQL['distinct_suffix_ngrams']}) QUALIFY i < 500),
+n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb),
+t AS (SELECT id % na AS ia, (id + id // (na * nb // gcd(na, nb))) % nb AS ib FROM range(500) r(id), n WHERE id < na * nb)
+SELECT prefix, suffix FROM t JOIN a ON a.i = ia JOIN b ON b.i = ib"""
+
+
+@query("random_pairs", RANDOM_SQL)
 def random_pairs(spark: SparkSession, d: str) -> DataFrame:
     return patterns.random_pairs(distinct_prefix_ngrams(spark, d), distinct_suffix_ngrams(spark, d), 500)
 
@@ -544,23 +563,43 @@ ORDERED_SQL = f"{CODED_SQL}, z AS (SELECT doc_id // {SEGMENT} AS segment, min(q8
 
 @query("segment_pruning_sim", f"{ORDERED_SQL} " + " UNION ALL ".join(f"SELECT count(*) AS segments, {lit(p)} AS query, count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))}) AS skipped, round(100 * (count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))})) / count(*), 6) AS skipped_pct FROM z" for p in PREFIXES))
 def segment_pruning_sim(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs)
-    return metrics.segment_pruning(quantile.assign(docs, codes), "doc_id", codes.name, {p: codes.range(p) for p in PREFIXES}, SEGMENT)
+    own = coded_documents(spark, d, 8, 8)
+    codes = own.index.prefix
+    return metrics.segment_pruning(own.read(spark), "doc_id", codes.name, {p: codes.range(p) for p in PREFIXES}, SEGMENT)
 
 
 @query("segment_pruning_sorted", f"{CODED_SQL}, o AS (SELECT q8_prefix, row_number() OVER (ORDER BY q8_prefix, doc_id) - 1 AS i FROM coded), z AS (SELECT i // {SEGMENT} AS segment, min(q8_prefix) AS low, max(q8_prefix) AS high FROM o GROUP BY 1) " + " UNION ALL ".join(f"SELECT count(*) AS segments, {lit(p)} AS query, count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))}) AS skipped FROM z" for p in PREFIXES))
 def segment_pruning_sorted(spark: SparkSession, d: str) -> DataFrame:
-    """The same with rows clustered by code: a row's number is the rows with smaller codes and its place among its code's."""
-    docs = table(spark, d, "documents")
-    codes = prefix_codes(docs)
-    own = quantile.assign(docs, codes)
-    sizes = own.groupBy(codes.name).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(codes.name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(codes.name, "before")  # one row for each code
-    numbered = own.join(F.broadcast(before), codes.name).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy(codes.name).orderBy("doc_id")) - 1)
+    """The same with rows clustered by code: a row's number is the rows of earlier ranges of (code, doc_id) and its place in its own.
+
+    Ranges are of 65,536 doc_ids of one code, so a code that many rows share is sorted in many tasks.
+    """
+    written = coded_documents(spark, d, 8, 8)
+    codes = written.index.prefix
+    own = written.read(spark).select(codes.name, "doc_id", F.shiftright("doc_id", 16).alias("range"))
+    sizes = own.groupBy(codes.name, "range").agg(F.count("*").alias("n"))
+    of_code = sizes.groupBy(codes.name).agg(F.sum("n").alias("all")).select(codes.name, F.coalesce(F.sum("all").over(Window.orderBy(codes.name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row for each code
+    within = F.coalesce(F.sum("n").over(Window.partitionBy(codes.name).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.withColumn("within", within).join(F.broadcast(of_code), codes.name).select(codes.name, "range", (F.col("base") + F.col("within")).alias("before"))
+    numbered = own.join(before, [codes.name, "range"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy(codes.name, "range").orderBy("doc_id")) - 1)
     return metrics.segment_pruning(numbered, "i", codes.name, {p: codes.range(p) for p in PREFIXES}, SEGMENT).drop("skipped_pct")
 
 
+SWEEP = (1, 4, 8)
+
+
+@query("segment_pruning_sweep", " UNION ALL ".join(f"SELECT * FROM (WITH {sql_codes('documents', 'text', b)}, coded AS (SELECT doc_id, {sql_code(sql_key('text'))} AS q FROM documents), z AS (SELECT doc_id // {SEGMENT} AS segment, min(q) AS low, max(q) AS high FROM coded GROUP BY 1) " + " UNION ALL ".join(f"SELECT {b} AS bits, count(*) AS segments, {lit(p)} AS query, count(*) FILTER (high < {sql_code(lit(K.key_text(p)))} OR low > {sql_code(lit(K.key_text(p, False, 'F')))}) AS skipped FROM z" for p in PREFIXES) + ")" for b in SWEEP))
+def segment_pruning_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return reports.segment_sweep(table(spark, d, "documents"), "text", "doc_id", PREFIXES, SWEEP, SEGMENT).drop("skipped_pct")
+
+
+@query("group_sweep", " UNION ALL ".join(f"SELECT {lit(x)} AS pattern, {n} AS group_rows, count(*) AS groups_total, count(*) FILTER (k = 0) AS groups_skipped, count(*) FILTER (k > 0) AS groups_loaded FROM (SELECT i // {n} AS g, count(*) FILTER ((m & {PAIRS.mask(x)}) = {PAIRS.mask(x)}) AS k FROM (SELECT file_row_number AS i, ({SQL_MASK})::INTEGER AS m FROM (SELECT row_number() OVER () - 1 AS file_row_number, text FROM conversations)) GROUP BY 1)" for x in INSIDE for n in (10, 100)))
+def group_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Row groups of several sizes in which no row has a pattern's mask; conversations is one file, its rows are numbered as they lie in it."""
+    masks = {x: F.col("fp16_chars").bitwiseAND(F.lit(PAIRS.mask(x))) == PAIRS.mask(x) for x in INSIDE}
+    return reports.group_sweep(masked(spark, d), masks, (10, 100)).drop("skipped_pct")
+
+
 # Summaries of measurements, over tables of numbers.
 
 
@@ -681,6 +720,33 @@ def linear_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(table(spark, d, "lineitem"), "l_quantity", HIST)
 
 
+HIST_LOG = [round(x, 6) for x in stats.edges_log(900, 110000, 51)]
+
+
+@query("log_histogram", f"SELECT i::INTEGER AS bin, coalesce(n, 0) AS n FROM range(50) t(i) LEFT JOIN (SELECT {sql_bins('l_extendedprice', HIST_LOG, False, True)} AS bin, count(*) AS n FROM lineitem GROUP BY 1) ON bin = i")
+def log_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(table(spark, d, "lineitem"), "l_extendedprice", HIST_LOG)
+
+
+@query("head_rows", "SELECT doc_id, lower(left(text, 20)) AS head FROM documents ORDER BY doc_id LIMIT 10")
+def head_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows in a stated order."""
+    return table(spark, d, "documents").orderBy("doc_id").limit(10).select("doc_id", F.lower(F.left("text", F.lit(20))).alias("head"))
+
+
+@query("first_rows_estimate", f"SELECT count(*) AS n, count(*) FILTER ((m & {PAIRS.mask('the')}) = {PAIRS.mask('the')}) AS passed FROM (SELECT ({SQL_MASK})::INTEGER AS m FROM (SELECT text FROM conversations ORDER BY conv_id, turn LIMIT 200))")
+def first_rows_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """A mask's pass rate estimated on the first rows in a stated order."""
+    first = talk(spark, d).orderBy("conv_id", "turn").limit(200)
+    return first.withColumn(PAIRS.name, PAIRS.column(F.col("text"))).agg(F.count("*").alias("n"), F.count_if(F.col(PAIRS.name).bitwiseAND(F.lit(PAIRS.mask("the"))) == PAIRS.mask("the")).alias("passed"))
+
+
+@query("bounded_substrings", f"SELECT ngram FROM ({SUB_SQL.format(n=4, m=3, table='benchmark')}) ORDER BY {sql_shuffled(['ngram'])}, ngram LIMIT 500")
+def bounded_substrings(spark: SparkSession, d: str) -> DataFrame:
+    """A bounded number of the distinct substrings, the same on every run."""
+    return patterns.take(patterns.substrings(table(spark, d, "benchmark"), "text", 4), 500, "ngram")
+
+
 @query("display_format", "SELECT l_returnflag, printf('%.2fx', avg(l_quantity)) AS shown FROM lineitem GROUP BY 1")
 def display_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.format_string("%.2fx", F.avg("l_quantity")).alias("shown"))

@@ -44,8 +44,12 @@ def radix_code(key_hex: Column, bits: int) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """All runs of n characters in order; none if the string is shorter."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters in order; none if the string is shorter. The string is cut into characters once, so the work grows with its length."""
+
+    def runs(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+
+    return F.when(F.length(text) >= n, F.flatten(F.transform(F.array(F.split(text, "")), runs))).otherwise(F.array().cast("array<string>"))
 
 
 def entropy(p: Column) -> Column:

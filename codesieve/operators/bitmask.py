@@ -75,7 +75,7 @@ def select_features(df: DataFrame, column: str, id_column: str, bits: int = WIDE
         raise ValueError(f"a mask has 1 to {WIDEST} bits")
     allowed = candidates(df, column, n, max_share)
     grams = presence(df, column, n, F.col(id_column).alias("id")).join(allowed.select("gram"), "gram").persist()
-    rows, chosen, order = df.select(F.col(id_column).alias("id"), F.lit(0).alias("part")), [], [0]
+    rows, chosen, order, earlier = df.select(F.col(id_column).alias("id"), F.lit(0).alias("part")), [], [0], []
     try:
         unused = [r.gram for r in allowed.orderBy("gram").limit(bits).collect()]
         if len(unused) < bits:
@@ -89,12 +89,16 @@ def select_features(df: DataFrame, column: str, id_column: str, bits: int = WIDE
             else:  # nothing is left to split: the smallest gram that is unused
                 spare = allowed.where(~F.col("gram").isin(chosen)) if chosen else allowed
                 part, gram = order[0], spare.agg(F.min("gram")).first()[0]
+            for old in earlier:  # the rows of this step have been computed
+                old.unpersist()
+            earlier = [rows]
             chosen.append(gram)
             has = grams.where(F.col("gram") == gram).select("id", F.lit(1).alias("has"))
             rows = rows.join(has, "id", "left").select("id", F.when((F.col("part") == part) & (F.col("has") == 1), F.lit(2 * step + 2)).when(F.col("part") == part, F.lit(2 * step + 1)).otherwise(F.col("part")).alias("part")).persist()
             order = [p for p in order if p != part] + [2 * step + 1, 2 * step + 2]
     finally:
-        grams.unpersist()
+        for kept in (grams, rows, *earlier):
+            kept.unpersist()
     return Features(tuple(chosen), n)
 
 

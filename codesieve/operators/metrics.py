@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.keys import ratio
 from codesieve.operators.patterns import span_bin
-from codesieve.operators.quantile import Codes
+from codesieve.operators.quantile import Codes, code_of, pattern_key
 from codesieve.plans.predicates import Index, Match
 
 #: Rows of a segment when none are given.
@@ -56,22 +56,11 @@ def prefix_report(coded: DataFrame, column: str, codes: Codes, n: int = 3) -> Da
     Matches come from grouping rows by their n-gram, ranges from the boundaries, and rows in a range from the
     running count of rows by code: no pattern is searched for in the table.
     """
-    spark = coded.sparkSession
     gram = F.right if codes.suffix else F.left
     long_enough = coded.where(F.length(column) >= n).select(F.lower(gram(F.col(column), F.lit(n))).alias("ngram"))
     matches = long_enough.groupBy("ngram").agg(F.count("*").alias("match_count"))
-    from codesieve.functions.keys import key
-
-    own = key(F.col("ngram"), codes.suffix)
-    filled = F.rpad(F.regexp_replace(own, "(00)+$", ""), 16, "F")
-    bounds = F.array(*map(F.lit, codes.boundaries))
-
-    def code(k: Column) -> Column:
-        pair = F.array(F.struct(k.alias("k"), bounds.alias("b")))
-        steps = F.array(*[F.lit(1 << j) for j in reversed(range(codes.bits))])
-        return F.get(F.transform(pair, lambda s: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(s["b"], at + step) <= s["k"], at + step).otherwise(at))), 0)
-
-    ranged = matches.select("ngram", "match_count", code(own).alias("bucket_lo"), code(filled).alias("bucket_hi"))
+    low, high = (code_of(codes, pattern_key(F.col("ngram"), codes.suffix, fill)) for fill in "0F")
+    ranged = matches.select("ngram", "match_count", low.alias("bucket_lo"), high.alias("bucket_hi"))
     sizes = {r[0]: r[1] for r in coded.groupBy(codes.name).count().collect()}  # one row for each code in use
     running, total = [0], 0
     for i in range(1 << codes.bits):

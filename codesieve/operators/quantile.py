@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.keys import key, key_text
+from codesieve.functions.keys import KEY_BYTES, folded, key, key_text
 
 #: Widest code; bits up to which boundaries are literals of the plan, and up to which an array is broadcast.
 WIDEST, LITERAL_BITS, BROADCAST_BITS = 28, 10, 20
@@ -37,26 +37,51 @@ class Codes:
         return self.code(key_text(pattern, self.suffix, "0")), self.code(key_text(pattern, self.suffix, "F"))
 
 
-def ranked(counted: DataFrame) -> DataFrame:
-    """k and the ranks `low` to `high` - 1 that each key has among all rows, from keys k with their numbers of rows n.
+@dataclass(frozen=True)
+class WideCodes:
+    """An encoding too wide for the driver: `edges` has each key k that is a boundary, and how many boundaries (n) it is."""
+
+    column: str
+    bits: int
+    suffix: bool
+    edges: DataFrame
 
-    Running counts are taken in ranges of two bytes, so no task sorts more than the distinct keys that begin with its two.
+    name = Codes.name
+
+    def range(self, pattern: str) -> tuple[int, int]:
+        """First and last code that strings beginning (or ending) with the pattern can have, by one pass over the boundaries."""
+        ends = [F.coalesce(F.sum(F.when(F.col("k") <= key_text(pattern, self.suffix, fill), F.col("n"))), F.lit(0)) for fill in "0F"]
+        return tuple(max(0, int(x) - 1) for x in self.edges.agg(*ends).first())
+
+
+def running(counted: DataFrame) -> DataFrame:
+    """The rows of (k, n, ...), with `upto`: the sum of n over all keys up to and with k. Keys are distinct.
+
+    Sums are taken over ranges of two bytes, of four, and then of keys, so that a task sorts 65,536 ranges at most, or the distinct
+    keys that begin with the same four bytes.
     """
-    ranges = counted.withColumn("r", F.substring("k", 1, 4))
-    before = ranges.groupBy("r").agg(F.sum("n").alias("all")).select("r", F.coalesce(F.sum("all").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 65,536 rows at most
-    inside = F.sum("n").over(Window.partitionBy("r").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    ends = ranges.withColumn("inside", inside).join(F.broadcast(before), "r")
-    return ends.select("k", (F.col("before") + F.col("inside") - F.col("n")).alias("low"), (F.col("before") + F.col("inside")).alias("high"))
+    ranged = counted.withColumns({"r": F.substring("k", 1, 4), "q": F.substring("k", 1, 8)})
+    fine = ranged.groupBy("r", "q").agg(F.sum("n").alias("all"))
+    coarse = fine.groupBy("r").agg(F.sum("all").alias("all")).select("r", F.coalesce(F.sum("all").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 65,536 rows at most
+    within = F.coalesce(F.sum("all").over(Window.partitionBy("r").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = fine.withColumn("within", within).join(F.broadcast(coarse), "r").select("q", (F.col("base") + F.col("within")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("q").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("inside", inside).join(before, "q").withColumn("upto", F.col("before") + F.col("inside")).select(*counted.columns, "upto")
+
+
+def ranked(counted: DataFrame) -> DataFrame:
+    """k and the ranks `low` to `high` - 1 that each key has among all rows, from keys k with their numbers of rows n."""
+    return running(counted).select("k", (F.col("upto") - F.col("n")).alias("low"), F.col("upto").alias("high"))
 
 
 def boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False, method: str = "lower") -> Codes:
     """Boundaries at equal shares of the sorted keys of all rows.
 
     lower: the key at rank floor(i * (n - 1) / 2 ** bits). linear: numpy's interpolated percentiles of the keys as
-    numbers, made monotone. An empty table has all boundaries at the least key.
+    numbers, made monotone. An empty table has all boundaries at the least key. Up to BROADCAST_BITS bits; see wide_boundaries.
     """
-    if not 1 <= bits <= WIDEST:
-        raise ValueError(f"bits must be 1 to {WIDEST}")
+    if not 1 <= bits <= BROADCAST_BITS:
+        raise ValueError(f"bits must be 1 to {BROADCAST_BITS} here, wider codes are made by wide_boundaries")
     counted = df.select(key(F.col(column), suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     size = 1 << bits
     n = df.count()
@@ -84,6 +109,53 @@ def boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False, meth
     return Codes(column, bits, suffix, tuple(f"{int(x):016X}" for x in points))
 
 
+def wide_boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False) -> WideCodes:
+    """Boundaries by the rule `lower`, as a table that never comes to the driver; any width up to WIDEST."""
+    if not 1 <= bits <= WIDEST:
+        raise ValueError(f"bits must be 1 to {WIDEST}")
+    counted = df.select(key(F.col(column), suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    size, steps = 1 << bits, max(df.count() - 1, 1)
+
+    def below(rank: str) -> Column:
+        """How many boundaries have a smaller rank."""
+        return F.expr(f"least((cast({rank} as decimal(38, 0)) * {size} + {steps - 1}) div {steps}, {size}L)")
+
+    edges = ranked(counted).select("k", (below("high") - below("low")).cast("long").alias("n")).where("n > 0")
+    return WideCodes(column, bits, suffix, edges)
+
+
+def code_of(codes: Codes, own: Column) -> Column:
+    """The code of a key: one step of binary search for each bit, over literal boundaries."""
+    held = F.array(*map(F.lit, codes.boundaries))
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(codes.bits))])
+    pair = F.struct(own.alias("k"), held.alias("b"))
+    return F.get(F.transform(F.array(pair), lambda s: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(s["b"], at + step) <= s["k"], at + step).otherwise(at))), 0)
+
+
+def code_column(codes: Codes) -> Column:
+    return code_of(codes, key(F.col(codes.column), codes.suffix))
+
+
+def pattern_key(pattern: Column, suffix: bool, fill: str) -> Column:
+    """keys.key_text of a column of patterns: filled with F, the greatest key that a string beginning with the pattern can have."""
+    return F.rpad(F.hex(F.substring(F.encode(folded(pattern, suffix), "UTF-8"), 1, KEY_BYTES)), 2 * KEY_BYTES, fill)
+
+
+def wide_boundaries(df: DataFrame, column: str, bits: int, suffix: bool = False) -> WideCodes:
+    """Boundaries by the rule `lower`, as a table that never comes to the driver; any width up to WIDEST."""
+    if not 1 <= bits <= WIDEST:
+        raise ValueError(f"bits must be 1 to {WIDEST}")
+    counted = df.select(key(F.col(column), suffix).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    size, steps = 1 << bits, max(df.count() - 1, 1)
+
+    def below(rank: str) -> Column:
+        """How many boundaries have a smaller rank."""
+        return F.expr(f"least((cast({rank} as decimal(38, 0)) * {size} + {steps - 1}) div {steps}, {size}L)")
+
+    edges = ranked(counted).select("k", (below("high") - below("low")).cast("long").alias("n")).where("n > 0")
+    return WideCodes(column, bits, suffix, edges)
+
+
 def code_column(codes: Codes) -> Column:
     """The code as an expression: one step of binary search for each bit, over literal boundaries."""
     held = F.array(*map(F.lit, codes.boundaries))
@@ -93,38 +165,39 @@ def code_column(codes: Codes) -> Column:
     return F.get(F.transform(F.array(pair), lambda s: F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(s["b"], at + step) <= s["k"], at + step).otherwise(at))), 0)
 
 
-def assign(df: DataFrame, codes: Codes, name: str | None = None) -> DataFrame:
-    """df with the code column: int up to 31 bits. Narrow up to 20 bits; beyond, boundaries and rows are sorted together by ranges of keys."""
+def assign(df: DataFrame, codes: Codes | WideCodes, name: str | None = None) -> DataFrame:
+    """df with the code column, an int. Boundaries of up to 10 bits are literals, of up to 20 an array on each executor; beyond, rows and boundaries are sorted together."""
     name = name or codes.name
+    if isinstance(codes, WideCodes):
+        return assign_sorted(df, codes.edges, codes, name)
     if codes.bits <= LITERAL_BITS:
         return df.withColumn(name, code_column(codes))
-    if codes.bits <= BROADCAST_BITS:  # at most 8 MB
-        held = df.sparkSession.sparkContext.broadcast(np.array([int(k, 16) for k in codes.boundaries], np.uint64))
-
-        @F.pandas_udf("int")
-        def lookup(keys: pd.Series) -> pd.Series:
-            values = np.array([int(k, 16) for k in keys], np.uint64)
-            return pd.Series(np.maximum(np.searchsorted(held.value, values, side="right") - 1, 0).astype(np.int32))
+    held = df.sparkSession.sparkContext.broadcast(np.array([int(k, 16) for k in codes.boundaries], np.uint64))  # at most 8 MB
 
-        return df.withColumn(name, lookup(key(F.col(codes.column), codes.suffix)))
-    edges = df.sparkSession.createDataFrame(pd.DataFrame({"k": list(codes.boundaries)}))
-    return assign_sorted(df, edges, codes, name)
+    @F.pandas_udf("int")
+    def lookup(keys: pd.Series) -> pd.Series:
+        values = np.array([int(k, 16) for k in keys], np.uint64)
+        return pd.Series(np.maximum(np.searchsorted(held.value, values, side="right") - 1, 0).astype(np.int32))
 
+    return df.withColumn(name, lookup(key(F.col(codes.column), codes.suffix)))
 
-def assign_sorted(df: DataFrame, edges: DataFrame, codes: Codes, name: str) -> DataFrame:
-    """The as-of lookup by sorting: the number of boundaries up to a distinct key, counted in ranges of two bytes.
 
-    Rows are joined by key, so no range holds more than the distinct keys that begin with its two bytes.
-    """
+def assign_sorted(df: DataFrame, edges: DataFrame, codes: Codes | WideCodes, name: str) -> DataFrame:
+    """The as-of lookup by sorting: how many boundaries lie up to each distinct key. Rows are joined by key. edges: a row k for each boundary, or k and how many are equal (n)."""
+    if "n" not in edges.columns:
+        edges = edges.groupBy("k").agg(F.count("*").alias("n"))
     rows = df.withColumn("cs_key", key(F.col(codes.column), codes.suffix))
-    both = edges.groupBy("k").agg(F.count("*").alias("n")).select("k", "n", F.lit(False).alias("asks")).union(rows.select(F.col("cs_key").alias("k")).distinct().select("k", F.lit(0).cast("long"), F.lit(True)))
-    ranged = both.withColumn("r", F.substring("k", 1, 4))
-    before = ranged.groupBy("r").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 65,536 rows at most
-    inside = F.sum("n").over(Window.partitionBy("r").orderBy("k", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    found = ranged.withColumn("inside", inside).where("asks").join(F.broadcast(before.select("r", "before")), "r").select("k", F.greatest(F.col("inside") + F.col("before") - 1, F.lit(0)).cast("int").alias(name))
+    asked = rows.select(F.col("cs_key").alias("k")).distinct().select("k", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks"))
+    both = edges.select("k", "n", F.lit(False).alias("asks")).union(asked).groupBy("k").agg(F.sum("n").alias("n"), F.max("asks").alias("asks"))
+    found = running(both).where("asks").select("k", F.greatest(F.col("upto") - 1, F.lit(0)).cast("int").alias(name))
     return rows.join(found, rows["cs_key"] == found["k"]).drop("cs_key", "k")
 
 
+def narrow(df: DataFrame, *codes: Codes | WideCodes) -> DataFrame:
+    """Code columns in the smallest type that holds them: two bytes up to 15 bits, else four."""
+    return df.withColumns({c.name: F.col(c.name).cast("short" if c.bits < 16 else "int") for c in codes})
+
+
 def pack(df: DataFrame, prefix: Codes, suffix: Codes, name: str = "q16_infix") -> DataFrame:
     """df with both codes in one number of at most 16 bits, the prefix's above the suffix's."""
     if prefix.bits + suffix.bits > 16:
