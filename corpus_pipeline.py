@@ -1,7 +1,10 @@
 """A training-data pipeline over `documents`: quality, lines, near duplicates, repeated passages, packing.
 
-Each stage takes (spark, docs, sf_dir); all but the last return rows with the columns of documents. SQL can't
-express the classifier, the suffix sort and the tokenizer, so there is no ORACLE_SQL.
+Each stage takes (spark, docs, sf_dir); all but the last return rows with the columns of documents, further ones included whatever their names. SQL can't
+express the classifier, the suffix sort and the tokenizer, so there is no ORACLE_SQL; tests hold the stages against brute force.
+
+A null text counts as empty. Empty and blank texts pass the stages unchanged, if the classifier keeps them. Rows with one doc_id and one text are one
+document, of which the third stage keeps one row. Null doc_ids come after all others. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import jaccard_join, line_dedup, packing, quality, suffix_dedup
-from codesieve.llm.common import Saved, documents
+from codesieve.llm.common import Saved, documents, release
 
 ORACLE_SQL = None
 
@@ -28,8 +31,7 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every line that stands earlier in the corpus goes; a document that has lost all its lines goes too."""
-    out = line_dedup.rewrite(docs, gram=1, window=1)
-    return counted(out.where("cs_removed = 0 or cs_removed < cs_lines"), docs.columns)
+    return counted(line_dedup.rewrite(docs, window=1, emptied=False), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each stage's rows are written to the shared folder and read again."""
     saved, docs = Saved(spark), documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = saved.save(stage(spark, docs, sf_dir), name)
+        kept = stage(spark, docs, sf_dir)
+        docs = saved.save(kept, name)
+        release(kept)  # what the stage before left, and the stage's own tables
     return STAGES[-1][1](spark, docs, sf_dir)
