@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.sources.io import work_folder
+
 #: How the names of folders with saved tables begin.
 OWN_PREFIX = "codesieve-saved-"
 #: Bytes of text that an operator holds in its working arrays at a time.
@@ -42,6 +41,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts of a view, by one pass."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def dealt(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each number that stands in an array, in order, and its places."""
+    order = np.argsort(target, kind="stable")
+    cuts = np.flatnonzero(np.append(True, target[order][1:] != target[order][:-1])[: len(target)])
+    return [(int(target[x[0]]), x) for x in np.split(order, cuts[1:])] if len(target) else []
+
+
 def fold(modulus: int, remainder: int) -> F.Column:
     """Whether crc32(doc_id as text) leaves the remainder; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -135,23 +146,11 @@ def hash_words(dictionary: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.asarray(dictionary.to_pylist(), dtype=object), categorize=False) if len(dictionary) else np.zeros(0, np.uint64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a session that names none, as in tests, gets a temporary one."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if not own:
-            own = tempfile.mkdtemp(prefix="codesieve")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(own)
-    return context.getCheckpointDir()
-
-
 class Saved:
     """Tables written to the shared folder: they cut lineage, so a lost executor repeats one step and not all."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.home, self.paths = spark, f"{shared_folder(spark)}/{OWN_PREFIX}{uuid.uuid4().hex}", []
+        self.spark, self.home, self.paths = spark, f"{work_folder(spark)}/{OWN_PREFIX}{uuid.uuid4().hex}", []
 
     def save(self, table: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.home}/{name}-{len(self.paths)}"

@@ -22,64 +22,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import mix, partitions, ranges, text_bytes, view
+from codesieve.llm.common import dealt, mix, partitions, ranges, spare, text_bytes, text_size, view
 from codesieve.llm.induced_sort import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the k-grams among which minimizers are chosen.
 LENGTH, GRAM = 50, 24
-#: Blocks of texts and shards of segments for each shuffle partition, and bytes that a block works on at a time.
-BLOCKS, SHARDS, SLICE = 2, 2, 4 << 20
+#: Blocks of texts and shards of segments for each shuffle partition, at least; bytes of text of a block, as many shards as there are such blocks; and bytes that a block works on at a time.
+BLOCKS, SHARDS, BLOCK_BYTES, SLICE = 2, 2, 8 << 20, 4 << 20
 #: The place of documents without an id: after all others, none of them before another.
 NO_ID = np.iinfo(np.int64).max
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the `size` bytes from each place that has so many, built from hashes of 1, 2, 4, ... bytes."""
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    power = {0: np.uint64(1)}
+    """A 64-bit hash of the `size` bytes from each place that has so many: sums of words of up to eight bytes, each times a factor of its own, then mixed."""
+    n, wide = len(data) - size + 1, min(size, 8)
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    if wide == 8:
+        word = np.empty(len(data) - 7, np.uint64)
+        for k in range(8):
+            own = data[k : k + (len(data) - k) // 8 * 8].view("<u8") if len(data) - k >= 8 else np.zeros(0, np.uint64)
+            word[k::8] = own
+    else:
+        word = np.zeros(n, np.uint64)
+        for k in range(wide):
+            word = word << np.uint64(8) | data[k : k + n]
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(1, size + 1):
-            power[k] = power[k - 1] * factor
-        part, have, out, done = mix(np.arange(1, 257, dtype=np.uint64))[data], 1, None, 0
-        rest = size
-        while rest:
-            if rest & 1:
-                out = part if out is None else out[: len(out) - have] * power[have] + part[done : done + len(out) - have] if len(out) > have else np.zeros(0, np.uint64)
-                done += have
-            rest >>= 1
-            if rest:
-                part = part[:-have] * power[have] + part[have:] if len(part) > have else np.zeros(0, np.uint64)
-                have *= 2
-    return mix(out[: max(0, len(data) - size + 1)])
+        for i, at in enumerate([*range(0, size - wide, wide), size - wide]):
+            out += word[at : at + n] * (mix(np.array([i + 1], np.uint64))[0] | np.uint64(1))
+    return mix(out)
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least value of each window, the leftmost of equals."""
-    at, have = np.arange(len(values)), 1
-    low = values
+    """Place of the least value (by its upper 32 bits) of each window, the leftmost of equals."""
+    low = values & np.uint64(0xFFFFFFFF00000000) | np.arange(len(values), dtype=np.uint64)
+    have = 1
     while have < width:
         step = min(have, width - have)
-        a, b = low[:-step], low[step:]
-        later = b < a
-        low, at = np.where(later, b, a), np.where(later, at[step:], at[:-step])
+        low = np.minimum(low[:-step], low[step:])
         have += step
-    return at
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of rows of bytes: each segment's row, place of its first string, number of strings, minimizer hash, and the minimizer's place in it."""
     empty = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(data) < length or not (np.diff(starts) >= length).any():
         return empty, empty, empty, np.zeros(0, np.uint64), empty
     hashes = gram_hashes(data, gram)
     least = window_minima(hashes, length - gram + 1)
-    counts = np.maximum(np.diff(starts) - length + 1, 0)
-    place, row = ranges(starts[:-1], counts), np.repeat(np.arange(len(counts)), counts)
-    if not len(place):
-        return empty, empty, empty, np.zeros(0, np.uint64), empty
-    chosen = least[place]
-    first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])))
-    return row[first], place[first], np.diff(np.append(first, len(place))), hashes[chosen[first]], chosen[first] - place[first]
+    # A segment begins where a row with strings does, or the minimizer changes; it ends there or after its row's last string.
+    rows = np.flatnonzero(np.diff(starts) >= length)
+    fresh = np.append(True, least[1:] != least[:-1])
+    fresh[starts[rows]] = True
+    first = np.flatnonzero(fresh)
+    row = np.searchsorted(starts, first, side="right") - 1
+    last = starts[row + 1] - length
+    inside = first <= last
+    count = np.minimum(np.append(first[1:], len(least)), last + 1) - first
+    row, first, count = row[inside], first[inside], count[inside]
+    return row, first, count, hashes[least[first]], least[first] - first
 
 
 class Block:
@@ -100,23 +103,22 @@ class Block:
         self.row, self.place, self.count, self.value, self.within = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(5))
         self.value = self.value.astype(np.uint64)
 
-    def anchors(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct minimizers by part and value, each one's part, and whether several documents of the block have it."""
-        order = np.lexsort((self.docs[self.row], self.value))
-        value, doc = self.value[order], self.docs[self.row][order]
-        fresh = np.append(True, value[1:] != value[:-1])[: len(value)]
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(value)) - 1 if len(first) else first
-        value, several = value[first], doc[first] != doc[last]
-        part = (value % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        return value[by], part[by], several[by]
-
-    def candidates(self, anchors: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Segments whose minimizer repeats: their numbers; the distinct byte strings among them, each one's smallest document, minimizer and its place, and each segment's string number."""
-        repeated = np.sort(anchors[flags])
-        at = np.minimum(np.searchsorted(repeated, self.value), max(len(repeated) - 1, 0))
-        chosen = np.flatnonzero(repeated[at] == self.value) if len(repeated) else np.zeros(0, np.int64)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct minimizers (their upper 48 bits) in order, and whether several documents of the block have each."""
+        value = self.value >> np.uint64(16)
+        order = np.argsort(value)
+        value, row = value[order], self.row[order]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+        if not len(first):
+            return value, np.zeros(0, bool)
+        docs = self.docs[row]
+        return value[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+
+    def candidates(self, repeated: np.ndarray, length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments whose minimizer repeats (in order, as anchors has them): their numbers; the distinct byte strings among them, each one's smallest document, minimizer and its place, and each segment's string number."""
+        value = self.value >> np.uint64(16)
+        at = np.minimum(np.searchsorted(repeated, value), max(len(repeated) - 1, 0))
+        chosen = np.flatnonzero(repeated[at] == value) if len(repeated) else np.zeros(0, np.int64)
         raw, number = self.data.tobytes(), {}
         ends = self.place[chosen] + self.count[chosen] + length - 1
         own = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(self.place[chosen].tolist(), ends.tolist(), strict=True)), np.int64, len(chosen))
@@ -128,28 +130,40 @@ class Block:
         return chosen, list(number), docs, values, within, own
 
 
+def pack48(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack48(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def shard_of(values: np.ndarray, parts: int) -> np.ndarray:
     return (mix(values + np.uint64(7)) % np.uint64(parts)).astype(np.int64)
 
 
-def may_share(pieces: list[bytes], values: np.ndarray, within: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The distinct pieces that may share a string with another one: those that agree with one in the minimizer and in half of what a string has besides, before it or behind it.
+def may_share(pieces: list[bytes], values: np.ndarray, within: np.ndarray, length: int, gram: int, step: int = 4) -> np.ndarray:
+    """The distinct pieces that may share a string with another one: those that agree with one in the minimizer and in all but `step` - 1 of the bytes that a string has besides, some before it and the rest behind it.
 
     A piece whose minimizer no other piece has needs no sorting: equal pieces are one here.
     """
-    half = -(-(length - gram) // 2)
     _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    rest = length - gram
+    # A string with at least `a` and fewer than a + step bytes before its minimizer has so many behind it at least.
+    sides = [(a, max(0, rest - a - step + 1)) for a in range(0, rest + 1, step)]
     seen: dict[tuple, int] = {}
-    sides = []
+    doubtful = set()
     for i in np.flatnonzero(counts[inverse] > 1).tolist():
         piece, value, at = pieces[i], int(values[i]), int(within[i])
-        before = (value, 0, piece[at - half : at]) if at >= half else None
-        behind = (value, 1, piece[at + gram : at + gram + half]) if at + gram + half <= len(piece) else None
-        for x in (before, behind):
-            if x:
-                seen[x] = seen.get(x, 0) + 1
-        sides.append((i, before, behind))
-    return np.array([i for i, before, behind in sides if (before and seen[before] > 1) or (behind and seen[behind] > 1)], np.int64)
+        for a, b in sides:
+            if a <= at and at + gram + b <= len(piece):
+                other = seen.setdefault((value, a, piece[at - a : at + gram + b]), i)
+                if other != i:
+                    doubtful.add(other)
+                    doubtful.add(i)
+    return np.array(sorted(doubtful), np.int64)
 
 
 def later_strings(pieces: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
@@ -207,48 +221,38 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
     whole characters, and `spans` the removed runs as (start, end). Strings of a text without doc_id are after all others.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
-    shards = SHARDS * parts
+    size = -(-text_size(view(docs)) // BLOCK_BYTES)
+    n_blocks, shards, parts = (max(least * partitions(spark), size) for least in (BLOCKS, SHARDS, 1))
     if length - gram >= 64 or not 0 < gram <= length:
         raise ValueError("a gram is shorter than a string, by less than 64")
-    blocks = texts(docs, BLOCKS * parts)
+    blocks = texts(docs, n_blocks)
 
     def send_anchors(table: pa.Table) -> pa.Table:
-        value, part, several = Block(table, length, gram).anchors(parts)
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        spans = [slice(cuts[p], cuts[p + 1]) for p in some]
-        return pa.table({"part": pa.array(some, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(some), pa.int32()), "anchors": pa.array([blob(value[s]) for s in spans], pa.binary()), "several": pa.array([blob(np.packbits(several[s])) for s in spans], pa.binary())})
+        value, several = Block(table, length, gram).anchors()
+        rows = dealt((mix(value) % np.uint64(parts)).astype(np.int64))
+        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "anchors": pa.array([pack48(value[x]) for _, x in rows], pa.binary()), "several": pa.array([blob(np.packbits(several[x])) for _, x in rows], pa.binary())})
 
     def find_repeated(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, "<u8") for x in table.column("anchors").to_pylist()]
+        lists = [unpack48(x) for x in table.column("anchors").to_pylist()]
         lengths = [len(x) for x in lists]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("several").to_pylist(), lengths, strict=True)])
         _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
         repeated = (counts > 1) | (np.bincount(inverse, several, len(counts)) > 0)
         flags = np.split(repeated[inverse], np.cumsum(lengths)[:-1])
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "flags": pa.array([blob(np.packbits(x)) for x in flags], pa.binary())})
+        return pa.table({"block": table.column("block"), "repeated": pa.array([pack48(x[f]) for x, f in zip(lists, flags, strict=True)], pa.binary())})
 
     anchors = blocks.groupBy("block").applyInArrow(send_anchors, "part int, block int, anchors binary, several binary")
-    flags = anchors.groupBy("part").applyInArrow(find_repeated, "block int, part int, flags binary")
-
-    def flagged(table: pa.Table, found: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
-        own = Block(table, length, gram)
-        value, part, _ = own.anchors(parts)
-        found = found.sort_by("part")
-        sizes = np.bincount(part, minlength=parts)
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(sizes[p])) for p, x in zip(found.column("part").to_pylist(), found.column("flags").to_pylist(), strict=True)]
-        return own, value, np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    repeated = anchors.groupBy("part").applyInArrow(find_repeated, "block int, repeated binary")
 
     def send_segments(table: pa.Table, found: pa.Table) -> pa.Table:
-        own, value, bits = flagged(table, found)
-        _, pieces, least, values, within, _ = own.candidates(value, bits, length)
+        own, value = Block(table, length, gram), np.sort(unpack48(b"".join(found.column("repeated").to_pylist())))
+        _, pieces, least, values, within, _ = own.candidates(value, length)
         shard = shard_of(values, shards)
-        rows = [(s, np.flatnonzero(shard == s)) for s in np.unique(shard)]
+        rows = dealt(shard)
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({
-            "shard": pa.array([s for s, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "flags": pa.array([blob(np.packbits(bits)) if not i else b"" for i in range(len(rows))], pa.binary()),
-            "bytes": pa.array([b"".join(pieces[i] for i in x) for _, x in rows], pa.binary()), "lengths": pa.array([blob(np.array([len(pieces[i]) for i in x], "<u2")) for _, x in rows], pa.binary()), "docs": pa.array([blob(least[x].astype("<i8")) for _, x in rows], pa.binary()),
+            "shard": pa.array([s for s, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "repeated": pa.array([pack48(value) if i == block % len(rows) else b"" for i in range(len(rows))], pa.binary()),
+            "bytes": pa.array([b"".join([pieces[i] for i in x]) for _, x in rows], pa.binary()), "lengths": pa.array([blob(np.array([len(pieces[i]) for i in x], "<u2")) for _, x in rows], pa.binary()), "docs": pa.array([blob(least[x].astype("<i8")) for _, x in rows], pa.binary()),
             "values": pa.array([blob(values[x]) for _, x in rows], pa.binary()), "within": pa.array([blob(within[x]) for _, x in rows], pa.binary()),
         })
 
@@ -271,11 +275,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
         # A block's piece that another block has in a smaller document is removed whole.
         whole = np.array([(1 << (len(x) - length + 1)) - 1 for x in pieces], np.uint64)
         answers = [np.where(i > least[o], whole[o], masks[o]) for o, i in zip(own, ids, strict=True)]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": table.column("flags"), "masks": pa.array([blob(x.astype("<u8")) for x in answers], pa.binary())})
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "repeated": table.column("repeated"), "masks": pa.array([blob(x.astype("<u8")) for x in answers], pa.binary())})
 
-    sent = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(send_segments, "shard int, block int, flags binary, bytes binary, lengths binary, docs binary, values binary, within binary")
+    sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_segments, "shard int, block int, repeated binary, bytes binary, lengths binary, docs binary, values binary, within binary")
     # A shard's bytes are few for the work that it is: they are dealt to all partitions, which Spark would else join by size.
-    answers = sent.repartition(parts, "shard").groupBy("shard").applyInArrow(sort_shard, "block int, shard int, flags binary, masks binary")
+    answers = sent.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(sort_shard, "block int, shard int, repeated binary, masks binary")
     schema = "node long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -283,10 +287,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
         change = np.zeros(len(own.data) + 1, np.int64)
         if found.num_rows:
             found = found.sort_by("shard")
-            value, _, _ = own.anchors(parts)
-            packed = next(x for x in found.column("flags").to_pylist() if x)
-            bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(value)).astype(bool)
-            chosen, pieces, least, values, _, string = own.candidates(value, bits, length)
+            chosen, pieces, least, values, _, string = own.candidates(unpack48(next(x for x in found.column("repeated").to_pylist() if x)), length)
             by = np.argsort(shard_of(values, shards), kind="stable")
             masks = np.zeros(len(pieces), np.uint64)
             masks[by] = np.concatenate([np.frombuffer(x, "<u8") for x in found.column("masks").to_pylist()])
@@ -332,8 +333,9 @@ def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
 def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `text` less the repeated bytes and characters that lost some of theirs, without the rows that lost all; other columns as they are."""
-    found = dedup(docs, length, gram).select(F.col("node").alias("cs_node"), F.col("doc").alias("cs_doc"), F.col("n_bytes").alias("cs_bytes"), F.col("n_removed").alias("cs_removed"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("cs_text"))
-    joined = docs.withColumn("cs_own", node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found.hint("merge"), F.col("cs_own") == F.col("cs_node"))
-    copy = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) > F.col("cs_doc")) & (F.col("cs_bytes") >= length)
-    left = joined.where(~copy & ((F.col("cs_removed") == 0) | (F.col("cs_text") != "")))
-    return left.select(*[F.when(F.col("cs_removed") > 0, F.col("cs_text")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    own_node, own_doc, n_bytes, removed, left_text, node_id = spare(docs.columns, "node", "doc", "bytes", "removed", "text", "own")
+    found = dedup(docs, length, gram).select(F.col("node").alias(own_node), F.col("doc").alias(own_doc), F.col("n_bytes").alias(n_bytes), F.col("n_removed").alias(removed), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias(left_text))
+    joined = docs.withColumn(node_id, node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found.hint("merge"), F.col(node_id) == F.col(own_node))
+    copy = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) > F.col(own_doc)) & (F.col(n_bytes) >= length)
+    left = joined.where(~copy & ((F.col(removed) == 0) | (F.col(left_text) != "")))
+    return left.select(*[F.when(F.col(removed) > 0, F.col(left_text)).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
