@@ -614,6 +614,13 @@ def percentile_summary(spark: SparkSession, d: str) -> DataFrame:
     return found.select("l_shipmode_group", *[F.round(F.get("q", i), 4).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))], F.round(F.get("q", 3) - F.get("q", 1), 4).alias("iqr"))
 
 
+@query("percentiles_by_rank", "SELECT l_returnflag, l_linestatus, round(q[1], 4) AS p10, round(q[2], 4) AS p50, round(q[3], 4) AS p99 FROM (SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, [0.1, 0.5, 0.99]) AS q FROM lineitem GROUP BY 1, 2)")
+def percentiles_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of large groups, found by running counts and not in one buffer."""
+    found = stats.ranked_percentiles(table(spark, d, "lineitem"), "l_extendedprice", (0.1, 0.5, 0.99), "l_returnflag", "l_linestatus")
+    return found.select("l_returnflag", "l_linestatus", *[F.round(F.get("q", i), 4).alias(n) for i, n in enumerate(("p10", "p50", "p99"))])
+
+
 @query("box_plot_quartiles", "SELECT o_orderpriority, [round(x, 4) for x in quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1])]::VARCHAR AS box FROM orders GROUP BY 1")
 def box_plot_quartiles(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "orders").groupBy("o_orderpriority").agg(stats.quartiles(F.col("o_totalprice"), (0.0, 0.25, 0.5, 0.75, 1.0)).alias("q"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.keys import geometric_mean
@@ -15,6 +15,32 @@ def quartiles(x: Column, at: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) ->
     return F.percentile(x, F.array(*map(F.lit, at)))
 
 
+def ranked_percentiles(df: DataFrame, value: str, at: tuple[float, ...], *by: str, bins: int = 65_536) -> DataFrame:
+    """by and q: the percentiles of `quartiles`, for groups whose distinct values no buffer holds.
+
+    Rows are counted by value first; running counts are taken over equal steps between a group's least and greatest value, and then
+    over the values in a step, so a task sorts the steps of a group, or the distinct values of one step. Nulls don't count; NaN isn't a number here.
+    """
+    x, keys = F.col(value).cast("double"), list(by) or ["cs_all"]
+    rows = df if by else df.withColumn("cs_all", F.lit(0))
+    counted = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("x")).agg(F.count("*").alias("n"))
+    ends = counted.groupBy(*keys).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("all"))
+    step = F.when(F.col("high") > F.col("low"), F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * (bins - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counted.join(ends, keys).withColumn("step", step)
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = placed.groupBy(*keys, "step").agg(F.sum("n").alias("n")).select(*keys, "step", earlier.alias("before"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "step").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(before, [*keys, "step"]).withColumn("upto", upto)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("x")))
+
+    places = [F.lit(p) * (F.col("all") - 1) for p in at]
+    pairs = ranked.groupBy(*keys, "all").agg(*[value_at(f(place)).alias(f"{name}{i}") for i, place in enumerate(places) for name, f in (("a", F.floor), ("b", F.ceil))])
+    q = F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place - F.floor(place)) for i, place in enumerate(places)])
+    return pairs.select(*by, q.alias("q"))
+
+
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, median, least, greatest and geometric mean of each group."""
     x = F.col(value)

@@ -147,3 +147,17 @@ def test_features_equal_brute_force(spark):
         group = groups.pop(place)
         groups += [[t for t in group if g not in t], [t for t in group if g in t]]
     assert list(found) == chosen
+
+
+def test_ranked_percentiles_equal_numpy(spark):
+    import numpy as np
+
+    from codesieve.operators import stats
+
+    rng = np.random.default_rng(1)
+    groups = {"ties": rng.integers(0, 5, 900).astype(float), "wide": rng.normal(size=800) * 10 ** rng.integers(0, 9, 800), "one": np.array([3.5]), "same": np.full(50, -2.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("none", None), ("ties", None)], "g string, v double")
+    at = (0.0, 0.1, 0.5, 0.973, 1.0)
+    got = {r.g: r.q for r in stats.ranked_percentiles(df, "v", at, "g", bins=16).collect()}
+    assert set(got) == set(groups) and all(np.allclose(got[k], np.quantile(v, at)) for k, v in groups.items())
+    assert np.allclose(stats.ranked_percentiles(df, "v", at).first().q, np.quantile(np.concatenate(list(groups.values())), at))
