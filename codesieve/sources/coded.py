@@ -76,3 +76,9 @@ def made(spark: SparkSession, source: str, column: str, **recipe) -> CodedTable:
         path = f"{io.work_folder(spark)}/codesieve-coded-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
         _made[key] = write(spark.read.parquet(source), path, column, **recipe)
     return _made[key]
+
+
+def drop_made(spark: SparkSession) -> None:
+    """Delete the coded tables that `made` has written for this application."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        io.clean(spark, _made.pop(key).path)

@@ -39,6 +39,11 @@ def test_coded_table_counts_and_skips(spark, table, tmp_path):
     assert spans.count() > 2 and spans.agg(F.min("w")).first()[0] <= 2
     with pytest.raises(ValueError):
         coded.write(table, str(tmp_path / "x"), "text")
+    table.write.parquet(str(tmp_path / "source"))
+    once = coded.made(spark, str(tmp_path / "source"), "text", prefix_bits=3)
+    assert coded.made(spark, str(tmp_path / "source"), "text", prefix_bits=3) is once and io.exists(spark, once.path)
+    coded.drop_made(spark)
+    assert not io.exists(spark, once.path)
 
 
 def test_wide_codes_equal_narrow_ones(spark, table):
