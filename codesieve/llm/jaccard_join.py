@@ -34,6 +34,8 @@ from codesieve.llm.components import components
 MOST = 1 << 40
 #: Rounds in which sets are held against the hubs of their shingles, before those that are left are paired.
 HUBS = 2
+#: The bit of second numbers.
+SECOND = 1 << 60
 #: Roles of a set in a signature's group: it is found there, it asks there.
 FOUND, ASKS = 1, 2
 
@@ -87,9 +89,22 @@ def shingles(column: pa.Array | pa.ChunkedArray, width: int) -> list[np.ndarray]
     return out
 
 
-def node_of(text: str) -> int:
-    """The number of a distinct text: 60 bits of its SHA-256."""
-    return int(hashlib.sha256(text.encode()).hexdigest()[:15], 16)
+def numbers_of(text: str) -> tuple[int, int]:
+    """Two numbers of a text: the first and the next 60 bits of its SHA-256."""
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    return int(digest[:15], 16), int(digest[15:30], 16)
+
+
+def nodes_of(texts: list[str], twice: frozenset[int]) -> np.ndarray:
+    """The number of each text: its first one, or the second one above 60 bits where several texts have the first (twice)."""
+    found = (numbers_of(x) for x in texts)
+    return np.array([SECOND | b if a in twice else a for a, b in found], np.int64)
+
+
+def node_column(text: Column, twice: frozenset[int]) -> Column:
+    """nodes_of as an expression."""
+    a, b = (F.conv(F.substring(F.sha2(text.cast("binary"), 256), at, 15), 16, 10).cast("long") for at in (1, 16))
+    return F.when(a.isin(*twice), b.bitwiseOR(F.lit(SECOND))).otherwise(a) if twice else a
 
 
 def signatures(sets: list[np.ndarray], plan: Bands, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,8 +238,8 @@ def rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return one.join(two.hint("merge"), "token").where((F.col("one.node") < F.col("two.node")) & may_link("one", "two", percent)).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, Saved]:
-    """(doc_id, node, n_shingles) of every row, and (node, component) of the distinct texts that have links; with the tables they read.
+def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, Saved, frozenset[int]]:
+    """(doc_id, node, n_shingles) of every row, and (node, component) of the distinct texts that have links; with the tables they read, and the first numbers that several texts have.
 
     Two texts link when 100 * common >= percent * united over their sets of `width`-word shingles (lower-case
     A-Z, words [^\\x20\\x09-\\x0D]+); a shorter text is one shingle, and one without words links with nothing.
@@ -236,15 +251,20 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
         for batch in batches:
             for part in sliced(batch):
                 found = shingles(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(x) for x in part.column("text").to_pylist()], pa.int64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "node", "n_shingles"])
-
-    rows = saved.save(own.mapInArrow(sizes, "doc_id long, node long, n_shingles long"), "sizes")
+                numbers = [numbers_of(x) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[i] for x in numbers], pa.int64()) for i in (0, 1)), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "first", "second", "n_shingles"])
+
+    rows = saved.save(own.mapInArrow(sizes, "doc_id long, first long, second long, n_shingles long"), "sizes")
+    # Different texts with one first number: about 400 among 3 * 10 ** 10 texts.
+    twice = frozenset(r.first_ for r in rows.groupBy(F.col("first").alias("first_")).agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").collect())
+    node = F.when(F.col("first").isin(*twice), F.col("second").bitwiseOR(F.lit(SECOND))).otherwise(F.col("first")) if twice else F.col("first")
+    rows = rows.select("doc_id", node.alias("node"), "n_shingles")
     plan = bands(percent, MOST)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                nodes = np.array([node_of(x) for x in part.column("text").to_pylist()], np.int64)
+                nodes = nodes_of(part.column("text").to_pylist(), twice)
                 nodes, first = np.unique(nodes, return_index=True)
                 sets = shingles(part.column("text").take(pa.array(first)), width)
                 sig, who, role = (np.concatenate(x) for x in zip(*(signatures(sets, plan, o) for o in (True, False)), strict=True))
@@ -265,7 +285,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
 
     # One row for each member of each distinct group of texts that share a segment.
     members = saved.save(own.mapInArrow(send, "part int, sig binary, node binary, role binary").groupBy("part").applyInArrow(meet, "gid long, hub long, node long").distinct(), "members")
-    numbered = own.select(F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("long").alias("node"), "text")
+    numbered = own.select(node_column(F.col("text"), twice).alias("node"), "text")
     needed = members.select("node").distinct()
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,18 +323,18 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
             saved.drop(found, more)
             found = again
     saved.drop(places, sets)
-    return rows, found, saved
+    return rows, found, saved, twice
 
 
-def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, node, n_shingles, component_id and stays (one document of each class does) of each row of docs."""
-    rows, found, saved = join(docs, width, percent)
+def labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, frozenset[int]]:
+    """doc_id, node, n_shingles, component_id and stays (one document of each class does) of each row of docs; and what `nodes_of` needs."""
+    rows, found, saved, twice = join(docs, width, percent)
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     chosen = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), F.col("node"))).alias("chosen"))
     labels = nodes.join(chosen.hint("merge"), "component").select("node", "chosen")
     some = F.col("n_shingles") > 0
     stays = ~some | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("node") == F.col("chosen.node")))
-    return saved.last(rows.join(labels.hint("merge"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays")), "labels")
+    return saved.last(rows.join(labels.hint("merge"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays")), "labels"), twice
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -323,7 +343,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Equal texts with words are linked. Rows without words are alone. A null text has no words. A null doc_id takes part in links;
     its component_id is null only if no document with an id is reached. Repeated rows have the same class.
     """
-    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return labelled(docs, width, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -332,8 +352,9 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Rows without words all stay. A class without ids keeps one row.
     """
     own_id, own_node, size, number, once = spare(docs.columns, "id", "node", "n", "own", "once")
-    rows = labelled(docs, width, percent).where("stays").select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), F.col("n_shingles").alias(size)).distinct()
+    labels, twice = labelled(docs, width, percent)
+    rows = labels.where("stays").select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), F.col("n_shingles").alias(size)).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = docs.withColumn(number, F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long"))
+    kept = docs.withColumn(number, node_column(text, twice))
     kept = kept.join(rows.hint("merge"), (F.col(number) == F.col(own_node)) & docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)))
     return kept.withColumn(once, F.when(F.col(size) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))).dropDuplicates([own_node, own_id, once]).select(*[docs[c] for c in docs.columns])

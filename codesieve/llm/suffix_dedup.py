@@ -85,14 +85,20 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tu
     return row, first, count, hashes[least[first]], least[first] - first
 
 
+def firsts(nodes: np.ndarray, rest: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each text, a row with its smallest id, in order of texts."""
+    order = np.lexsort((ids, rest, nodes))
+    a, b = nodes[order], rest[order]
+    return order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]]
+
+
 class Block:
     """The distinct texts of a block by number, with their smallest doc_id, and their segments."""
 
     def __init__(self, table: pa.Table, length: int, gram: int):
-        nodes, ids = np.asarray(table.column("node")), np.asarray(table.column("doc"))
-        order = np.lexsort((ids, nodes))
-        first = order[np.append(True, nodes[order][1:] != nodes[order][:-1])] if len(order) else order
-        self.nodes, self.docs = nodes[first], ids[first]
+        nodes, rest, ids = (np.asarray(table.column(c)) for c in ("node", "rest", "doc"))
+        first = firsts(nodes, rest, ids)
+        self.nodes, self.rest, self.docs = nodes[first], rest[first], ids[first]
         self.data, self.starts = text_bytes(table.column("text").take(pa.array(first)))
         found, begin = [], 0
         while begin < len(first):
@@ -199,22 +205,22 @@ def texts(docs: DataFrame, blocks: int) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column("doc_id").fill_null(NO_ID))
             column = batch.column("text")
-            nodes = np.array([int(hashlib.sha256(x.encode()).hexdigest()[:15], 16) for x in column.to_pylist()], np.int64)
-            order = np.lexsort((ids, nodes))
-            if len(order):
-                first = order[np.append(True, nodes[order][1:] != nodes[order][:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array((nodes[first] % blocks).astype(np.int32)), pa.array(nodes[first]), pa.array(ids[first]), column.take(pa.array(first))], ["block", "node", "doc", "text"])
+            digests = [hashlib.sha256(x.encode()).hexdigest() for x in column.to_pylist()]
+            nodes, rest = (np.array([int(x[a : a + 15], 16) for x in digests], np.int64) for a in (0, 15))
+            if len(nodes):
+                first = firsts(nodes, rest, ids)
+                yield pa.RecordBatch.from_arrays([pa.array((nodes[first] % blocks).astype(np.int32)), pa.array(nodes[first]), pa.array(rest[first]), pa.array(ids[first]), column.take(pa.array(first))], ["block", "node", "rest", "doc", "text"])
 
-    return view(docs).mapInArrow(distinct, "block int, node long, doc long, text string")
+    return view(docs).mapInArrow(distinct, "block int, node long, rest long, doc long, text string")
 
 
-def node(text: F.Column) -> F.Column:
-    """The number of a text: 60 bits of its SHA-256, as `texts` has it."""
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+def numbers(text: F.Column) -> tuple[F.Column, F.Column]:
+    """The two numbers of a text: 120 bits of its SHA-256, as `texts` has them."""
+    return tuple(F.conv(F.substring(F.sha2(text.cast("binary"), 256), a, 15), 16, 10).cast("long") for a in (1, 16))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool = True) -> DataFrame:
-    """Per distinct text: node, doc (its smallest doc_id), and for that document n_bytes, n_removed, n_spans and kept_sha256.
+    """Per distinct text: node and rest (its numbers), doc (its smallest doc_id), and for that document n_bytes, n_removed, n_spans and kept_sha256.
 
     A byte goes if a `length`-byte string over it also starts in a document with a smaller doc_id; strings
     are those of the input. With keep, `kept` has the remaining bytes, in which a character may be cut, `kept_text` the
@@ -280,7 +286,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
     sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_segments, "shard int, block int, repeated binary, bytes binary, lengths binary, docs binary, values binary, within binary")
     # A shard's bytes are few for the work that it is: they are dealt to all partitions, which Spark would else join by size.
     answers = sent.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(sort_shard, "block int, shard int, repeated binary, masks binary")
-    schema = "node long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
+    schema = "node long, rest long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         own = Block(table, length, gram)
@@ -305,10 +311,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
             off = gone[a:b]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]])))
             kept = own.data[a:b][~off].tobytes()
-            values = [own.nodes[i], own.docs[i], b - a, off.sum(), len(edges) // 2, hashlib.sha256(kept).hexdigest()] + ([kept, kept.decode("utf-8", "ignore"), [{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)]] if keep else [])
+            values = [own.nodes[i], own.rest[i], own.docs[i], b - a, off.sum(), len(edges) // 2, hashlib.sha256(kept).hexdigest()] + ([kept, kept.decode("utf-8", "ignore"), [{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)]] if keep else [])
             for name, v in zip(rows, values, strict=True):
                 rows[name].append(v)
-        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * keep
+        kinds = [pa.int64()] * 6 + [pa.string()] + [pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * keep
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
@@ -322,20 +328,22 @@ def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     come after all others.
     """
     found = dedup(docs, length, gram, keep=False)
-    rows = view(docs).select("doc_id", node(F.col("text")).alias("node"))
+    node, rest = numbers(F.col("text"))
+    rows = view(docs).select("doc_id", node.alias("node"), rest.alias("rest"))
     # A copy with a larger id than the one that was judged loses everything, if it has a string at all.
     copy = F.coalesce("doc_id", F.lit(NO_ID)) > F.col("doc")
     gone = copy & (F.col("n_bytes") >= length)
-    return rows.join(found.hint("merge"), "node").select(
+    return rows.join(found.hint("merge"), ["node", "rest"]).select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256")
     )
 
 
 def rewrite(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `text` less the repeated bytes and characters that lost some of theirs, without the rows that lost all; other columns as they are."""
-    own_node, own_doc, n_bytes, removed, left_text, node_id = spare(docs.columns, "node", "doc", "bytes", "removed", "text", "own")
-    found = dedup(docs, length, gram).select(F.col("node").alias(own_node), F.col("doc").alias(own_doc), F.col("n_bytes").alias(n_bytes), F.col("n_removed").alias(removed), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias(left_text))
-    joined = docs.withColumn(node_id, node(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(found.hint("merge"), F.col(node_id) == F.col(own_node))
+    own_node, own_rest, own_doc, n_bytes, removed, left_text, node_id, rest_id = spare(docs.columns, "node", "rest", "doc", "bytes", "removed", "text", "own", "own_rest")
+    node, rest = numbers(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = dedup(docs, length, gram).select(F.col("node").alias(own_node), F.col("rest").alias(own_rest), F.col("doc").alias(own_doc), F.col("n_bytes").alias(n_bytes), F.col("n_removed").alias(removed), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias(left_text))
+    joined = docs.withColumns({node_id: node, rest_id: rest}).join(found.hint("merge"), (F.col(node_id) == F.col(own_node)) & (F.col(rest_id) == F.col(own_rest)))
     copy = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) > F.col(own_doc)) & (F.col(n_bytes) >= length)
     left = joined.where(~copy & ((F.col(removed) == 0) | (F.col(left_text) != "")))
     return left.select(*[F.when(F.col(removed) > 0, F.col(left_text)).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -117,6 +117,24 @@ def test_representatives(docs):
     assert all(classes[x] == x[0] for x in got) and sum(not (t or "").split() for _, t in got) == sum(not (t or "").split() for _, t in rows)
 
 
+def test_texts_with_one_number_are_told_apart(spark, monkeypatch):
+    """As if SHA-256 began alike for many texts."""
+    few = lambda text: (int(hashlib.sha256(text.encode()).hexdigest()[:15], 16) % 3, int(hashlib.sha256(text.encode()).hexdigest()[15:30], 16))
+    second = jaccard_join.SECOND
+    monkeypatch.setattr(jaccard_join, "numbers_of", few)
+    monkeypatch.setattr(jaccard_join, "nodes_of", lambda texts, twice: np.array([second | b if a in twice else a for a, b in map(few, texts)], np.int64))
+
+    def column(text, twice):
+        a, b = (F.conv(F.substring(F.sha2(text.cast("binary"), 256), at, 15), 16, 10).cast("long") for at in (1, 16))
+        return F.when((a % 3).isin(*twice), b.bitwiseOR(F.lit(second))).otherwise(a % 3) if twice else a % 3
+
+    monkeypatch.setattr(jaccard_join, "node_column", column)
+    rows = [(i, t) for i, (_, t) in enumerate(make_rows()[:60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.classes(docs).collect())) == sorted(brute_classes(rows, 5, 80))
+    assert {r.doc_id for r in jaccard_join.representatives(docs).collect()} >= {d for d, n, c in brute_classes(rows, 5, 80) if d == c and n}
+
+
 def test_components_of_chains(spark, docs):
     pairs = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 150)] + [(149, 200), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(pairs, "a long, b long"), Saved(spark)).collect()))
