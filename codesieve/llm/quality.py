@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.llm import ngram_features as features
 from codesieve.llm.common import view
-from codesieve.llm.ngram_features import averages, hashed_rows, parts, rated_sample
+from codesieve.llm.ngram_features import one_task, parts, rated_sample
 
 #: Rated documents that a model is fitted on, at most.
 SAMPLE = 8192
@@ -43,13 +44,13 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(grams: np.ndarray, at: np.ndarray, extra: np.ndarray, ratings: np.ndarray, bits: int = BITS, rounds: int = 150, ridge: float = 1e-3, rate: float = 0.2) -> Ordinal:
-    """Maximum likelihood with a small ridge, by Adam over all rows in each round.
+def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, ratings: np.ndarray, bits: int = BITS, rounds: int = 150, ridge: float = 1e-3, rate: float = 0.2) -> Ordinal:
+    """Maximum likelihood with a small ridge, by Adam over all rows (ratings; row, column and value of their features) in each round.
 
     Without rows, or with one grade only, every document has that grade (0 without rows).
     """
     grades = np.unique(ratings) if len(ratings) else np.zeros(1, np.int64)
-    size = (1 << bits) + 11
+    size = features.size(bits)
     if len(grades) == 1:
         return Ordinal(np.zeros(size), np.zeros(0), grades)
     y, n, k = np.searchsorted(grades, ratings), len(ratings), len(grades) - 1
@@ -58,19 +59,17 @@ def fit(grams: np.ndarray, at: np.ndarray, extra: np.ndarray, ratings: np.ndarra
     # The thresholds are the first one and the logarithms of the gaps, so they stay in order.
     theta = np.concatenate([np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    rows = np.repeat(np.arange(n), np.diff(at))
-    share = 1 / np.maximum(np.diff(at), 1)
     for step in range(1, rounds + 1):
         w, gaps = theta[:size], np.exp(theta[size + 1 :])
         cuts = theta[size] + np.concatenate([[0], np.cumsum(gaps)])
-        score = averages(w, grams, at, extra)
+        score = np.bincount(rows, values * w[columns], n)
         upper = np.where(y < k, logistic(cuts[np.minimum(y, k - 1)] - score), 1.0)
         lower = np.where(y > 0, logistic(cuts[np.maximum(y - 1, 0)] - score), 0.0)
         up, low = upper * (1 - upper), lower * (1 - lower)
         p = np.maximum(upper - lower, 1e-9)
         by_score = (up - low) / p / n  # of the loss, -log p
         slope = np.zeros_like(theta)
-        slope[:size] = np.bincount(grams, (by_score * share)[rows], size) + np.bincount(extra, by_score, size) + ridge * w / 10
+        slope[:size] = np.bincount(columns, by_score[rows] * values, size) + ridge * w / 10
         by_cut = np.bincount(y[y < k], -(up / p)[y < k], k)[:k] + np.bincount(y[y > 0] - 1, (low / p)[y > 0], k)[:k]
         slope[size] = by_cut.sum() / n
         for j in range(1, k):
@@ -81,16 +80,19 @@ def fit(grams: np.ndarray, at: np.ndarray, extra: np.ndarray, ratings: np.ndarra
 
 
 def train(docs: DataFrame, ratings: DataFrame, column: str = "quality", most: int = SAMPLE, bits: int = BITS) -> Ordinal:
-    """The model of the ratings in `column` of (doc_id, column), fitted in one task on a bounded sample; only the model comes to the driver."""
+    """The model of the ratings in `column` of (doc_id, column), fitted in one task on a bounded sample, to which alone rows are sent; only the model comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*hashed_rows(part.column("text"), bits), np.asarray(part.column("rating"))) for part in parts(batches)]
-        grams, extra, ratings = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 2, 3))
-        lengths = np.concatenate([np.diff(x[1]) for x in found]) if found else np.zeros(0, np.int64)
-        model = fit(grams, np.concatenate([[0], np.cumsum(lengths)]), extra, ratings.astype(np.int64), bits)
+        found, n = [], 0
+        for part in parts(batches):
+            rows, columns, values = features.table(part.column("text"), bits)
+            found.append((rows + n, columns, values, np.asarray(part.column("rating"))))
+            n += part.num_rows
+        rows, columns, values, ratings = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4))
+        model = fit(rows, columns, values, ratings.astype(np.int64), bits)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tolist()], "thresholds": [model.thresholds.tolist()], "grades": [model.grades.tolist()]})
 
-    row = rated_sample(docs, ratings, column, most).select("text", "rating", F.xxhash64("doc_id").alias("o")).coalesce(1).sortWithinPartitions("o", "text").mapInArrow(run, "weights array<double>, thresholds array<double>, grades array<long>").first()
+    row = one_task(rated_sample(docs, ratings, column, most)).mapInArrow(run, "weights array<double>, thresholds array<double>, grades array<long>").first()
     return Ordinal(np.array(row.weights), np.array(row.thresholds), np.array(row.grades, np.int64)) if row else fit(*[np.zeros(0, np.int64)] * 4, bits)
 
 
@@ -106,7 +108,7 @@ def score(docs: DataFrame, model: Ordinal, grade: int | None = None, least: floa
         own = held.value
         place = int(np.searchsorted(own.grades, wanted))
         for part in parts(batches):
-            at = averages(own.weights, *hashed_rows(part.column("text"), bits))
+            at = features.scores(own.weights, part.column("text"), bits)
             tails = np.concatenate([np.ones((len(at), 1)), own.at_least(at), np.zeros((len(at), 1))], axis=1)
             tail = tails[:, min(place, len(own.grades))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.expected(at)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail", "keep"])
@@ -127,7 +129,7 @@ def select(docs: DataFrame, model: Ordinal, grade: int | None = None, least: flo
         for batch in batches:
             for part in parts([batch]):
                 texts = pa.array(part.column("text")).fill_null("")
-                at = averages(own.weights, *hashed_rows(texts, bits))
+                at = features.scores(own.weights, texts, bits)
                 tails = np.concatenate([np.ones((len(at), 1)), own.at_least(at), np.zeros((len(at), 1))], axis=1)
                 yield part.filter(pa.array(tails[:, min(place, len(own.grades))] >= least))
 
