@@ -1,92 +1,170 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is its words, lower-cased, each followed by one space, and an end symbol. Each symbol is eight
-binary decisions; each decision has a context tree over the preceding bytes, back to the space before
-the word and at most DEPTH of them. A node holds how often the decision went either way; its
+A text is its lower-cased words, each followed by one space, and an end symbol. Each symbol is eight
+binary decisions; each decision has a context tree over the DEPTH bytes before it, across words, spaces before
+the first one. A node holds how often the decision went either way in the training texts; its
 Krichevsky-Trofimov estimate is mixed with its children's weighted estimates, half and half, over all
 depths. The weights that the training counts give the depths make the prediction, so a text's
 probability is a product of proper conditional ones. Where a context was never seen, its nearest seen
 ancestor predicts alone.
 
-Two estimates of whole words are mixed in above the bytes, as the outermost depth: how often the
-training texts have the word, and how often the document itself had it so far. A text's probability
-is the mean, half and half as in the tree, of what it is with and without them, over some shares.
-
-As contexts end at the word's start, a word has one code length wherever it stands. Every block of
-documents sends its distinct words, not its tokens; words are counted in parts by hash; contexts are
-counted in shards by their last two bytes; the code lengths go back the same way. Nothing that grows
-with the corpus is broadcast: only the tree's two top levels are, 65,536 nodes at most.
+Documents are dealt to blocks of about BLOCK_BYTES, compressed on the way. A block counts its distinct contexts
+with their symbols, in order and as differences, and sends each to the shard of its last two bytes; a shard adds
+them up and keeps its own distinct ones and where each block's stand among them. Only the two top levels of the trees, 65,536 nodes
+at most, come to the driver and go to all shards. These then give each block its contexts and symbols back, each with its code length.
+Whole words travel the same way, for the base score alone.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Saved, hash_words, mix, partitions, row_sums, text_bytes, view, words
+from codesieve.llm.common import Saved, dealt, hash_words, mix, partitions, ranges, row_sums, sliced, text_bytes, text_size, view, words
 
-DEPTH = 7
+#: Bytes of context, at most WIDEST: a context and its symbol are one 64-bit number.
+DEPTH = WIDEST = 7
 #: The end of a text as a word and as a symbol: a byte that UTF-8 never has.
 END = b"\xff"
-#: Blocks of documents for each shuffle partition.
-BLOCKS = 2
-#: Shares that a document's own earlier words may have in the prediction; the document's probability averages over them.
-OWN_SHARES = (0.0, 1 / 64, 1 / 8, 1 / 2, 15 / 16)
+#: Bytes of text of a block.
+BLOCK_BYTES = 8 << 20
+#: Code lengths travel in decimal digits times this.
+SCALE = 1 << 14
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of equal weight, compressed."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(pa.decompress(x[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).reshape(-1).view("<u8")
+
 
+def rising(x: np.ndarray) -> bytes:
+    """An ascending list by its differences."""
+    return packed(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
 
-def block_words(table: pa.Table, parts: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: the order of its rows, its distinct words (the end first), each token's word, row starts, and each word's part.
 
-    Rows are taken by doc_id and text, so the same block gives the same words in the same order each time.
+def unrising(x: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(x), dtype=np.uint64)
+
+
+def stream(spaced: pa.Array, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of rows of words: WIDEST spaces, each word with a space, the end. With how many symbols each row has.
+
+    spaced: each word with its space; first of all the end with the WIDEST spaces before the next row.
     """
-    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-    order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i])), np.int64)
-    dictionary, codes, starts = words(table.column("text").take(pa.array(order)))
-    own = pa.concat_arrays([pa.array([END], pa.large_binary()), dictionary.cast(pa.large_binary())])
-    return order, own, codes + 1, starts, (hash_words(own) % np.uint64(parts)).astype(np.int64)
-
-
-def joined(own: pa.Array, chosen: np.ndarray) -> bytes:
-    return b" ".join(own.take(pa.array(chosen)).to_pylist())
-
-
-def symbols(own: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each symbol of each word (context, latest byte first, then the symbol) and where each word's keys start."""
-    data, starts = text_bytes(own)
-    lengths = np.diff(starts)
-    is_end = np.asarray(pc.equal(own, pa.scalar(END, pa.large_binary())))
-    # Each word is laid out as zeros, a space, its bytes and a space; the end is followed by nothing.
-    width = lengths + depth + 1
-    begins = np.cumsum(width) - width
-    flat = np.zeros(int(width.sum()), np.uint64)
-    flat[begins + depth - 1] = 32
-    at = np.arange(len(data)) + np.repeat(begins + depth - starts[:-1], lengths)
-    flat[at] = data
-    flat[begins + depth + lengths] = 32
-    counts = lengths + ~is_end
-    first = np.concatenate([[0], np.cumsum(counts)])
-    place = np.arange(int(first[-1])) + np.repeat(begins + depth - first[:-1], counts)
-    keys = flat[place].copy()
-    for back in range(1, depth + 1):
-        keys |= flat[place - back] << np.uint64(8 * (depth + 1 - back))
-    return keys, first
+    tokens = np.insert(codes, starts[1:], 0)
+    data, begins = text_bytes(spaced.take(pa.array(tokens)))
+    ends = begins[starts[1:] + np.arange(1, len(starts))] - WIDEST
+    return np.concatenate([np.full(WIDEST, 32, np.uint8), data]), np.diff(ends, prepend=-WIDEST) - WIDEST
+
+
+def symbol_keys(flat: np.ndarray, symbols: np.ndarray, depth: int) -> np.ndarray:
+    """Of each symbol of a stream: its context, latest byte first, then the symbol, as one number."""
+    eight = np.empty(len(flat) - WIDEST, np.uint64)
+    for k in range(min(8, len(eight))):
+        eight[k::8] = flat[k : k + (len(flat) - k) // 8 * 8].view("<u8")
+    own = np.ones(len(eight), bool)
+    own[ranges(np.cumsum(symbols + WIDEST) - WIDEST, np.full(len(symbols), WIDEST))] = False
+    eight = eight[own]
+    context = eight << np.uint64(8)
+    if depth < WIDEST:
+        context = context >> np.uint64(8 * (8 - depth)) << np.uint64(8)
+    return context | eight >> np.uint64(56)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each stands there; the array is sorted in place."""
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def merged(lists: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of lists, in order, and the sums of their weights."""
+    if not lists:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = np.concatenate(lists)
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    weight = np.concatenate(weights)[by]
+    return keys[at], np.add.reduceat(weight, at) if len(at) else np.zeros(0, np.int64)
+
+
+class Lookup:
+    """Places of values among distinct ones, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        place, todo = self.home(keys), np.arange(len(keys))
+        while len(todo):
+            at = place[todo]
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            todo = todo[self.slots[at] != todo]
+            place[todo] = (place[todo] + 1) & self.mask
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each value, all of which are there."""
+        place = self.home(keys)
+        out = self.slots[place]
+        todo = np.flatnonzero(self.keys[out] != keys)
+        while len(todo):
+            place[todo] = (place[todo] + 1) & self.mask
+            out[todo] = self.slots[place[todo]]
+            todo = todo[self.keys[out[todo]] != keys[todo]]
+        return out
+
+
+#: Logarithms of the gamma function at n + 1/2 and at n + 1, for numbers n below the tables' length.
+TABLE = 1 << 12
+LOG_HALF, LOG_WHOLE = (np.array([math.lgamma(n + x) for n in range(TABLE)]) for x in (0.5, 1.0))
+
+
+def log_gamma(x: np.ndarray, shift: float, known: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function at x + shift, for whole numbers x: from the table, beyond by Stirling's series."""
+    if not len(x) or x.max() < TABLE:
+        return known[x.astype(np.int64)]
+    out = known[np.minimum(x, TABLE - 1).astype(np.int64)]
+    big = np.flatnonzero(x >= TABLE)
+    y = x[big] + shift
+    out[big] = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with such counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return log_gamma(zeros, 0.5, LOG_HALF) + log_gamma(ones, 0.5, LOG_HALF) - log_gamma(zeros + ones, 1.0, LOG_WHOLE) - np.log(np.pi)
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function for positive values: Stirling's series after eight steps of the recurrence."""
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift = shift * (x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each one's place among them; x is in order by pieces, which a merging sort uses."""
+    by = np.argsort(x, kind="stable")
+    own = x[by]
+    fresh = np.append(True, own[1:] != own[:-1])[: len(own)]
+    inverse = np.empty(len(x), np.int64)
+    inverse[by] = np.cumsum(fresh) - 1
+    return own[fresh], inverse
 
 
 class Level:
@@ -110,35 +188,34 @@ class Level:
 
 
 class Subtrees:
-    """Nodes from the deepest up to depth `top` of all contexts that a set of symbol keys has."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
-        self.depth = depth
-        symbol, context = keys & np.uint64(255), keys >> np.uint64(8)
-        self.bits, decisions = [], []
-        for k in range(8):
-            decisions.append(context << np.uint64(8) | (np.uint64(1 << k) | symbol >> np.uint64(8 - k)))
-            self.bits.append((symbol >> np.uint64(7 - k) & np.uint64(1)).astype(bool))
-        nodes, self.place = np.unique(np.concatenate(decisions), return_inverse=True)
-        bits, weight = np.concatenate(self.bits), np.tile(counts.astype(float), 8)
-        ones = np.bincount(self.place, weight * bits, len(nodes))
-        level = Level(nodes, np.bincount(self.place, weight, len(nodes)) - ones, ones, None)
+    """Nodes from the deepest up to depth `top` of the trees of one of a symbol's eight decisions, for all contexts that a set of symbol keys, distinct and in order, has."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int, decision: int):
+        symbol = keys & np.uint64(255)
+        node = keys >> np.uint64(8) << np.uint64(8) | (np.uint64(1 << decision) | symbol >> np.uint64(8 - decision))
+        self.bit = (symbol >> np.uint64(7 - decision) & np.uint64(1)).astype(bool)
+        # Keys are in order, so a decision's equal ones stand together.
+        fresh = np.append(True, node[1:] != node[:-1])[: len(node)]
+        at = np.flatnonzero(fresh)
+        self.place = (np.cumsum(fresh) - 1).astype(np.int32)
+        ones, every = (np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in (np.where(self.bit, counts, 0.0), counts.astype(float)))
+        level = Level(node[at], every - ones, ones, None)
         self.levels, self.up = [level], []
         for _ in range(depth - top):
-            parents, inverse = np.unique((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255), return_inverse=True)
+            parents, inverse = grouped((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255))
             gather = [np.bincount(inverse, x, len(parents)) for x in (level.zeros, level.ones, level.weighted)]
             level = Level(parents, *gather)
             self.levels.append(level)
             self.up.append(inverse)
 
-    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
-        """P(1) of each deepest node as the levels up to the top mix it, and the number of its top node."""
+    def predictions(self) -> np.ndarray:
+        """P(1) of each deepest node as the levels up to the top mix it."""
         first = self.levels[0]
         chance, at = np.where(first.seen, first.predict(), np.nan), np.arange(len(first.keys))
         for level, up in zip(self.levels[1:], self.up, strict=True):
             at = up[at]
             chance = level.mixed(at, chance)
-        return chance, at
+        return chance
 
 
 class Top:
@@ -160,144 +237,190 @@ class Top:
 
 
 def symbol_costs(keys: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.ndarray:
-    """log10 probability of each symbol in its context; keys are distinct."""
-    trees = Subtrees(keys, counts, depth, 2)
-    chance, _ = trees.predictions()
-    nodes = trees.levels[0].keys
-    ones = top.finish((nodes >> np.uint64(8 * depth)) << np.uint64(8) | nodes & np.uint64(255), chance)
-    hit = ones[trees.place]
-    return np.log10(np.where(np.concatenate(trees.bits), hit, 1 - hit)).reshape(8, -1).sum(axis=0)
-
-
-def binary(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
-
-
-def read(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
-
-
-def part_words(table: pa.Table) -> tuple[list[int], np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Of the blocks' words in one part: block of each blob, words in each, the distinct words, each blob's word numbers, and training counts."""
-    table = table.sort_by("block")
-    lists = [x.split(b" ") for x in table.column("words").to_pylist()]
-    coded = pa.array([w for x in lists for w in x], pa.large_binary()).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = np.bincount(codes, np.concatenate(read(table.column("counts"), "<i8")), len(coded.dictionary)).astype(np.int64)
-    return table.column("block").to_pylist(), np.array([len(x) for x in lists]), coded.dictionary, codes, counts
-
-
-def part_symbols(own: pa.Array, counts: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct symbol keys of a part by shard and key, training counts, shards, each symbol's key number, and where a word's symbols start."""
-    keys, first = symbols(own, depth)
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    seen = np.bincount(inverse, np.repeat(counts, np.diff(first)), len(distinct)).astype(np.int64)
-    shard = (mix(distinct >> np.uint64(8 * (depth - 1))) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return distinct[order], seen[order], shard[order], back[inverse], first
+    """log10 probability of each symbol in its context; keys are distinct and in order."""
+    out = np.zeros(len(keys))
+    for k in range(8):
+        trees = Subtrees(keys, counts, depth, 2, k)
+        nodes = trees.levels[0].keys
+        chance = top.finish((nodes >> np.uint64(8 * depth)) << np.uint64(8) | nodes & np.uint64(255), trees.predictions())[trees.place]
+        out += np.log10(np.where(trees.bit, chance, 1 - chance))
+    return out
 
 
-def mixed_scores(symbol_cost: np.ndarray, counts: np.ndarray, train: int, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """log10 probability of each row of words and its end (word 0), with and without the whole-word estimates in equal parts."""
-    tokens = np.insert(codes, starts[1:], 0)
-    starts = starts + np.arange(len(starts))
-    lengths = np.diff(starts)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(tokens)) - starts[row]
-    pair = row * len(counts) + tokens
-    order = np.argsort(pair, kind="stable")
-    fresh = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(order) else np.zeros(0, bool)
-    run = np.flatnonzero(fresh)
-    before = np.empty(len(tokens))
-    before[order] = np.arange(len(tokens)) - np.repeat(run, np.diff(np.append(run, len(tokens))))
-    # In logarithms, as a long unknown word's probability is below any float.
-    with np.errstate(divide="ignore"):
-        own, known = np.log(before / np.maximum(place, 1)), np.log(0.5 * counts / max(train, 1))
-    plain = symbol_cost * np.log(10)
-    ways = [static[tokens] if not share else np.logaddexp(np.log1p(-share) + static[tokens], np.log(share) + own) for static in (plain, np.logaddexp(np.log(0.5) + plain, known)) for share in OWN_SHARES]
-    totals = np.array([row_sums(x, starts) for x in ways])
-    most = totals.max(axis=0)
-    return (most + np.log(np.exp(totals - most).mean(axis=0))) / np.log(10)
+def top_rows(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """What the two top levels need of a shard's trees: depth-one keys, counts either way, and weighted estimates, of its depth-two nodes."""
+    found = []
+    for k in range(8):
+        level = Subtrees(keys, counts, depth, 2, k).levels[-1]
+        one, inverse = np.unique((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255), return_inverse=True)
+        found.append((one, *(np.bincount(inverse, x, len(one)) for x in (level.zeros, level.ones, level.weighted))))
+    one, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(one)
+    return one[by], *(x[by] for x in sums)
+
+
+def shard_of(keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    return (mix(keys >> np.uint64(8 * (depth - 1))) % np.uint64(shards)).astype(np.int64)
+
+
+def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block, compressed, so that texts travel in little space."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for part in sliced(batch, most=BLOCK_BYTES):
+            block = np.asarray(part.column("block"))
+            order = np.argsort(block, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1])), len(order))
+            rows, found = part.select(["doc_id", "text", "held_out"]), []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                    writer.write_batch(rows.take(pa.array(order[a:b])))
+                found.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[cuts[:-1]]], pa.int32()), pa.array(found, pa.binary())], ["block", "rows"])
+
+
+class Block:
+    """A block's rows, distinct words (the end first) and, in slices, symbols."""
+
+    def __init__(self, table: pa.Table, depth: int, shards: int):
+        self.rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]).combine_chunks()
+        self.depth, self.shards, self.train = depth, shards, ~np.asarray(self.rows.column("held_out")).astype(bool)
+        dictionary, codes, self.starts = words(self.rows.column("text"))
+        # In order, so the words are the same whichever way the rows came.
+        by = pc.sort_indices(dictionary).to_numpy()
+        back = np.empty_like(by)
+        back[by] = np.arange(len(by))
+        self.words = pa.concat_arrays([pa.array([END], pa.large_binary()), dictionary.take(pa.array(by)).cast(pa.large_binary())])
+        self.codes = back[codes].astype(np.int64) + 1
+        self.word_shard = (hash_words(self.words) % np.uint64(shards)).astype(np.int64)
+        pa.default_memory_pool().release_unused()
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, their symbols' keys, and how many each row has, a few MB of text at a time."""
+        spaced = pa.concat_arrays([pa.array([END + b" " * WIDEST], pa.large_binary()), pc.binary_join_element_wise(self.words[1:], *(pa.scalar(x, pa.large_binary()) for x in (b" ", b"")))])
+        size = np.concatenate([[0], np.cumsum(byte_sizes(spaced)[self.codes])])[self.starts]
+        begin = 0
+        while begin < len(self.starts) - 1:
+            end = max(begin + 1, int(np.searchsorted(size, size[begin] + (BLOCK_BYTES >> 2), side="right")) - 1)
+            a, b = self.starts[begin], self.starts[end]
+            flat, symbols = stream(spaced, self.codes[a:b], self.starts[begin : end + 1] - a)
+            yield slice(begin, end), symbol_keys(flat, symbols, self.depth), symbols
+            begin = end
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct symbol keys by shard and then in order, training counts, and shards."""
+        size = row_sums(byte_sizes(self.words)[self.codes] + 1, self.starts) + 1
+        both = [np.empty(int(size[x].sum()), np.uint64) for x in (self.train, ~self.train)]
+        at = [0, 0]
+        for rows, keys, symbols in self.slices():
+            for i, chosen in enumerate((self.train[rows], ~self.train[rows])):
+                own = keys[np.repeat(chosen, symbols)]
+                both[i][at[i] : at[i] + len(own)] = own
+                at[i] += len(own)
+        held, _ = counted(both.pop())
+        keys, counts = counted(both.pop())
+        place = np.searchsorted(keys, held)
+        new = keys[np.minimum(place, len(keys) - 1)] != held if len(keys) else np.ones(len(held), bool)
+        keys, counts = np.insert(keys, place[new], held[new]), np.insert(counts, place[new], 0)
+        shard = shard_of(keys, self.depth, self.shards)
+        by = np.argsort(shard, kind="stable")
+        return keys[by], counts[by], shard[by]
+
+    def word_counts(self) -> np.ndarray:
+        counts = np.bincount(self.codes, np.repeat(self.train, np.diff(self.starts)), len(self.words)).astype(np.int64)
+        counts[0] = self.train.sum()
+        return counts
+
+
+def byte_sizes(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.binary_length(column)).astype(np.int64)
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """Each document's tokens and log10 probabilities: by unigrams with one added to each count, and by the context trees.
 
-    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, one row
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (symbols), bits_per_byte, one row
     for each row of docs. The documents with held_out false are the training texts. A null or empty text is
     the end alone. A null doc_id is a document like others. Without training texts every bit costs one bit.
     """
+    if not 2 <= depth <= WIDEST:
+        raise ValueError(f"contexts have 2 to {WIDEST} bytes")
     spark = docs.sparkSession
-    parts = partitions(spark)
     saved = Saved(spark)
-    blocks = view(docs).select("doc_id", "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS * parts)).cast("int").alias("block"))
+    own = view(docs).select("doc_id", "text", held_out.alias("held_out"))
+    shards = n_blocks = max(partitions(spark), -(-text_size(own) // BLOCK_BYTES))
+    blocks = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).mapInArrow(payloads, "block int, rows binary")
 
     def count_block(table: pa.Table) -> pa.Table:
-        order, own, codes, starts, part = block_words(table, parts)
-        train = ~np.asarray(table.column("held_out")).astype(bool)[order]
-        counts = np.bincount(codes, np.repeat(train, np.diff(starts)), len(own)).astype(np.int64)
-        counts[0] = train.sum()
-        rows = [(p, x) for p in np.unique(part) for x in [np.flatnonzero(part == p)]]
-        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "words": pa.array([joined(own, x) for _, x in rows], pa.binary()), "counts": pa.array([binary(counts[x], "<i8") for _, x in rows], pa.binary())})
-
-    counted = saved.save(blocks.groupBy("block").applyInArrow(count_block, "part int, block int, words binary, counts binary"))
-
-    def count_part(table: pa.Table) -> pa.Table:
-        _, _, own, _, counts = part_words(table)
-        keys, seen, shard, _, _ = part_symbols(own, counts, depth, parts)
-        rows = [(s, x) for s in np.unique(shard) for x in [slice(*np.searchsorted(shard, [s, s + 1]))]]
-        sums = [[int(counts.sum()), int((counts > 0).sum())] if not i else [0, 0] for i in range(len(rows))]
-        return pa.table({"shard": pa.array([s for s, _ in rows], pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array([binary(keys[x], "<u8") for _, x in rows], pa.binary()), "counts": pa.array([binary(seen[x], "<i8") for _, x in rows], pa.binary()), "n": pa.array([x[0] for x in sums], pa.int64()), "v": pa.array([x[1] for x in sums], pa.int64())})
-
-    contexts = saved.save(counted.groupBy("part").applyInArrow(count_part, "shard int, part int, keys binary, counts binary, n long, v long"))
-    total = contexts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-
-    def shard_keys(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
-        table = table.sort_by("part")
-        lists = read(table.column("keys"), "<u8")
-        distinct, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(read(table.column("counts"), "<i8")), len(distinct)).astype(np.int64)
-        return table, [len(x) for x in lists], distinct, inverse, counts
-
-    def shard_top(table: pa.Table) -> pa.Table:
-        _, _, keys, _, counts = shard_keys(table)
-        level = Subtrees(keys, counts, depth, 2).levels[-1]
-        return pa.table({"one": pa.array(((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255)).astype(np.int64)), "zeros": pa.array(level.zeros), "ones": pa.array(level.ones), "weighted": pa.array(level.weighted)})
-
+        block = Block(table, depth, shards)
+        keys, counts, shard = block.keys()
+        every = np.unique(np.concatenate([shard, block.word_shard]))
+        cuts = [slice(a, b) for a, b in zip(np.searchsorted(shard, every), np.searchsorted(shard, every, side="right"), strict=True)]
+        by_shard, none = dict(dealt(block.word_shard)), np.zeros(0, np.int64)
+        chosen = [by_shard.get(int(s), none) for s in every]
+        totals = block.word_counts()
+        return pa.table({
+            "shard": pa.array(every, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(every), pa.int32()),
+            "keys": pa.array([rising(keys[x]) for x in cuts], pa.binary()), "counts": pa.array([packed(counts[x]) for x in cuts], pa.binary()),
+            "words": pa.array([b" ".join(block.words.take(pa.array(x)).to_pylist()) for x in chosen], pa.binary()), "totals": pa.array([packed(totals[x]) for x in chosen], pa.binary()),
+        })
+
+    messages = blocks.groupBy("block").applyInArrow(count_block, "shard int, block int, keys binary, counts binary, words binary, totals binary")
+    state = "shard int, keys binary, counts binary, totals binary, blocks array<int>, places array<binary>, word_places array<binary>, n long, v long, top array<struct<one: long, zeros: double, ones: double, weighted: double>>"
+
+    def merge_shard(table: pa.Table) -> pa.Table:
+        lists = [unrising(x) for x in table.column("keys").to_pylist()]
+        keys, counts = merged(lists, [unpacked(x).astype(np.int64) for x in table.column("counts").to_pylist()])
+        texts = [x.split(b" ") if x else [] for x in table.column("words").to_pylist()]
+        number: dict[bytes, int] = {}
+        coded = [np.fromiter((number.setdefault(w, len(number)) for w in x), np.int64, len(x)) for x in texts]
+        totals = np.bincount(np.concatenate(coded), np.concatenate([unpacked(x).astype(np.int64) for x in table.column("totals").to_pylist()]), len(number)).astype(np.int64)
+        top = [dict(zip(("one", "zeros", "ones", "weighted"), (int(a), float(b), float(c), float(d)), strict=True)) for a, b, c, d in zip(*top_rows(keys, counts, depth), strict=True)]
+        lists_of = lambda kind, values: pa.array([values], pa.list_(kind))
+        return pa.table({
+            "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([rising(keys)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary()), "totals": pa.array([packed(totals)], pa.binary()),
+            "blocks": lists_of(pa.int32(), table.column("block").to_pylist()), "places": lists_of(pa.binary(), [rising(np.searchsorted(keys, x)) for x in lists]), "word_places": lists_of(pa.binary(), [packed(x) for x in coded]),
+            "n": pa.array([int(totals.sum())], pa.int64()), "v": pa.array([int((totals > 0).sum())], pa.int64()), "top": pa.array([top], pa.list_(pa.struct([("one", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())]))),
+        })
+
+    # One row for each shard.
+    shard_rows = saved.save(messages.groupBy("shard").applyInArrow(merge_shard, state), "shards")
+    total = shard_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     # At most 256 contexts of one byte with 255 decisions each.
-    rows = contexts.groupBy("shard").applyInArrow(shard_top, "one long, zeros double, ones double, weighted double").groupBy("one").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("one").toPandas().to_numpy(dtype=float)
+    rows = shard_rows.select(F.inline("top")).groupBy("one").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("one").toPandas().to_numpy(dtype=float)
     top = spark.sparkContext.broadcast(Top(rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2], rows[:, 3]))
 
-    def shard_costs(table: pa.Table) -> pa.Table:
-        table, lengths, keys, inverse, counts = shard_keys(table)
-        costs = np.split(symbol_costs(keys, counts, top.value, depth)[inverse], np.cumsum(lengths)[:-1])
-        return pa.table({"part": table.column("part").cast(pa.int32()), "shard": table.column("shard").cast(pa.int32()), "costs": pa.array([binary(x, "<f8") for x in costs], pa.binary())})
-
-    costs = contexts.groupBy("shard").applyInArrow(shard_costs, "part int, shard int, costs binary")
-
-    def part_costs(blobs: pa.Table, found: pa.Table) -> pa.Table:
-        block, lengths, own, codes, counts = part_words(blobs)
-        _, _, _, number, first = part_symbols(own, counts, depth, parts)
-        by_key = np.concatenate(read(found.sort_by("shard").column("costs"), "<f8"))
-        cost = row_sums(by_key[number], first)
-        ends = np.cumsum(lengths)[:-1]
-        return pa.table({"block": pa.array(block, pa.int32()), "part": pa.array([blobs.column("part")[0].as_py()] * len(block), pa.int32()), "counts": pa.array([binary(x, "<i8") for x in np.split(counts[codes], ends)], pa.binary()), "costs": pa.array([binary(x, "<f8") for x in np.split(cost[codes], ends)], pa.binary())})
-
-    replies = saved.save(counted.groupBy("part").cogroup(costs.groupBy("part")).applyInArrow(part_costs, "block int, part int, counts binary, costs binary"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                keys, totals = unrising(row["keys"]), unpacked(row["totals"])
+                costs = np.round(-symbol_costs(keys, unpacked(row["counts"]).astype(np.int64), top.value, depth) * SCALE).astype(np.uint64)
+                places = [unrising(x).astype(np.int64) for x in row["places"]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row["blocks"], pa.int32()), pa.array([row["shard"]] * len(places), pa.int32()), pa.array([rising(keys[x]) for x in places], pa.binary()),
+                    pa.array([packed(costs[x]) for x in places], pa.binary()), pa.array([packed(totals[unpacked(x).astype(np.int64)]) for x in row["word_places"]], pa.binary()),
+                ], ["block", "shard", "keys", "costs", "totals"])
+
+    answers = shard_rows.select("shard", "keys", "counts", "totals", "blocks", "places", "word_places").mapInArrow(answer, "block int, shard int, keys binary, costs binary, totals binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
     def block_scores(table: pa.Table, found: pa.Table) -> pa.Table:
-        order, own, codes, starts, part = block_words(table, parts)
-        counts, cost = np.zeros(len(own), np.int64), np.zeros(len(own))
-        sent = np.argsort(part, kind="stable")
-        found = found.sort_by("part")
-        counts[sent], cost[sent] = np.concatenate(read(found.column("counts"), "<i8")), np.concatenate(read(found.column("costs"), "<f8"))
+        block, found = Block(table, depth, shards), found.sort_by("shard")
+        keys = np.concatenate([unrising(x) for x in found.column("keys").to_pylist()])
+        cost = np.concatenate([unpacked(x).astype(np.float32) for x in found.column("costs").to_pylist()])
+        counts = np.zeros(len(block.words), np.int64)
+        counts[np.argsort(block.word_shard, kind="stable")] = np.concatenate([unpacked(x) for x in found.column("totals").to_pylist()])
+        lookup, result, n_bytes = Lookup(keys), [], []
+        for _, own_keys, symbols in block.slices():
+            result.append(row_sums(cost[lookup.find(own_keys)].astype(float), np.concatenate([[0], np.cumsum(symbols)])) / -SCALE)
+            n_bytes.append(symbols)
+        result, n_bytes = np.concatenate(result), np.concatenate(n_bytes).astype(np.int64)
         base = np.log10((counts + 1) / (total.n + total.v + 1))
-        size = np.asarray(pc.binary_length(own)).astype(np.int64) + 1
-        n_bytes, result = row_sums(size[codes], starts) + 1, mixed_scores(cost, counts, total.n, codes, starts)
-        values = [table.column("doc_id").take(pa.array(order)), table.column("held_out").take(pa.array(order)), pa.array(np.diff(starts) + 1), pa.array(row_sums((counts > 0).astype(np.int64)[codes], starts) + int(counts[0] > 0)), pa.array(np.full(len(order), total.n, np.int64)), pa.array(row_sums(base[codes], starts) + base[0]), pa.array(result), pa.array(n_bytes), pa.array(-result * np.log2(10) / n_bytes)]
+        codes, starts = block.codes, block.starts
+        values = [block.rows.column("doc_id"), block.rows.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(row_sums((counts > 0).astype(np.int64)[codes], starts) + int(counts[0] > 0)), pa.array(np.full(len(starts) - 1, total.n, np.int64)), pa.array(row_sums(base[codes], starts) + base[0]), pa.array(result), pa.array(n_bytes), pa.array(-result * np.log2(10) / n_bytes)]
         return pa.table(dict(zip([x.split()[0] for x in schema.split(", ")], values, strict=True)))
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(block_scores, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block_scores, schema)
