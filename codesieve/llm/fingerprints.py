@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import partitions, view
+from codesieve.llm.common import partitions, text_size, view
 
+#: Bytes of text of a part, if parts aren't more than the shuffle partitions.
+PART_BYTES = 32 << 20
 #: Two primes below 2 ** 31 and a base for each.
 PRIMES = np.array([2147483647, 2147483629], np.uint64)
 BASES = (911382323, 972663749)
@@ -209,19 +211,40 @@ def likeness(one: str, two: str) -> float:
     return min(sum(ends) + between, m) / n
 
 
+def text_place(text: Column) -> Column:
+    """The first six bytes as a number, which sorts as texts do."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
+
 def next_in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text and `part`, dealt so that each part has a range of doc_ids and no document's neighbour is far.
 
-    The ranges come from quantiles of doc_id. Nulls come last in descending order. A doc_id that many rows
-    share stays in one part.
+    The ranges come from quantiles of doc_id. Nulls come last in descending order. A doc_id (or null) that fills several parts'
+    share of the rows is dealt by ranges of its texts, in whose order its rows follow each other.
     """
-    parts = parts or partitions(docs.sparkSession)
-    cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    if not cuts:
+    parts = parts or max(partitions(docs.sparkSession), -(-text_size(docs) // PART_BYTES))
+    if parts < 2:
         return docs.withColumn("part", F.lit(0))
+    shares, error = [i / parts for i in range(1, parts)], 0.2 / parts
+    drawn = [int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", shares, error)]
+    counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    # How many parts' worth of rows an id has that several quantiles fall on.
+    hot: dict[int | None, int] = {x: n for x, n in Counter(drawn).items() if n > 1}
+    if (counts.n - counts.known) * parts > counts.n:
+        hot[None] = -(-(counts.n - counts.known) * parts // counts.n)
     # Parts count from the largest doc_id down; a cut belongs to the part below it.
-    held = F.array(*map(F.lit, cuts))
-    return docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(held, lambda x: x >= F.col("doc_id")))))
+    own, place = F.col("doc_id"), text_place(F.col("text"))
+    cuts = sorted(set(drawn))
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x >= own)) if cuts else F.lit(0)
+    number = F.when(own.isNull(), F.lit(len(cuts) + 1)).otherwise(number)
+    for x, n in hot.items():
+        rows = docs.where(own.isNull() if x is None else own == x).select(place.alias("place"))
+        found = sorted({int(p) for p in rows.approxQuantile("place", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+        if found:
+            within = F.size(F.filter(F.array(*map(F.lit, found)), lambda p: p <= place))
+            behind = F.lit(False) if x is None else own.isNull() | (own < x)
+            number = number + F.when(own.isNull() if x is None else own.eqNullSafe(x), within).when(behind, F.lit(len(found))).otherwise(F.lit(0))
+    return docs.withColumn("part", number)
 
 
 def describe(text: str, own: Prefixes, following: str, nxt: Prefixes) -> tuple[int, str, str, str, float, float]:
@@ -245,34 +268,27 @@ def compare(docs: DataFrame) -> DataFrame:
     document is its own next.
     """
     own = next_in_order(view(docs))
-    # The first row of each part is the next document of the last row of the part before: one row for each part.
+    # The first row of each part is the next document of the last row of the part before: one row for each part goes there too, behind its rows.
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     tops = own.groupBy("part").agg(F.max("doc_id").alias("top"))
-    heads = own.join(F.broadcast(tops), "part").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("text")).collect()
-    first = {r.part: r.text for r in heads}
-    listed = sorted(first)
-    held = docs.sparkSession.sparkContext.broadcast({p: first[listed[(i + 1) % len(listed)]] for i, p in enumerate(listed)})
+    heads = own.join(F.broadcast(tops), "part").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("text"))
+    by_part = Window.orderBy("part")  # one row for each part
+    before = tops.select("part", F.coalesce(F.lag("part").over(by_part), F.max("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    guests = heads.join(F.broadcast(before), "part").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    dealt = own.withColumn("guest", F.lit(False)).unionByName(guests).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guest", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None
-
-        def row(before: tuple, following: str, nxt: Prefixes) -> tuple:
-            return (before[0], *describe(before[1], before[2], following, nxt))
-
         rows: list[tuple] = []
         for batch in batches:
-            for part, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text, guest in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("guest").to_pylist(), strict=True):
                 prefixes = Prefixes(code_points(text))
-                if waiting and waiting[3] == part:
-                    rows.append(row(waiting, text, prefixes))
-                elif waiting:
-                    rows.append(row(waiting, held.value[waiting[3]], Prefixes(code_points(held.value[waiting[3]]))))
-                waiting = doc_id, text, prefixes, part
+                if waiting:
+                    rows.append((waiting[0], *describe(waiting[1], waiting[2], text, prefixes)))
+                waiting = None if guest else (doc_id, text, prefixes)
                 if len(rows) >= 2000:
                     yield table(rows)
                     rows = []
-        if waiting:
-            rows.append(row(waiting, held.value[waiting[3]], Prefixes(code_points(held.value[waiting[3]]))))
         if rows:
             yield table(rows)
 
@@ -280,4 +296,4 @@ def compare(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return own.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", *order).mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(run, SCHEMA)

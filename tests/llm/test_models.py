@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesieve.llm import context_tree, fingerprints, quality, toxicity
+from codesieve.llm import ngram_features as features
 from codesieve.llm.common import fold
 
 SF = "/root/testdata/sf0.01"
@@ -51,19 +52,37 @@ def test_ordinal_thresholds_are_ordered_and_held_out_grades_follow():
     n, bits = 600, 8
     truth = rng.normal(size=n)
     grades = np.digitize(truth + 0.1 * rng.normal(size=n), [-1, 0, 1])
-    grams = np.where(rng.random((n, 40)) < 1 / (1 + np.exp(-2 * truth[:, None])), 5, 9)
-    at, extra = np.arange(0, 40 * (n + 1), 40), np.full(n, 1 << bits)
+    shares = (rng.random((n, 40)) < 1 / (1 + np.exp(-2 * truth[:, None]))).mean(axis=1)
     half = n // 2
-    model = quality.fit(grams[:half].ravel(), at[: half + 1], extra[:half], grades[:half], bits)
+    rows, columns = np.repeat(np.arange(half), 2), np.tile([5, 9], half)
+    model = quality.fit(rows, columns, np.column_stack([shares, 1 - shares])[:half].ravel(), grades[:half], bits)
     assert (np.diff(model.thresholds) > 0).all() and model.grades.tolist() == [0, 1, 2, 3]
-    from codesieve.llm.ngram_features import averages
-
-    score = averages(model.weights, grams[half:].ravel(), at[: half + 1], extra[half:])
+    score = shares[half:] * model.weights[5] + (1 - shares[half:]) * model.weights[9]
     tails = model.at_least(score)
     assert (np.diff(tails, axis=1) <= 1e-12).all()
     assert np.corrcoef(model.expected(score), grades[half:])[0, 1] > 0.85
 
 
+def test_quality_held_out(docs, labels):
+    """Accuracy on documents whose ratings the model has not seen."""
+    out = quality.score(docs, quality.train(docs, labels.where(~fold(3, 1)))).join(labels.where(fold(3, 1)), "doc_id").toPandas()
+    assert len(out) > 50 and ((out["tail"] >= 0.5) == (out["quality"] == 1)).mean() > 0.93
+
+
+def test_only_the_sample_goes_to_one_task(spark, labels):
+    plan = features.one_task(features.rated_sample(spark.read.parquet(f"{SF}/documents.parquet"), labels, "quality", 100))._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in plan and plan.index("Exchange SinglePartition, REPARTITION_BY_NUM") < plan.index("Join") < plan.rindex("FileScan")
+
+
+def test_features_and_scores_agree():
+    import pyarrow as pa
+
+    texts = pa.array(["", "one", "the cat and the hat", "été!!! $$$ x", "a" * 5000])
+    weights = np.random.default_rng(5).normal(size=features.size(8))
+    rows, columns, values = features.table(texts, 8)
+    assert np.allclose(np.bincount(rows, values * weights[columns], len(texts)), features.scores(weights, texts, 8))
+
+
 def test_toxicity_held_out(docs, labels):
     model = toxicity.train(docs, labels.where(~fold(3, 1)))
     out = toxicity.score(docs, model)
@@ -83,27 +102,27 @@ def test_positive_unlabelled_risk_finds_the_marker():
     use = [rows[i] for i in np.flatnonzero(known)] + rows
     positive = np.append(np.ones(known.sum(), bool), np.zeros(3000, bool))
     at = np.cumsum([0, *map(len, use)])
-    weights, bias = toxicity.fit(np.concatenate(use), at, positive, 0.1, 30)
+    codes, unlabelled = np.concatenate(use), 1.0 - positive
+    weights, bias = toxicity.fit(lambda theta: toxicity.risk(theta, codes, at, unlabelled, positive.astype(float)), np.bincount(codes[np.repeat(positive, np.diff(at))], minlength=30), 0.1, 3000, positive.sum())
     chance = np.array([1 / (1 + math.exp(-weights[x].sum() - bias)) for x in rows])
     assert ((chance > 0.7) == toxic).mean() > 0.98
 
 
 def brute_ctw(train, text, depth):
-    """log10 probability of words under frozen context trees, by recursion over explicit counts."""
+    """log10 probability of a text's words under frozen context trees of training texts, by recursion over explicit counts."""
     counts: dict = {}
-    spelled = lambda w: [0xFF] if w == b"\xff" else [*w, 32]
 
-    def steps(w):
-        line = [0] * (depth - 1) + [32] + spelled(w)
+    def steps(text_words):
+        line = [32] * depth + [x for w in text_words for x in [*w, 32]] + [0xFF]
         for i in range(depth, len(line)):
             context = tuple(line[i - depth : i][::-1])
             for k in range(8):
                 yield context, (1 << k) | line[i] >> (8 - k), line[i] >> (7 - k) & 1
 
-    for w, c in train.items():
-        for context, v, bit in steps(w):
+    for words_ in train:
+        for context, v, bit in steps(words_):
             for d in range(depth + 1):
-                counts.setdefault((context[:d], v), [0, 0])[bit] += c
+                counts.setdefault((context[:d], v), [0, 0])[bit] += 1
     kids: dict = {}
     for context, v in counts:
         if context:
@@ -129,45 +148,50 @@ def brute_ctw(train, text, depth):
         return share * own + (1 - share) * chance(context, v, d + 1)
 
     total = 0.0
-    for w in text:
-        for context, v, bit in steps(w):
-            p = chance(context, v, 0) if ((), v) in counts else 0.5
-            total += math.log10(p if bit else 1 - p)
+    for context, v, bit in steps(text):
+        p = chance(context, v, 0) if ((), v) in counts else 0.5
+        total += math.log10(p if bit else 1 - p)
     return total
 
 
-def test_context_trees_equal_recursion():
-    import pyarrow as pa
+@pytest.mark.parametrize("depth", [3, 7])
+def test_scores_equal_recursion(spark, depth):
+    texts = ["the cat and the hat", "the  cat\nsat", "", None, "été été THE", "an ananan an", "the cat and the hat", "unseenword the zz", "hat the and cat the", "x" * 300]
+    rows = [(i, t, i % 3 == 2) for i, t in enumerate(texts)]
+    out = context_tree.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3), F.col("doc_id") % 3 == 2, depth).collect()
+    spelled = [(t or "").encode().lower().split() for t in texts]
+    train = [w for w, (_, _, h) in zip(spelled, rows, strict=True) if not h]
+    for r in out:
+        want = brute_ctw(train, spelled[r.doc_id], depth)
+        assert r.score == pytest.approx(want, abs=r.n_bytes / context_tree.SCALE), r.doc_id
+        assert r.n_bytes == len(b"".join(w + b" " for w in spelled[r.doc_id])) + 1 and r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
 
-    train = Counter({b"the": 9, b"then": 2, b"an": 5, "été".encode(): 1, b"ananan": 2, b"\xff": 4})
-    every = [*train, b"tha", b"zz", b"unseenword"]
-    for depth in (3, 7):
-        own = pa.array(every, pa.large_binary())
-        counts = np.array([train.get(w, 0) for w in every])
-        keys, seen, _, number, first = context_tree.part_symbols(own, counts, depth, 1)
-        level = context_tree.Subtrees(keys, seen, depth, 2).levels[-1]
-        one = (level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255)
-        nodes, inverse = np.unique(one, return_inverse=True)
-        top = context_tree.Top(nodes, *[np.bincount(inverse, x) for x in (level.zeros, level.ones, level.weighted)])
-        cost = context_tree.row_sums(context_tree.symbol_costs(keys, seen, top, depth)[number], first)
-        for w, c in zip(every, cost, strict=True):
-            assert c == pytest.approx(brute_ctw(train, [w], depth), rel=1e-9), w
 
+def test_word_order_counts(spark):
+    rows = [(i, "one two three four five six seven") for i in range(20)] + [(100, "one two three four five six seven"), (101, "five one seven two six three four")]
+    got = {r.doc_id: r.score for r in context_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100] > 0.5 * got[101]
 
-def test_symbol_probabilities_add_up_to_one():
-    import pyarrow as pa
 
-    words_ = [b"aa", b"ab", b"ab", b"\xff"]
-    own = pa.array([b"a" + bytes([i]) for i in range(1, 256) if i not in range(9, 14) and i != 32] + words_[:1], pa.large_binary())
-    counts = np.array([3 if w == b"ab" else 0 for w in own.to_pylist()])
-    keys, seen, _, _, _ = context_tree.part_symbols(own, counts, 7, 1)
-    level = context_tree.Subtrees(keys, seen, 7, 2).levels[-1]
-    one = (level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255)
-    nodes, inverse = np.unique(one, return_inverse=True)
-    top = context_tree.Top(nodes, *[np.bincount(inverse, x) for x in (level.zeros, level.ones, level.weighted)])
-    cost = context_tree.symbol_costs(keys, seen, top, 7)
-    behind_a = keys >> np.uint64(8) == (ord("a") << 48) + (32 << 40)
-    assert 0.9 < (10 ** cost[behind_a]).sum() <= 1 + 1e-9
+def test_symbol_probabilities_add_up_to_one():
+    rng = np.random.default_rng(3)
+    # Every symbol in each of some contexts, few of them seen.
+    contexts = rng.integers(97, 100, (40, 7)).astype(np.uint64)
+    numbers = np.unique(sum(contexts[:, k] << np.uint64(8 * k) for k in range(7)))
+    keys = (numbers[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
+    counts = rng.integers(0, 5, len(keys)) * (rng.random(len(keys)) < 0.02)
+    top = context_tree.Top(*context_tree.top_rows(keys, counts, 7))
+    chance = 10 ** context_tree.symbol_costs(keys, counts, top, 7)
+    assert np.allclose(chance.reshape(-1, 256).sum(axis=1), 1)
+
+
+def test_lists_travel_whole():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        x = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert (context_tree.unrising(context_tree.rising(x)) == x).all() and (context_tree.unpacked(context_tree.packed(x)) == x).all()
+        distinct = np.unique(x)
+        assert (context_tree.Lookup(distinct).find(x) == np.searchsorted(distinct, x)).all()
 
 
 def test_language_model_rows(docs):
@@ -180,7 +204,9 @@ def test_language_model_rows(docs):
     got = sorted((int(r.doc_id) if r.doc_id == r.doc_id else -9, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out.itertuples())
     assert [x[:5] for x in got] == [x[:5] for x in want]
     assert np.allclose([x[5] for x in got], [x[5] for x in want], rtol=1e-6, atol=1e-3)
-    assert (out.score < 0).all() and out.score.sum() > 1.05 * out.base_score.sum()
+    assert (out.score < 0).all() and out.score.sum() > out.base_score.sum()
+    # On texts that the model has not seen too.
+    assert out.score[out.held_out].sum() > out.base_score[out.held_out].sum()
     assert context_tree.score(docs.limit(0), fold(7, 2)).count() == 0
 
 
@@ -243,6 +269,16 @@ def test_pieces_cover_the_text():
                 assert all(0 < y - x <= 255 for x, y in zip(cuts, cuts[1:], strict=False))
 
 
+def test_hot_ids_are_dealt_to_several_parts(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i * 7919 % 1000:03d} text") for i in range(900)]
+    dealt = fingerprints.next_in_order(spark.createDataFrame(rows, "doc_id long, text string"), 12)
+    found = [tuple(r) for r in dealt.collect()]
+    order = sorted(found, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [r[2] for r in order] == sorted(r[2] for r in order)
+    sizes = Counter(r[2] for r in found)
+    assert len({r[2] for r in found if r[0] is None}) > 2 and len({r[2] for r in found if r[0] == 7}) > 2 and max(sizes.values()) < 250
+
+
 def test_fingerprint_rows(spark, docs):
     sub = docs.where("doc_id is not null and doc_id <> -4")
     got = {(r.doc_id, r.fingerprint): r for r in fingerprints.compare(sub).collect()}
@@ -254,7 +290,11 @@ def test_fingerprint_rows(spark, docs):
         r = got[doc, fingerprints.Prefixes(fingerprints.code_points(text)).fingerprint()]
         if doc != -5:
             assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-            assert r.edited_fingerprint == fingerprints.Prefixes(fingerprints.code_points(edited)).fingerprint()
+            own, changed, after = (fingerprints.Prefixes(fingerprints.code_points(x)).fingerprint() for x in (text, edited, following))
+            assert r.edited_fingerprint == changed and r.near_edited == fingerprints.likeness(own, changed) and r.near_next == fingerprints.likeness(own, after)
+            # No more than what the two texts have in common, each code point as often as both have it.
+            both = sum((Counter(text) & Counter(following)).values())
+            assert text == following or r.near_next <= both / max(len(text), len(following), 1)
     assert fingerprints.compare(docs.limit(0)).count() == 0
     one = fingerprints.compare(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()[0]
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
