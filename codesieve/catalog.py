@@ -264,6 +264,20 @@ def boundaries_rank(spark: SparkSession, d: str) -> DataFrame:
     return quantile.boundary_table(spark, prefix_codes(table(spark, d, "documents")))
 
 
+LINEAR_SQL = f"""WITH k AS (SELECT ('0x' || key)::UBIGINT AS v, row_number() OVER (ORDER BY key) - 1 AS r, count(*) OVER () AS n FROM (SELECT {sql_key('text')} AS key FROM documents)),
+p AS (SELECT i, (i * 100)::DOUBLE / 256 / 100 * (n - 1) AS place, n FROM range(256) t(i), (SELECT max(n) AS n FROM k)),
+e AS (SELECT i, place - floor(place) AS share, a.v AS low, b.v AS high FROM p JOIN k a ON a.r = floor(place)::BIGINT JOIN k b ON b.r = least(floor(place)::BIGINT + 1, p.n - 1)),
+x AS (SELECT i, CASE WHEN share >= 0.5 THEN high::DOUBLE - (high - low)::DOUBLE * (1 - share) ELSE low::DOUBLE + (high - low)::DOUBLE * share END AS point FROM e)
+SELECT i::INTEGER AS bucket_id, (max(floor(least(greatest(point, 0), 18446744073709549568))::UBIGINT) OVER (ORDER BY i))::VARCHAR AS boundary_u64 FROM x"""
+
+
+@query("boundaries_linear", LINEAR_SQL)
+def boundaries_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolated percentiles of the keys as numbers, made monotone."""
+    codes = quantile.boundaries(table(spark, d, "documents"), "text", 8, method="linear")
+    return quantile.boundary_table(spark, codes).select("bucket_id", K.unsigned(F.col("key")).alias("boundary_u64"))
+
+
 @query("boundary_running_max", f"WITH {sql_codes('part', 'p_name', 6)} SELECT code::INTEGER AS bucket_id, max(key) OVER (ORDER BY code) AS key FROM bp")
 def boundary_running_max(spark: SparkSession, d: str) -> DataFrame:
     return quantile.running_max(quantile.boundary_table(spark, prefix_codes(table(spark, d, "part"), "p_name", 6)))

@@ -198,7 +198,8 @@ def main(argv: list[str] | None = None) -> None:
             run = reports.three_way if args.command == "compare" else reports.six_way
             io.write_csv(run(both, text, chosen, p, s, "q16_infix", args.warmup, args.reps), args.output)
     elif args.command == "repartition":
-        io.write_clustered(df, args.output, args.code, rows=args.rows, compression=args.compression)
+        io.write_clustered(df, args.output, args.code, group_rows=args.rows, compression=args.compression)
+        io.row_groups(spark, args.output).agg(F.count("*").alias("row_groups"), F.max("rows").alias("most_rows")).show()
 
 
 def chosen_pairs(df: DataFrame, text: str, p: quantile.Codes, s: quantile.Codes, args: argparse.Namespace) -> list[tuple[str, str]]:

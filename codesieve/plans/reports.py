@@ -144,6 +144,12 @@ def group_report(df: DataFrame, keep: Column, rows: int) -> DataFrame:
     return found.select(F.lit(rows).alias("group_rows"), F.col("total").alias("groups_total"), F.col("skipped").alias("groups_skipped"), (F.col("total") - F.col("skipped")).alias("groups_loaded"), F.when(F.col("total") > 0, F.round(100 * F.col("skipped") / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("skipped_pct"))
 
 
+def pruned_groups(spark: SparkSession, path: str, column: str, low: int, high: int) -> DataFrame:
+    """groups_total and groups_skipped: row groups of a table on disk whose statistics of a code column exclude a range, as a scan skips them."""
+    found = io.row_groups(spark, path, column)
+    return found.agg(F.count("*").alias("groups_total"), F.count_if((F.col("high").cast("long") < low) | (F.col("low").cast("long") > high)).alias("groups_skipped"))
+
+
 def scan_report(df: DataFrame, column: str, patterns: Iterable[str], features: Features, rows: int = metrics.SEGMENT_ROWS, warmup: int = 0, reps: int = 1) -> DataFrame:
     """Each pattern's count and least match by masked and plain scan, groups skipped and loaded, and milliseconds of either."""
     out = []

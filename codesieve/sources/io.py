@@ -69,10 +69,10 @@ def read_runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return df.select("*", bits[0].alias("prefix_bits"), bits[1].alias("suffix_bits")).withColumn("combo", F.format_string("p%d_s%d", "prefix_bits", "suffix_bits")).drop("file")
 
 
-def write_clustered(df: DataFrame, path: str, code: str | None = None, partitions: int | None = None, rows: int | None = None, compression: str = "snappy", block_bytes: int | None = None, spread: Column | None = None) -> None:
+def write_clustered(df: DataFrame, path: str, code: str | None = None, partitions: int | None = None, rows: int | None = None, compression: str = "snappy", block_bytes: int | None = None, spread: Column | None = None, group_rows: int | None = None) -> None:
     """Parquet sorted by a code in ranges, so that row groups have narrow code ranges and are skipped by their statistics.
 
-    rows: most rows of a file, and so of its one row group; block_bytes: size of a row group. spread: splits a code that many rows share.
+    rows: most rows of a file; group_rows, block_bytes: rows and size of a row group, at most. spread: splits a code that many rows share.
     """
     if code:
         by = [F.col(code)] if spread is None else [F.col(code), spread]
@@ -80,6 +80,7 @@ def write_clustered(df: DataFrame, path: str, code: str | None = None, partition
         df = df.sortWithinPartitions(code)
     writer = df.write.mode("overwrite").option("compression", compression)
     writer = writer.option("maxRecordsPerFile", rows) if rows else writer
+    writer = writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer
     (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).parquet(path)
 
 
@@ -93,6 +94,21 @@ def footers(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes"))
 
 
+def row_groups(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """file, group, rows and bytes of each row group of a Parquet table, from the files' footers, read one after the other; with a column, its low and high as text."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for file in sorted(spark.read.parquet(path).inputFiles()):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        try:
+            for i, block in enumerate(reader.getFooter().getBlocks()):
+                held = [c.getStatistics() for c in block.getColumns() if c.getPath().toDotString() == column]
+                ends = [held[0].minAsString(), held[0].maxAsString()] if held and held[0].hasNonNullValue() else [None, None]
+                out.append((file, i, block.getRowCount(), block.getTotalByteSize(), *ends))
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, group int, rows long, bytes long, low string, high string")
+
+
 def groups(df: DataFrame, rows: int, keep: Column | None = None) -> DataFrame:
     """file, group, rows and kept (rows that meet `keep`) of each run of `rows` rows of a file, as its row groups are if they have so many."""
     group = F.floor(F.col("_metadata.row_index") / rows).alias("group")

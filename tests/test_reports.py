@@ -108,6 +108,18 @@ def test_groups_are_skipped(spark, table, tmp_path):
     assert {(r.pattern, r.group_rows, r.groups_total) for r in sweep} == {(x, n, 2000 // n) for x in masks for n in (100, 1000)}
 
 
+def test_row_groups_have_stated_rows_and_statistics(spark, table, tmp_path):
+    codes = quantile.boundaries(table, "text", 4)
+    io.write_clustered(quantile.narrow(quantile.assign(table, codes), codes).coalesce(1), str(tmp_path / "g"), codes.name, 1, group_rows=100)
+    found = io.row_groups(spark, str(tmp_path / "g"), codes.name)
+    assert found.agg(F.sum("rows")).first()[0] == 2000 and found.agg(F.max("rows")).first()[0] <= 100
+    low, high = codes.range("the")
+    got = reports.pruned_groups(spark, str(tmp_path / "g"), codes.name, low, high).first()
+    assert got.groups_total >= 20 and 0 < got.groups_skipped < got.groups_total
+    kept = spark.read.parquet(str(tmp_path / "g")).where(F.col(codes.name).between(low, high)).count()
+    assert kept <= 100 * (got.groups_total - got.groups_skipped)
+
+
 def test_sweeps(spark, table, tmp_path):
     runs = reports.bit_sweep(table, "text", ["the", "d"], [1, 4, 21], False, 0, 2).collect()
     assert len(runs) == 3 * 2 * 2 * 2 and {r.bits for r in runs} == {1, 4, 21}
