@@ -9,9 +9,10 @@ probability is a product of proper conditional ones. Where a context was never s
 ancestor predicts alone.
 
 Documents are dealt to blocks of about BLOCK_BYTES, compressed on the way. A block counts its distinct contexts
-with their symbols, in order and as differences, and sends each to the shard of its last two bytes; a shard adds
-them up and keeps its own distinct ones and where each block's stand among them. Only the two top levels of the trees, 65,536 nodes
-at most, come to the driver and go to all shards. These then give each block its contexts and symbols back, each with its code length.
+with their symbols, in order and as differences, and sends each to the shard that has the range of its last TOP bytes; a sample of the
+texts draws these ranges, so that shards are alike. A shard adds them up and keeps its own distinct ones and where each block's
+stand among them. Only the trees' levels above TOP, which 2 ** 24 nodes bound and ordinary text fills to a few per cent, come to the
+driver and go to all shards. These then give each block its contexts and symbols back, each with its code length.
 Whole words travel the same way, for the base score alone.
 """
 
@@ -30,10 +31,14 @@ from codesieve.llm.common import Saved, dealt, hash_words, mix, partitions, rang
 
 #: Bytes of context, at most WIDEST: a context and its symbol are one 64-bit number.
 DEPTH = WIDEST = 7
+#: Last bytes of a context that lie in one shard together; shorter contexts are the top of the trees.
+TOP = 3
 #: The end of a text as a word and as a symbol: a byte that UTF-8 never has.
 END = b"\xff"
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+#: Bytes of text, about, from which the shards' ranges are drawn.
+SAMPLE_BYTES = 8 << 20
 #: Code lengths travel in decimal digits times this.
 SCALE = 1 << 14
 
@@ -202,66 +207,80 @@ class Subtrees:
         level = Level(node[at], every - ones, ones, None)
         self.levels, self.up = [level], []
         for _ in range(depth - top):
-            parents, inverse = grouped((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255))
+            parents, inverse = grouped(shortened(level.keys))
             gather = [np.bincount(inverse, x, len(parents)) for x in (level.zeros, level.ones, level.weighted)]
             level = Level(parents, *gather)
             self.levels.append(level)
             self.up.append(inverse)
 
-    def predictions(self) -> np.ndarray:
-        """P(1) of each deepest node as the levels up to the top mix it."""
+    def predictions(self) -> tuple[np.ndarray, np.ndarray]:
+        """P(1) of each deepest node as the levels up to the top one mix it, NaN where none of them was seen, and the place of its top node."""
         first = self.levels[0]
         chance, at = np.where(first.seen, first.predict(), np.nan), np.arange(len(first.keys))
         for level, up in zip(self.levels[1:], self.up, strict=True):
             at = up[at]
             chance = level.mixed(at, chance)
-        return chance
+        return chance, at
 
 
 class Top:
-    """The two levels above the shards: the root and one-byte contexts, for each decision."""
+    """The levels above the shards: nodes of depth TOP - 1, given, up to the roots."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int = TOP):
+        self.levels = [Level(keys, zeros, ones, below)]
+        for _ in range(depth - 1):
+            level = self.levels[-1]
+            parents, inverse = np.unique(shortened(level.keys), return_inverse=True)
+            self.levels.append(Level(parents, *(np.bincount(inverse, x, len(parents)) for x in (level.zeros, level.ones, level.weighted))))
+
+    def mixing(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For nodes of depth TOP - 1: P(1) is the first plus the second times the prediction below, or the third where nothing below was seen."""
+        base, slope, alone = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), np.nan)
+        for level in self.levels:
+            if len(level.keys):
+                at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
+                known = np.flatnonzero((level.keys[at] == keys) & level.seen[at])
+                at = at[known]
+                own, share = level.predict()[at], level.share[at]
+                base[known] = share * own + (1 - share) * base[known]
+                slope[known] *= 1 - share
+                alone[known] = np.where(np.isnan(alone[known]), own, share * own + (1 - share) * alone[known])
+            keys = shortened(keys)
+        return base, slope, np.where(np.isnan(alone), 0.5, alone)
 
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
-        self.one = Level(keys, zeros, ones, below)
-        parents, inverse = np.unique(keys & np.uint64(255), return_inverse=True)
-        self.root = Level(parents, *[np.bincount(inverse, x, len(parents)) for x in (zeros, ones, self.one.weighted)])
 
-    def finish(self, keys: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """P(1) at nodes whose depth-one keys are given, from the prediction at depth two."""
-        for level, key in ((self.one, keys), (self.root, keys & np.uint64(255))):
-            if len(level.keys):
-                at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                known = level.keys[at] == key
-                chance = np.where(known, level.mixed(at, chance), chance)
-        return np.where(np.isnan(chance), 0.5, chance)
+def shortened(keys: np.ndarray) -> np.ndarray:
+    """Of nodes (context, decision): those with the context's earliest byte left out."""
+    return (keys >> np.uint64(16)) << np.uint64(8) | keys & np.uint64(255)
 
 
 def symbol_costs(keys: np.ndarray, counts: np.ndarray, top: Top, depth: int) -> np.ndarray:
     """log10 probability of each symbol in its context; keys are distinct and in order."""
     out = np.zeros(len(keys))
     for k in range(8):
-        trees = Subtrees(keys, counts, depth, 2, k)
-        nodes = trees.levels[0].keys
-        chance = top.finish((nodes >> np.uint64(8 * depth)) << np.uint64(8) | nodes & np.uint64(255), trees.predictions())[trees.place]
+        trees = Subtrees(keys, counts, depth, TOP, k)
+        chance, at = trees.predictions()
+        base, slope, alone = (x[at] for x in top.mixing(shortened(trees.levels[-1].keys)))
+        chance = np.where(np.isnan(chance), alone, base + slope * chance)[trees.place]
         out += np.log10(np.where(trees.bit, chance, 1 - chance))
     return out
 
 
 def top_rows(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """What the two top levels need of a shard's trees: depth-one keys, counts either way, and weighted estimates, of its depth-two nodes."""
+    """What the top levels need of a shard's trees: nodes of depth TOP - 1, counts either way, and weighted estimates, of the nodes below them."""
     found = []
     for k in range(8):
-        level = Subtrees(keys, counts, depth, 2, k).levels[-1]
-        one, inverse = np.unique((level.keys >> np.uint64(16)) << np.uint64(8) | level.keys & np.uint64(255), return_inverse=True)
-        found.append((one, *(np.bincount(inverse, x, len(one)) for x in (level.zeros, level.ones, level.weighted))))
-    one, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.argsort(one)
-    return one[by], *(x[by] for x in sums)
+        level = Subtrees(keys, counts, depth, TOP, k).levels[-1]
+        node, inverse = np.unique(shortened(level.keys), return_inverse=True)
+        found.append((node, *(np.bincount(inverse, x, len(node)) for x in (level.zeros, level.ones, level.weighted))))
+    node, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(node)
+    return node[by], *(x[by] for x in sums)
 
 
-def shard_of(keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    return (mix(keys >> np.uint64(8 * (depth - 1))) % np.uint64(shards)).astype(np.int64)
+def last_bytes(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The last TOP bytes of each key's context, the latest first."""
+    return keys >> np.uint64(8 * (depth - TOP + 1))
 
 
 def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,11 +301,14 @@ def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Block:
-    """A block's rows, distinct words (the end first) and, in slices, symbols."""
+    """A block's rows (doc_id, text, held_out), distinct words (the end first) and, in slices, symbols.
+
+    cuts: where the ranges of last bytes of the shards begin, but for the first one.
+    """
 
-    def __init__(self, table: pa.Table, depth: int, shards: int):
-        self.rows = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()]).combine_chunks()
-        self.depth, self.shards, self.train = depth, shards, ~np.asarray(self.rows.column("held_out")).astype(bool)
+    def __init__(self, rows: pa.Table, depth: int, cuts: np.ndarray):
+        self.rows, shards = rows.combine_chunks(), len(cuts) + 1
+        self.depth, self.cuts, self.train = depth, cuts, ~np.asarray(self.rows.column("held_out")).astype(bool)
         dictionary, codes, self.starts = words(self.rows.column("text"))
         # In order, so the words are the same whichever way the rows came.
         by = pc.sort_indices(dictionary).to_numpy()
@@ -310,7 +332,7 @@ class Block:
             begin = end
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct symbol keys by shard and then in order, training counts, and shards."""
+        """Distinct symbol keys in order, training counts, and shards, which are in order too."""
         size = row_sums(byte_sizes(self.words)[self.codes] + 1, self.starts) + 1
         both = [np.empty(int(size[x].sum()), np.uint64) for x in (self.train, ~self.train)]
         at = [0, 0]
@@ -324,9 +346,7 @@ class Block:
         place = np.searchsorted(keys, held)
         new = keys[np.minimum(place, len(keys) - 1)] != held if len(keys) else np.ones(len(held), bool)
         keys, counts = np.insert(keys, place[new], held[new]), np.insert(counts, place[new], 0)
-        shard = shard_of(keys, self.depth, self.shards)
-        by = np.argsort(shard, kind="stable")
-        return keys[by], counts[by], shard[by]
+        return keys, counts, np.searchsorted(self.cuts, last_bytes(keys, self.depth), side="right")
 
     def word_counts(self) -> np.ndarray:
         counts = np.bincount(self.codes, np.repeat(self.train, np.diff(self.starts)), len(self.words)).astype(np.int64)
@@ -334,6 +354,30 @@ class Block:
         return counts
 
 
+def opened(table: pa.Table) -> pa.Table:
+    """The rows of payloads."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
+
+
+def range_cuts(own: DataFrame, size: int, shards: int, depth: int) -> np.ndarray:
+    """Where the ranges of last bytes begin, so that the distinct contexts of a sample of the texts fall evenly on them; at most so many shards."""
+    modulus = max(1, size // SAMPLE_BYTES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                keys, _, _ = Block(pa.table(part), depth, np.zeros(0, np.uint64)).keys()
+                last, n = counted(last_bytes(keys, depth))
+                yield pa.RecordBatch.from_arrays([pa.array(last.astype(np.int64)), pa.array(n)], ["last", "n"])
+
+    sample = own.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(modulus)) == 0).select("doc_id", "text", "held_out")
+    found = sample.mapInArrow(count, "last long, n long").groupBy("last").agg(F.sum("n").alias("n")).orderBy("last").toPandas()  # no more than the sample has contexts
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    share = np.cumsum(found.n.to_numpy()) / found.n.sum()
+    return np.unique(found["last"].to_numpy()[np.searchsorted(share, np.arange(1, shards) / shards)]).astype(np.uint64)
+
+
 def byte_sizes(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.binary_length(column)).astype(np.int64)
 
@@ -345,30 +389,32 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     for each row of docs. The documents with held_out false are the training texts. A null or empty text is
     the end alone. A null doc_id is a document like others. Without training texts every bit costs one bit.
     """
-    if not 2 <= depth <= WIDEST:
-        raise ValueError(f"contexts have 2 to {WIDEST} bytes")
+    if not TOP <= depth <= WIDEST:
+        raise ValueError(f"contexts have {TOP} to {WIDEST} bytes")
     spark = docs.sparkSession
     saved = Saved(spark)
     own = view(docs).select("doc_id", "text", held_out.alias("held_out"))
-    shards = n_blocks = max(partitions(spark), -(-text_size(own) // BLOCK_BYTES))
+    size = text_size(own)
+    n_blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
+    cuts = spark.sparkContext.broadcast(range_cuts(own, size, n_blocks, depth))
     blocks = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).mapInArrow(payloads, "block int, rows binary")
 
     def count_block(table: pa.Table) -> pa.Table:
-        block = Block(table, depth, shards)
+        block = Block(opened(table), depth, cuts.value)
         keys, counts, shard = block.keys()
         every = np.unique(np.concatenate([shard, block.word_shard]))
-        cuts = [slice(a, b) for a, b in zip(np.searchsorted(shard, every), np.searchsorted(shard, every, side="right"), strict=True)]
+        runs = [slice(a, b) for a, b in zip(np.searchsorted(shard, every), np.searchsorted(shard, every, side="right"), strict=True)]
         by_shard, none = dict(dealt(block.word_shard)), np.zeros(0, np.int64)
         chosen = [by_shard.get(int(s), none) for s in every]
         totals = block.word_counts()
         return pa.table({
             "shard": pa.array(every, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(every), pa.int32()),
-            "keys": pa.array([rising(keys[x]) for x in cuts], pa.binary()), "counts": pa.array([packed(counts[x]) for x in cuts], pa.binary()),
+            "keys": pa.array([rising(keys[x]) for x in runs], pa.binary()), "counts": pa.array([packed(counts[x]) for x in runs], pa.binary()),
             "words": pa.array([b" ".join(block.words.take(pa.array(x)).to_pylist()) for x in chosen], pa.binary()), "totals": pa.array([packed(totals[x]) for x in chosen], pa.binary()),
         })
 
     messages = blocks.groupBy("block").applyInArrow(count_block, "shard int, block int, keys binary, counts binary, words binary, totals binary")
-    state = "shard int, keys binary, counts binary, totals binary, blocks array<int>, places array<binary>, word_places array<binary>, n long, v long, top array<struct<one: long, zeros: double, ones: double, weighted: double>>"
+    state = "shard int, keys binary, counts binary, totals binary, blocks array<int>, places array<binary>, word_places array<binary>, n long, v long, top array<struct<node: long, zeros: double, ones: double, weighted: double>>"
 
     def merge_shard(table: pa.Table) -> pa.Table:
         lists = [unrising(x) for x in table.column("keys").to_pylist()]
@@ -377,20 +423,20 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
         number: dict[bytes, int] = {}
         coded = [np.fromiter((number.setdefault(w, len(number)) for w in x), np.int64, len(x)) for x in texts]
         totals = np.bincount(np.concatenate(coded), np.concatenate([unpacked(x).astype(np.int64) for x in table.column("totals").to_pylist()]), len(number)).astype(np.int64)
-        top = [dict(zip(("one", "zeros", "ones", "weighted"), (int(a), float(b), float(c), float(d)), strict=True)) for a, b, c, d in zip(*top_rows(keys, counts, depth), strict=True)]
+        top = pa.StructArray.from_arrays([pa.array(x.astype(kind)) for x, kind in zip(top_rows(keys, counts, depth), (np.int64, float, float, float), strict=True)], ["node", "zeros", "ones", "weighted"])
         lists_of = lambda kind, values: pa.array([values], pa.list_(kind))
         return pa.table({
             "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "keys": pa.array([rising(keys)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary()), "totals": pa.array([packed(totals)], pa.binary()),
             "blocks": lists_of(pa.int32(), table.column("block").to_pylist()), "places": lists_of(pa.binary(), [rising(np.searchsorted(keys, x)) for x in lists]), "word_places": lists_of(pa.binary(), [packed(x) for x in coded]),
-            "n": pa.array([int(totals.sum())], pa.int64()), "v": pa.array([int((totals > 0).sum())], pa.int64()), "top": pa.array([top], pa.list_(pa.struct([("one", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())]))),
+            "n": pa.array([int(totals.sum())], pa.int64()), "v": pa.array([int((totals > 0).sum())], pa.int64()), "top": pa.ListArray.from_arrays(pa.array([0, len(top)], pa.int32()), top),
         })
 
     # One row for each shard.
     shard_rows = saved.save(messages.groupBy("shard").applyInArrow(merge_shard, state), "shards")
     total = shard_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    # At most 256 contexts of one byte with 255 decisions each.
-    rows = shard_rows.select(F.inline("top")).groupBy("one").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).orderBy("one").toPandas().to_numpy(dtype=float)
-    top = spark.sparkContext.broadcast(Top(rows[:, 0].astype(np.uint64), rows[:, 1], rows[:, 2], rows[:, 3]))
+    # Contexts of two bytes with 255 decisions each: 2 ** 24 at most, and only those that texts have.
+    rows = shard_rows.select(F.inline("top")).groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("node").toPandas()
+    top = spark.sparkContext.broadcast(Top(rows.node.to_numpy().astype(np.uint64), *(rows[c].to_numpy().astype(float) for c in ("zeros", "ones", "weighted"))))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +454,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
     def block_scores(table: pa.Table, found: pa.Table) -> pa.Table:
-        block, found = Block(table, depth, shards), found.sort_by("shard")
+        block, found = Block(opened(table), depth, cuts.value), found.sort_by("shard")
         keys = np.concatenate([unrising(x) for x in found.column("keys").to_pylist()])
         cost = np.concatenate([unpacked(x).astype(np.float32) for x in found.column("costs").to_pylist()])
         counts = np.zeros(len(block.words), np.int64)
@@ -423,4 +469,5 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
         values = [block.rows.column("doc_id"), block.rows.column("held_out"), pa.array(np.diff(starts) + 1), pa.array(row_sums((counts > 0).astype(np.int64)[codes], starts) + int(counts[0] > 0)), pa.array(np.full(len(starts) - 1, total.n, np.int64)), pa.array(row_sums(base[codes], starts) + base[0]), pa.array(result), pa.array(n_bytes), pa.array(-result * np.log2(10) / n_bytes)]
         return pa.table(dict(zip([x.split()[0] for x in schema.split(", ")], values, strict=True)))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block_scores, schema)
+    # The rows are small beside the shards' state, which goes once they are saved.
+    return saved.last(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(block_scores, schema), "scores")
