@@ -3,8 +3,8 @@
 Confirmed toxic documents, a bounded sample of them, are the positives; all documents, whatever their rating, are the
 unlabelled set, as the risk estimator needs texts of the whole population there. A linear
 model over the presence of words minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), the
-class-prior-corrected risk whose negative part can't fall below zero: when a step makes it negative,
-the next one goes up that part's slope instead.
+class-prior-corrected risk whose negative part can't fall below zero: there its slope counts no more. The class prior is the
+share of toxic documents among the rated ones, or less if the words that tell positives show that there are fewer in the corpus.
 
 Words are chosen by their document counts in the positives and in the whole corpus, which one pass adds up. A second
 pass reduces every document to the chosen words that it has, and equal ones to their number; these few rows are saved, and
@@ -68,6 +68,20 @@ def informative(inside: np.ndarray, total: np.ndarray, positives: int, everythin
     return np.flatnonzero((inside >= LEAST) & (g > 2 * np.log(max(len(inside), 2)) + 6))
 
 
+def corpus_prior(inside: np.ndarray, total: np.ndarray, positives: int, everything: int, labelled: float, least: int = 10) -> float:
+    """The share of toxic documents: `labelled`, or less.
+
+    A word that a share of the positives has stands in that share of all toxic documents at least, so its share of the corpus over
+    that of the positives bounds the prior. The words of `least` positives that agree with the lowest bound, within two standard errors, are pooled.
+    """
+    some = np.flatnonzero(inside >= least)
+    if not len(some):
+        return labelled
+    ratio = total[some] / everything / (inside[some] / positives)
+    near = some[ratio <= (ratio * (1 + 2 / np.sqrt(inside[some]))).min()]
+    return float(min(labelled, max(1e-4, total[near].sum() / everything / (inside[near].sum() / positives))))
+
+
 #: Risk of a batch of documents (sets of word numbers): see `risk`.
 Sums = tuple[float, float, float, np.ndarray, np.ndarray]
 
@@ -96,7 +110,7 @@ def fit(sums: Callable[[np.ndarray], Sums], present: np.ndarray, prior: float, n
         decay = ridge * np.append(theta[:size], 0)
         # d/dz of log(1 + exp(-z)) is the chance less one.
         rising = p_slope - prior * here
-        return plus + max(0.0, u - p) + 0.5 * (decay * theta).sum(), rising + (u_slope - p_slope if u >= p else p_slope - u_slope) + decay, u < p
+        return plus + max(0.0, u - p) + 0.5 * (decay * theta).sum(), rising + (u_slope - p_slope if u >= p else 0) + decay, u < p
 
     theta = np.zeros(size + 1)
     theta[size] = np.log(prior / (1 - prior))
@@ -114,11 +128,13 @@ def fit(sums: Callable[[np.ndarray], Sums], present: np.ndarray, prior: float, n
         while True:
             new = theta - length * direction
             then, new_slope, new_below = value(new)
-            if below or then <= now - 1e-4 * length * (slope @ direction) or length < 1e-3:
+            if then <= now or length < 1e-6:
                 break
             length /= 4
+        if then > now:
+            break
         change, bend = new - theta, new_slope - slope
-        # The slope changes its sense where the negative part crosses zero, so what was learnt on the other side goes.
+        # The slope jumps where the negative part crosses zero, so what was learnt on the other side goes.
         steps = [] if below or new_below else steps
         if change @ bend > 1e-12:
             steps = [*steps[-9:], (change, bend)]
@@ -139,7 +155,7 @@ def numbered(column: pa.Array | pa.ChunkedArray, number: dict[str, int]) -> tupl
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, vocabulary: int = VOCABULARY) -> Toxic:
-    """The model of `labels` (doc_id, toxic): positives have toxic 1 in some row; the class prior is their share of the rated documents.
+    """The model of `labels` (doc_id, toxic): positives have toxic 1 in some row.
 
     The positives are a bounded sample, the lowest hashes of doc_id; of rows that share a doc_id the least text counts. All rows of docs are the unlabelled
     set. Without positives the model has no words and its score is near 0.
@@ -219,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, vocabu
         x[rows.i.to_numpy()] = rows.x
         return x[0], x[1], x[2], x[3 : 3 + len(theta)], x[3 + len(theta) :]
 
+    prior = corpus_prior(inside[best], total[best], n_positive, everything, prior)
     weights, bias = fit(sums, inside[best], prior, everything, n_positive)
     saved.drop(confirmed, reduced)
     return Toxic([names[i] for i in best], weights, bias)
