@@ -35,6 +35,65 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
 
 
+class Moves:
+    """Next states by (state, byte), in a table with open addressing."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self, bits: int = 12):
+        self.keys, self.next, self.shift, self.used = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), 64 - bits, 0
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The next states of keys (256 * state + byte), -1 where there is no move yet."""
+        mask = len(self.keys) - 1
+        with np.errstate(over="ignore"):
+            place = (wanted.astype(np.uint64) * np.uint64(self.FACTOR) >> np.uint64(self.shift)).astype(np.int64)
+        held = self.keys[place]
+        out = np.where(held == wanted, self.next[place], np.int32(-1))
+        todo = np.flatnonzero((held != wanted) & (held >= 0))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & mask
+            held = self.keys[place[todo]]
+            hit = held == wanted[todo]
+            out[todo[hit]] = self.next[place[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+    def get(self, key: int) -> int:
+        place, mask = (key * self.FACTOR & (1 << 64) - 1) >> self.shift, len(self.keys) - 1
+        while (held := int(self.keys[place])) >= 0:
+            if held == key:
+                return int(self.next[place])
+            place = (place + 1) & mask
+        return -1
+
+    def add(self, key: int, state: int) -> None:
+        """A move that isn't there yet."""
+        if 2 * self.used >= len(self.keys):
+            self.grow()
+        place, mask = (key * self.FACTOR & (1 << 64) - 1) >> self.shift, len(self.keys) - 1
+        while self.keys[place] >= 0:
+            place = (place + 1) & mask
+        self.keys[place], self.next[place] = key, state
+        self.used += 1
+
+    def grow(self) -> None:
+        full = self.keys >= 0
+        keys, states = self.keys[full], self.next[full]
+        self.__init__(66 - self.shift)
+        mask, todo = len(self.keys) - 1, np.arange(len(keys))
+        with np.errstate(over="ignore"):
+            place = (keys.astype(np.uint64) * np.uint64(self.FACTOR) >> np.uint64(self.shift)).astype(np.int64)
+        while len(todo):
+            free = todo[self.keys[place[todo]] < 0]
+            self.keys[place[free]] = keys[free]
+            won = free[self.keys[place[free]] == keys[free]]
+            self.next[place[won]] = states[won]
+            todo = todo[self.keys[place[todo]] != keys[todo]]
+            place[todo] = (place[todo] + 1) & mask
+        self.used = len(keys)
+
+
 class Transducer:
     """The transducer of one vocabulary."""
 
@@ -56,9 +115,7 @@ class Transducer:
         self.number: dict[tuple[bytes, tuple], int] = {first: 0}
         #: Of each state: bytes since the first open place, and for each open place how many bytes ago it is and the token that ends there.
         self.states: list[tuple[bytes, tuple[int, ...], tuple]] = [(b"", (0,), (None,))]
-        #: A column for each byte that has been read, a row for each state; -1 where a move isn't made yet.
-        self.columns = np.zeros(256, np.int64)
-        self.moves = np.full((1024, 1), -1, np.int32)
+        self.moves = Moves()
         self.token = np.zeros(1024, np.int32)
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -128,15 +185,10 @@ class Transducer:
         if (nxt := self.number.get(key)) is None:
             nxt = self.number[key] = len(self.states)
             self.states.append((pending, back, before))
-            if nxt == len(self.moves):
-                self.moves = np.concatenate([self.moves, np.full_like(self.moves, -1)])
+            if nxt == len(self.token):
                 self.token = np.concatenate([self.token, np.zeros_like(self.token)])
             self.token[nxt] = entry
-        if not self.columns[byte]:  # column 0 is that of bytes without one
-            self.columns[byte] = self.columns.max() + 1
-            if self.columns[byte] == self.moves.shape[1]:
-                self.moves = np.concatenate([self.moves, np.full((len(self.moves), 16), -1, np.int32)], axis=1)
-        self.moves[state, self.columns[byte]] = nxt
+        self.moves.add(256 * state + byte, nxt)
         return nxt
 
     def encode(self, piece: bytes) -> list[int]:
@@ -147,7 +199,7 @@ class Transducer:
             self.forget()
         state, ids, ends, look = 0, [], [0], 256
         for byte in piece:
-            nxt = int(self.moves[state, self.columns[byte]])
+            nxt = self.moves.get(256 * state + byte)
             state = nxt if nxt >= 0 else self.move(state, byte)
             ends.append(int(self.token[state]))
             if len(ends) > look:
@@ -231,9 +283,10 @@ class Transducer:
         for at in range(len(tokens)):
             alive = int(np.searchsorted(-lengths, -at, side="left"))
             byte = raw[starts[:alive] + at]
-            nxt = self.moves[state[:alive], self.columns[byte]]
+            wanted = state[:alive] * 256 + byte
+            nxt = self.moves.find(wanted)
             if len(missing := np.flatnonzero(nxt < 0)):
-                pairs, inverse = np.unique(state[missing] * 256 + byte[missing], return_inverse=True)
+                pairs, inverse = np.unique(wanted[missing], return_inverse=True)
                 nxt[missing] = np.array([self.move(x >> 8, x & 255) for x in pairs.tolist()], np.int32)[inverse]
             state = nxt.astype(np.int64)
             tokens[at, :alive] = self.token[state]
@@ -306,7 +359,7 @@ class Utf8Machine:
 class Codec:
     """Texts to ids and back with one vocabulary and one pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_chunks: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_chunks: int = 200_000):
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.chunks = ChunkEncoder(self.encode_many, most_chunks)
         self.spelling = np.array([self.machine.spell.get(i, b"") for i in range(max(ranks.values()) + 1)], object)
