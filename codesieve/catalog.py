@@ -607,9 +607,9 @@ def segment_pruning_sweep(spark: SparkSession, d: str) -> DataFrame:
     return reports.segment_sweep(table(spark, d, "documents"), "text", "doc_id", PREFIXES, SWEEP, SEGMENT).drop("skipped_pct")
 
 
-@query("group_sweep", " UNION ALL ".join(f"SELECT {lit(x)} AS pattern, {n} AS group_rows, count(*) AS groups_total, count(*) FILTER (k = 0) AS groups_skipped, count(*) FILTER (k > 0) AS groups_loaded FROM (SELECT i // {n} AS g, count(*) FILTER ((m & {PAIRS.mask(x)}) = {PAIRS.mask(x)}) AS k FROM (SELECT file_row_number AS i, ({SQL_MASK})::INTEGER AS m FROM (SELECT row_number() OVER () - 1 AS file_row_number, text FROM conversations)) GROUP BY 1)" for x in INSIDE for n in (10, 100)))
+@query("group_sweep", " UNION ALL ".join(f"SELECT {lit(x)} AS pattern, {n} AS group_rows, count(*) AS groups_total, count(*) FILTER (k = 0) AS groups_skipped, count(*) FILTER (k > 0) AS groups_loaded FROM (SELECT i // {n} AS g, count(*) FILTER ((m & {PAIRS.mask(x)}) = {PAIRS.mask(x)}) AS k FROM (SELECT file_row_number AS i, ({SQL_MASK})::INTEGER AS m FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS file_row_number, text FROM conversations)) GROUP BY 1)" for x in INSIDE for n in (10, 100)))
 def group_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Row groups of several sizes in which no row has a pattern's mask; conversations is one file, its rows are numbered as they lie in it."""
+    """Row groups of several sizes in which no row has a pattern's mask; conversations is one file, its rows lie in it by conversation and turn."""
     masks = {x: F.col("fp16_chars").bitwiseAND(F.lit(PAIRS.mask(x))) == PAIRS.mask(x) for x in INSIDE}
     return reports.group_sweep(masked(spark, d), masks, (10, 100)).drop("skipped_pct")
 
