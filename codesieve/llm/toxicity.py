@@ -139,7 +139,7 @@ def fit(sums: Callable[[np.ndarray], Sums], present: np.ndarray, prior: float, n
         if change @ bend > 1e-12:
             steps = [*steps[-9:], (change, bend)]
         gain, theta, now, slope, below = now - then, new, then, new_slope, new_below
-        if np.abs(slope).max() < 1e-6 or abs(gain) < 1e-9:
+        if np.abs(slope).max() < 1e-6 or abs(gain) < 1e-5:
             break
     return theta[:size], float(theta[size])
 
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, vocabu
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 key = codes[a:b].tobytes()
                 seen[key] = seen.get(key, 0) + 1
-            if len(seen) > 100_000:
+            if len(seen) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()))], ["words", "n"])
                 seen = {}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["words", "n"])
