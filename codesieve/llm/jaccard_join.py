@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Saved, hash_words, mix, partitions, sliced, spare, view, words
+from codesieve.llm.common import Saved, dealt, hash_words, mix, partitions, sliced, spare, view, words
 from codesieve.llm.components import components
 
 #: Shingles that a set may have; bands go so far, whatever the texts are.
 MOST = 1 << 40
 #: Rounds in which sets are held against the hubs of their shingles, before those that are left are paired.
 HUBS = 2
+#: Shingles of the sets whose signatures meet in a part, if parts aren't the shuffle partitions.
+PART_SHINGLES = 1 << 20
 #: The bit of second numbers.
 SECOND = 1 << 60
 #: Roles of a set in a signature's group: it is found there, it asks there.
@@ -245,7 +247,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     A-Z, words [^\\x20\\x09-\\x0D]+); a shorter text is one shingle, and one without words links with nothing.
     """
     spark = docs.sparkSession
-    parts, saved, own = partitions(spark), Saved(spark), view(docs)
+    saved, own = Saved(spark), view(docs)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,6 +262,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
     node = F.when(F.col("first").isin(*twice), F.col("second").bitwiseOR(F.lit(SECOND))).otherwise(F.col("first")) if twice else F.col("first")
     rows = rows.select("doc_id", node.alias("node"), "n_shingles")
     plan = bands(percent, MOST)
+    parts = max(partitions(spark), -(-(rows.agg(F.sum("n_shingles")).first()[0] or 0) // PART_SHINGLES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,13 +271,9 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
                 nodes, first = np.unique(nodes, return_index=True)
                 sets = shingles(part.column("text").take(pa.array(first)), width)
                 sig, who, role = (np.concatenate(x) for x in zip(*(signatures(sets, plan, o) for o in (True, False)), strict=True))
-                target = (sig % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(target, kind="stable")
-                cuts = np.searchsorted(target[order], np.arange(parts + 1))
-                sig, node, role = sig[order], nodes[who[order]], role[order]
-                some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                blobs = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in (sig, node, role)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *blobs], ["part", "sig", "node", "role"])
+                node, rows_of = nodes[who], dealt((sig % np.uint64(parts)).astype(np.int64))
+                blobs = [pa.array([x[at].tobytes() for _, at in rows_of], pa.binary()) for x in (sig, node, role)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows_of], pa.int32()), *blobs], ["part", "sig", "node", "role"])
 
     def meet(table: pa.Table) -> pa.Table:
         columns = [np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("sig", "<u8"), ("node", "<i8"), ("role", "u1"))]
