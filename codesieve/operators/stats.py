@@ -41,6 +41,24 @@ def ranked_percentiles(df: DataFrame, value: str, at: tuple[float, ...], *by: st
     return pairs.select(*by, q.alias("q"))
 
 
+def row_numbers(df: DataFrame, major: str, minor: str, *then: str, name: str = "cs_row") -> DataFrame:
+    """df with a dense number from 0 of each row, in order of two columns of whole numbers and further columns of any kind, nulls last.
+
+    A row's number is the rows of earlier ranges of 65,536 majors, those of earlier (major, 4,096 minors) in its own range, and its
+    place there; so only one row for each range is numbered by a single task.
+    """
+    after, zero = Window.unboundedPreceding, F.lit(0)
+    own = df.withColumns({"cs_range": F.shiftright(F.col(major).cast("long"), 16), "cs_part": F.shiftright(F.col(minor).cast("long"), 12)})
+    sizes = own.groupBy("cs_range", F.col(major).alias("cs_major"), "cs_part").agg(F.count("*").alias("n"))
+    ranges = sizes.groupBy(F.col("cs_range").alias("cs_of")).agg(F.sum("n").alias("all"))
+    ranges = ranges.select("cs_of", F.coalesce(F.sum("all").over(Window.orderBy(F.asc_nulls_last("cs_of")).rowsBetween(after, -1)), zero).alias("base"))  # one row for each range
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("cs_range").orderBy(F.asc_nulls_last("cs_major"), F.asc_nulls_last("cs_part")).rowsBetween(after, -1)), zero)
+    before = sizes.withColumn("within", within).join(ranges, F.col("cs_range").eqNullSafe(F.col("cs_of"))).select("cs_major", F.col("cs_part").alias("cs_minor"), (F.col("base") + F.col("within")).alias("cs_before"))
+    place = F.row_number().over(Window.partitionBy(major, "cs_part").orderBy(*map(F.asc_nulls_last, (minor, *then)))) - 1
+    placed = own.withColumn("cs_place", place).join(before, F.col(major).eqNullSafe(F.col("cs_major")) & F.col("cs_part").eqNullSafe(F.col("cs_minor")))
+    return placed.select(*[own[c] for c in df.columns], (F.col("cs_before") + F.col("cs_place")).alias(name))
+
+
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, median, least, greatest and geometric mean of each group."""
     x = F.col(value)

@@ -172,6 +172,18 @@ def group_sweep(df: DataFrame, conditions: dict[str, Column], sizes: Iterable[in
     return out
 
 
+def ordered_group_sweep(df: DataFrame, conditions: dict[str, Column], number: str, sizes: Iterable[int] = GROUP_ROWS) -> DataFrame:
+    """The same for groups of rows by a dense row number, wherever the rows lie; all conditions are counted in one pass for each size."""
+    out: DataFrame | None = None
+    for n in sizes:
+        found = df.groupBy(F.floor(F.col(number) / n)).agg(*[F.count_if(keep).alias(f"k{i}") for i, keep in enumerate(conditions.values())])
+        found = found.agg(F.count("*").alias("total"), *[F.count_if(F.col(f"k{i}") == 0).alias(f"s{i}") for i in range(len(conditions))])
+        each = [F.struct(F.lit(name).alias("pattern"), F.lit(n).alias("group_rows"), F.col("total").alias("groups_total"), F.col(f"s{i}").alias("groups_skipped"), (F.col("total") - F.col(f"s{i}")).alias("groups_loaded")) for i, name in enumerate(conditions)]
+        own = found.select(F.inline(F.array(*each)))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def runs(spark: SparkSession, name: str, ways: dict[str, Callable[[], DataFrame]], bits: int, source: str, warmup: int, reps: int) -> list[tuple]:
     """(bits, source, prefix, query, run, time_s) of each repetition of each way."""
     return [(bits, source, name, way, i, ms / 1000) for way, f in ways.items() for i, ms in enumerate(time_query(f, warmup, reps))]

@@ -178,3 +178,31 @@ def test_ranked_percentiles_equal_numpy(spark):
     got = {r.g: r.q for r in stats.ranked_percentiles(df, "v", at, "g", bins=16).collect()}
     assert set(got) == set(groups) and all(np.allclose(got[k], np.quantile(v, at)) for k, v in groups.items())
     assert np.allclose(stats.ranked_percentiles(df, "v", at).first().q, np.quantile(np.concatenate(list(groups.values())), at))
+
+
+def test_row_numbers_equal_sorting(spark):
+    from codesieve.operators import stats
+
+    keys = [(a, b) for a in (None, -70_000, 0, 1, 65_535, 65_536, 200_000) for b in (None, -1, 0, 3, 4_095, 4_096, 9_000)] + [(1, 3), (None, None)]
+    rows = [(*k, i) for i, k in enumerate(sorted(keys, key=lambda k: hash((k, 5))))]
+    df = spark.createDataFrame(rows, "a long, b long, i int").repartition(5)
+    want = sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+    assert sorted((r.cs_row, r.a, r.b, r.i) for r in stats.row_numbers(df, "a", "b", "i").collect()) == [(n, *r) for n, r in enumerate(want)]
+
+
+def test_group_sweep_of_several_files_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from codesieve import catalog
+
+    # Twelve files whose rows lie in no order, with a long conversation and nulls.
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    more = spark.range(9000).selectExpr("5000L as conv_id", "id as turn", "'user' as role", "if(id % 37 = 0, 'nothing', 'the ending of another python test') as text")
+    odd = spark.createDataFrame([(None, 1, "user", "ing"), (7, None, "user", None), (-3, 0, "user", "the")], talk.schema)
+    talk.union(more).union(odd).repartition(12, F.hash("turn", "conv_id")).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert len(list((tmp_path / "conversations.parquet").glob("*.parquet"))) == 12
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    names = ["pattern", "group_rows", "groups_total", "groups_skipped", "groups_loaded"]
+    got = catalog.queries()["group_sweep"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["group_sweep"]).select(*names).fetchall())
