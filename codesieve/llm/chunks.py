@@ -81,6 +81,7 @@ class ChunkEncoder:
         pieces, of = np.concatenate([place[first[use].astype(np.int64), codes[use]], len(later) + len(heads) + np.arange(len(singles))]), np.concatenate([rows[use], singles])
         order = np.argsort(of, kind="stable")
         pieces, of = pieces[order], of[order]
+        del lists, coded, chunks, codes, odd, rows, first, use, place, found, order  # the largest arrays come last
         ids = pool[ranges(at[pieces], lengths[pieces])]
         counts = np.bincount(of, lengths[pieces], n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
         return ids, np.concatenate([[0], np.cumsum(counts)])

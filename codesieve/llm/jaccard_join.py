@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Saved, dealt, hash_words, mix, partitions, sliced, spare, view, words
+from codesieve.llm.common import Saved, dealt, hash_words, lean, mix, partitions, sliced, spare, view, words
 from codesieve.llm.components import components
 
 #: Shingles that a set may have; bands go so far, whatever the texts are.
@@ -256,7 +256,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
                 numbers = [numbers_of(x) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[i] for x in numbers], pa.int64()) for i in (0, 1)), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "first", "second", "n_shingles"])
 
-    rows = saved.save(own.mapInArrow(sizes, "doc_id long, first long, second long, n_shingles long"), "sizes")
+    rows = saved.save(own.mapInArrow(lean(sizes), "doc_id long, first long, second long, n_shingles long"), "sizes")
     # Different texts with one first number: about 400 among 3 * 10 ** 10 texts.
     twice = frozenset(r.first_ for r in rows.groupBy(F.col("first").alias("first_")).agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").collect())
     node = F.when(F.col("first").isin(*twice), F.col("second").bitwiseOR(F.lit(SECOND))).otherwise(F.col("first")) if twice else F.col("first")
@@ -283,7 +283,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
         return pa.table({"gid": pa.array(np.repeat(np.array(keys, np.int64), lengths)), "hub": pa.array(np.repeat(np.array([x[0] for x in lists], np.int64), lengths)), "node": pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))})
 
     # One row for each member of each distinct group of texts that share a segment.
-    members = saved.save(own.mapInArrow(send, "part int, sig binary, node binary, role binary").groupBy("part").applyInArrow(meet, "gid long, hub long, node long").distinct(), "members")
+    members = saved.save(own.mapInArrow(lean(send), "part int, sig binary, node binary, role binary").groupBy("part").applyInArrow(lean(meet), "gid long, hub long, node long").distinct(), "members")
     numbered = own.select(node_column(F.col("text"), twice).alias("node"), "text")
     needed = members.select("node").distinct()
 
@@ -292,7 +292,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame,
             for part in sliced(batch):
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in shingles(part.column("text"), width)], pa.list_(pa.int64()))], ["node", "set"])
 
-    sets = saved.save(numbered.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(make_sets, "node long, set array<long>"), "sets")
+    sets = saved.save(numbered.join(needed.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(lean(make_sets), "node long, set array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """common and united of each pair (a, b)."""

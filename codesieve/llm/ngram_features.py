@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import flat, hash_words, ranges, row_sums, sliced, text_bytes, view, words
+from codesieve.llm.common import SLICE_BYTES, flat, hash_words, ranges, row_sums, sliced, text_bytes, view, words
 
 #: Bytes of a run, and steps of repetition.
 GRAM, STEPS = 4, 10
@@ -91,6 +91,6 @@ def one_task(sample: DataFrame) -> DataFrame:
     return sample.select("text", "rating", F.xxhash64("doc_id").alias("o")).repartition(1).sortWithinPartitions("o", "text")
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from sliced(batch)
+        yield from sliced(batch, most=most)

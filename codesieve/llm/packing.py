@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm.chunks import ChunkEncoder
-from codesieve.llm.common import byte_lengths, sliced, view
+from codesieve.llm.common import SLICE_BYTES, byte_lengths, kept, lean, sliced, view
 
 
 class Tokens:
@@ -29,7 +29,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.chunks = ChunkEncoder(self.encode_many, most=400_000, encode_chunks=self.encode_chunks, special=special)
+        self.chunks = ChunkEncoder(self.encode_many, encode_chunks=self.encode_chunks, special=special)
         # A byte-level token has one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
@@ -47,8 +47,8 @@ class Tokens:
             out[i] = raw
         behind = [i for i, x in enumerate(chunks) if x[0] == " "]
         runs = [behind[k : k + together] for k in range(0, len(behind), together)]
-        for run, ids in zip(runs, self.ids(["".join([chunks[i] for i in run]) for run in runs]), strict=True):
-            ids = np.array(ids, "<u4")
+        for run in runs:  # one after the other: the library's answer takes many times the ids' bytes
+            ids = np.array(self.ids(["".join([chunks[i] for i in run])])[0], "<u4")
             raw, ends = ids.tobytes(), np.cumsum(byte_lengths(pa.array([chunks[i] for i in run], pa.large_string())))
             cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
             for i, a, b in zip(run, [0, *cuts[:-1]], cuts, strict=True):
@@ -56,7 +56,7 @@ class Tokens:
         return out
 
 
-_tokens: dict[str, Tokens] = {}
+_tokens: dict[str, Tokens] = kept("packing")
 
 
 def tokens(path: str) -> Tokens:
@@ -78,11 +78,11 @@ def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray,
     return docs, before - begins[docs], lengths
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, keep: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, keep: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of length), sequence_id, offset; with keep, the ids.
 
     Every piece is its own sequence, at offset 0. A null or empty text is the end id alone. Repeated
-    rows are separate documents. sequence_id is unique and not dense.
+    rows are separate documents. sequence_id is unique and not dense. slice_bytes: bytes of text encoded at a time; fewer take less memory and more time.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * keep
     names = [x.split()[0] for x in schema.split(", ")]
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(tokenizer_path).chunks
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, most=slice_bytes):
                 found, starts = encoder.encode(part.column("text"))
                 counts = np.diff(starts) + 1
                 ids = np.insert(found, starts[1:], end_id).astype("<u4")
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begins, begins[-1:] + length[-1:]]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    pieces = view(docs).mapInArrow(run, schema)
+    pieces = view(docs).mapInArrow(lean(run, "packing"), schema)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

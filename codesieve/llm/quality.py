@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm import ngram_features as features
-from codesieve.llm.common import view
+from codesieve.llm.common import lean, view
 from codesieve.llm.ngram_features import one_task, parts, rated_sample
 
 #: Rated documents that a model is fitted on, at most.
 SAMPLE = 8192
 BITS = 15
+#: Bytes of text whose features are held at a time.
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def train(docs: DataFrame, ratings: DataFrame, column: str = "quality", most: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
-        for part in parts(batches):
+        for part in parts(batches, PART_BYTES):
             rows, columns, values = features.table(part.column("text"), bits)
             found.append((rows + n, columns, values, np.asarray(part.column("rating"))))
             n += part.num_rows
@@ -92,7 +94,7 @@ def train(docs: DataFrame, ratings: DataFrame, column: str = "quality", most: in
         model = fit(rows, columns, values, ratings.astype(np.int64), bits)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tolist()], "thresholds": [model.thresholds.tolist()], "grades": [model.grades.tolist()]})
 
-    row = one_task(rated_sample(docs, ratings, column, most)).mapInArrow(run, "weights array<double>, thresholds array<double>, grades array<long>").first()
+    row = one_task(rated_sample(docs, ratings, column, most)).mapInArrow(lean(run), "weights array<double>, thresholds array<double>, grades array<long>").first()
     return Ordinal(np.array(row.weights), np.array(row.thresholds), np.array(row.grades, np.int64)) if row else fit(*[np.zeros(0, np.int64)] * 4, bits)
 
 
@@ -107,13 +109,13 @@ def score(docs: DataFrame, model: Ordinal, grade: int | None = None, least: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         place = int(np.searchsorted(own.grades, wanted))
-        for part in parts(batches):
+        for part in parts(batches, PART_BYTES):
             at = features.scores(own.weights, part.column("text"), bits)
             tails = np.concatenate([np.ones((len(at), 1)), own.at_least(at), np.zeros((len(at), 1))], axis=1)
             tail = tails[:, min(place, len(own.grades))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.expected(at)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail", "keep"])
 
-    return view(docs).mapInArrow(run, "doc_id long, expected_grade double, tail double, keep boolean")
+    return view(docs).mapInArrow(lean(run), "doc_id long, expected_grade double, tail double, keep boolean")
 
 
 def select(docs: DataFrame, model: Ordinal, grade: int | None = None, least: float = 0.5, bits: int = BITS) -> DataFrame:
@@ -127,10 +129,10 @@ def select(docs: DataFrame, model: Ordinal, grade: int | None = None, least: flo
         own = held.value
         place = int(np.searchsorted(own.grades, wanted))
         for batch in batches:
-            for part in parts([batch]):
+            for part in parts([batch], PART_BYTES):
                 texts = pa.array(part.column("text")).fill_null("")
                 at = features.scores(own.weights, texts, bits)
                 tails = np.concatenate([np.ones((len(at), 1)), own.at_least(at), np.zeros((len(at), 1))], axis=1)
                 yield part.filter(pa.array(tails[:, min(place, len(own.grades))] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import dealt, mix, partitions, ranges, spare, text_bytes, text_size, view
+from codesieve.llm.common import dealt, lean, mix, partitions, ranges, spare, text_bytes, text_size, view
 from codesieve.llm.induced_sort import suffix_array
 
 #: Bytes of a string that counts as repeated, and of the k-grams among which minimizers are chosen.
 LENGTH, GRAM = 50, 24
 #: Blocks of texts and shards of segments for each shuffle partition, at least; bytes of text of a block, as many shards as there are such blocks; and bytes that a block works on at a time.
-BLOCKS, SHARDS, BLOCK_BYTES, SLICE = 2, 2, 8 << 20, 4 << 20
+BLOCKS, SHARDS, BLOCK_BYTES, SLICE = 2, 2, 8 << 20, 1 << 20
 #: The place of documents without an id: after all others, none of them before another.
 NO_ID = np.iinfo(np.int64).max
 
@@ -159,13 +159,13 @@ def may_share(pieces: list[bytes], values: np.ndarray, within: np.ndarray, lengt
     rest = length - gram
     # A string with at least `a` and fewer than a + step bytes before its minimizer has so many behind it at least.
     sides = [(a, max(0, rest - a - step + 1)) for a in range(0, rest + 1, step)]
-    seen: dict[tuple, int] = {}
-    doubtful = set()
-    for i in np.flatnonzero(counts[inverse] > 1).tolist():
-        piece, value, at = pieces[i], int(values[i]), int(within[i])
-        for a, b in sides:
+    doubtful, several = set(), np.flatnonzero(counts[inverse] > 1).tolist()
+    for a, b in sides:  # one after the other, so that only one side's strings are held
+        seen: dict[tuple, int] = {}
+        for i in several:
+            piece, at = pieces[i], int(within[i])
             if a <= at and at + gram + b <= len(piece):
-                other = seen.setdefault((value, a, piece[at - a : at + gram + b]), i)
+                other = seen.setdefault((int(values[i]), piece[at - a : at + gram + b]), i)
                 if other != i:
                     doubtful.add(other)
                     doubtful.add(i)
@@ -211,7 +211,7 @@ def texts(docs: DataFrame, blocks: int) -> DataFrame:
                 first = firsts(nodes, rest, ids)
                 yield pa.RecordBatch.from_arrays([pa.array((nodes[first] % blocks).astype(np.int32)), pa.array(nodes[first]), pa.array(rest[first]), pa.array(ids[first]), column.take(pa.array(first))], ["block", "node", "rest", "doc", "text"])
 
-    return view(docs).mapInArrow(distinct, "block int, node long, rest long, doc long, text string")
+    return view(docs).mapInArrow(lean(distinct), "block int, node long, rest long, doc long, text string")
 
 
 def numbers(text: F.Column) -> tuple[F.Column, F.Column]:
@@ -247,8 +247,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
         flags = np.split(repeated[inverse], np.cumsum(lengths)[:-1])
         return pa.table({"block": table.column("block"), "repeated": pa.array([pack48(x[f]) for x, f in zip(lists, flags, strict=True)], pa.binary())})
 
-    anchors = blocks.groupBy("block").applyInArrow(send_anchors, "part int, block int, anchors binary, several binary")
-    repeated = anchors.groupBy("part").applyInArrow(find_repeated, "block int, repeated binary")
+    anchors = blocks.groupBy("block").applyInArrow(lean(send_anchors), "part int, block int, anchors binary, several binary")
+    repeated = anchors.groupBy("part").applyInArrow(lean(find_repeated), "block int, repeated binary")
 
     def send_segments(table: pa.Table, found: pa.Table) -> pa.Table:
         own, value = Block(table, length, gram), np.sort(unpack48(b"".join(found.column("repeated").to_pylist())))
@@ -283,9 +283,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
         answers = [np.where(i > least[o], whole[o], masks[o]) for o, i in zip(own, ids, strict=True)]
         return pa.table({"block": table.column("block"), "shard": table.column("shard"), "repeated": table.column("repeated"), "masks": pa.array([blob(x.astype("<u8")) for x in answers], pa.binary())})
 
-    sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send_segments, "shard int, block int, repeated binary, bytes binary, lengths binary, docs binary, values binary, within binary")
+    sent = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(lean(send_segments), "shard int, block int, repeated binary, bytes binary, lengths binary, docs binary, values binary, within binary")
     # A shard's bytes are few for the work that it is: they are dealt to all partitions, which Spark would else join by size.
-    answers = sent.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(sort_shard, "block int, shard int, repeated binary, masks binary")
+    answers = sent.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(lean(sort_shard), "block int, shard int, repeated binary, masks binary")
     schema = "node long, rest long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, spans array<struct<start: long, end: long>>" * keep
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -317,7 +317,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: bool =
         kinds = [pa.int64()] * 6 + [pa.string()] + [pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] * keep
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(cut), schema)
 
 
 def counts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

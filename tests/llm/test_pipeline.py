@@ -1,5 +1,6 @@
 """The pipeline's stages, each on what the one before has kept, and the guard around the subpackage."""
 
+import os
 import random
 import subprocess
 import sys
@@ -96,3 +97,37 @@ def test_entry_works_without_the_subpackage(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "codesieve/llm")], check=True)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+
+
+WORKERS = """
+import os
+import pyarrow as pa
+import public_tokenizers
+from pyspark.sql import SparkSession
+from codesieve.llm import packing, suffix_dedup
+
+def probe(batches):
+    # RssAnon in MB of the workers that this one's daemon has, and what this one keeps.
+    own = os.getppid()
+    pids = open(f"/proc/{own}/task/{own}/children").read().split()
+    held = [int(next(x.split()[1] for x in open(f"/proc/{p}/status") if x.startswith("RssAnon"))) // 1024 for p in pids]
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"held": [held], "kept": [len(packing._tokens)]})
+
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "1").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").cache()
+look = lambda: spark.range(1).mapInArrow(probe, "held array<long>, kept long").first()
+packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).agg({"ids_crc32": "max"}).collect()
+after_packing = look()
+suffix_dedup.counts(docs).agg({"n_removed": "sum"}).collect()
+after_passages = look()
+print("found", after_packing.kept, after_passages.kept, max(after_passages.held), after_packing.held, after_passages.held)
+"""
+
+
+def test_workers_are_left_small():
+    """What packing keeps goes with the next operator, and no worker holds on to memory that a task has freed."""
+    out = subprocess.run([sys.executable, "-c", WORKERS], cwd=ROOT, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"})
+    assert "found " in out.stdout, out.stderr[-2000:]
+    packed, later, most = map(int, out.stdout.split("found ")[1].split()[:3])
+    assert packed == 1 and later == 0 and most < 100, out.stdout
