@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from codesieve.llm.chunks import ChunkEncoder
 from codesieve.llm.common import SLICE_BYTES, byte_lengths, kept, lean, sliced, view
 
+#: Chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 400_000
+
 
 class Tokens:
     """Ids of a `tokenizers` file, as its plain call gives them: a special token's string in a text is that token."""
@@ -29,7 +32,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.chunks = ChunkEncoder(self.encode_many, encode_chunks=self.encode_chunks, special=special)
+        self.chunks = ChunkEncoder(self.encode_many, most=REMEMBERED, encode_chunks=self.encode_chunks, special=special)
         # A byte-level token has one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
@@ -78,17 +81,19 @@ def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray,
     return docs, before - begins[docs], lengths
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, keep: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, keep: bool = True, slice_bytes: int = SLICE_BYTES, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of length), sequence_id, offset; with keep, the ids.
 
     Every piece is its own sequence, at offset 0. A null or empty text is the end id alone. Repeated
-    rows are separate documents. sequence_id is unique and not dense. slice_bytes: bytes of text encoded at a time; fewer take less memory and more time.
+    rows are separate documents. sequence_id is unique and not dense. slice_bytes, remembered: bytes of text encoded at a time, and chunks whose ids
+    a worker remembers; fewer take less memory and more time.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * keep
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(tokenizer_path).chunks
+        encoder.most = remembered
         for batch in batches:
             for part in sliced(batch, most=slice_bytes):
                 found, starts = encoder.encode(part.column("text"))

@@ -49,7 +49,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids, each a sequence whose length is a power of two."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_bytes=1 << 20)  # executors hold much by the last stage
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), slice_bytes=1 << 20, remembered=200_000)  # executors hold much by the last stage
 
 
 STAGES = [("quality", rated), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", sequences)]
