@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.chunks import ChunkEncoder
 from codesieve.llm.common import SLICE_BYTES, byte_lengths, kept, lean, sliced, view
+from codesieve.llm.pieces import Encoded, PieceEncoder
 
-#: Chunks whose ids a worker remembers, in each of two generations.
+#: Pieces of text whose ids a worker remembers, in each of two generations.
 REMEMBERED = 400_000
 
 
@@ -32,31 +32,39 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.chunks = ChunkEncoder(self.encode_many, most=REMEMBERED, encode_chunks=self.encode_chunks, special=special)
+        self.chunks = PieceEncoder(self.encode_alone, self.encode_pieces, most=REMEMBERED, special=special)
         # A byte-level token has one character for each byte.
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, "<u4").tobytes() for x in self.ids(texts)]
-
-    def encode_chunks(self, chunks: list[str], together: int = 2000) -> list[bytes]:
-        """Ids of chunks: those with a space before them are encoded many in a row, as their borders cut tokens anyway, and told apart by the tokens' sizes."""
-        out: list = [None] * len(chunks)
-        alone = [i for i, x in enumerate(chunks) if x[0] != " "]
-        for i, raw in zip(alone, self.encode_many([chunks[i] for i in alone]), strict=True):
-            out[i] = raw
-        behind = [i for i, x in enumerate(chunks) if x[0] == " "]
-        runs = [behind[k : k + together] for k in range(0, len(behind), together)]
-        for run in runs:  # one after the other: the library's answer takes many times the ids' bytes
-            ids = np.array(self.ids(["".join([chunks[i] for i in run])])[0], "<u4")
-            raw, ends = ids.tobytes(), np.cumsum(byte_lengths(pa.array([chunks[i] for i in run], pa.large_string())))
-            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
-            for i, a, b in zip(run, [0, *cuts[:-1]], cuts, strict=True):
-                out[i] = raw[a:b]
-        return out
+    def encode_alone(self, texts: list[str]) -> Encoded:
+        found = [np.array(x, np.uint32) for x in self.ids(texts)]
+        counts = np.array(list(map(len, found)), np.int64)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum(counts) - counts, counts
+
+    def encode_pieces(self, pieces: list[str], together: int = 3000) -> Encoded:
+        """Ids of pieces: many in a row, as their borders cut tokens anyway, and told apart by the tokens' sizes.
+
+        A line break stands before a piece that doesn't begin with white space itself. Pieces whose first or last character may be other white space are encoded alone.
+        """
+        ends = np.array([x[-1].isalnum() or "!" <= x[-1] <= "~" for x in pieces])
+        bare = np.array([x[0] not in " \t\n\r" for x in pieces])
+        alone = ~ends | bare & ~np.array([x[0].isalnum() or "!" <= x[0] <= "~" for x in pieces])
+        at, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        lone = np.flatnonzero(alone)
+        ids, at[lone], counts[lone] = self.encode_alone([pieces[i] for i in lone.tolist()])
+        out, total, rest = [ids], len(ids), np.flatnonzero(~alone)
+        for run in (rest[k : k + together] for k in range(0, len(rest), together)):  # one after the other: the library's answer takes many times the ids' bytes
+            texts = ["\n" + pieces[i] if b else pieces[i] for i, b in zip(run.tolist(), bare[run].tolist(), strict=True)]
+            ids = np.array(self.ids(["".join(texts)])[0], np.uint32)
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(byte_lengths(pa.array(texts, pa.large_string())))) + 1
+            first = np.concatenate([[0], last[:-1]]) + bare[run]
+            at[run], counts[run] = total + first, last - first
+            out.append(ids)
+            total += len(ids)
+        return np.concatenate(out), at, counts
 
 
 _tokens: dict[str, Tokens] = kept("packing")
@@ -85,7 +93,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of length), sequence_id, offset; with keep, the ids.
 
     Every piece is its own sequence, at offset 0. A null or empty text is the end id alone. Repeated
-    rows are separate documents. sequence_id is unique and not dense. slice_bytes, remembered: bytes of text encoded at a time, and chunks whose ids
+    rows are separate documents. sequence_id is unique and not dense. slice_bytes, remembered: bytes of text encoded at a time, and pieces of text whose ids
     a worker remembers; fewer take less memory and more time.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * keep

@@ -70,6 +70,35 @@ def test_bpe_rows(docs):
     assert bpe.encode(docs.limit(0), MULTI, tokenizer_files.PATTERN).count() == 0
 
 
+def test_texts_cut_into_pieces_equal_the_library():
+    library, own = Tokenizer.from_file(JSON), packing.Tokens(JSON)
+    own.chunks.most = 400  # forgetting changes nothing
+    odd = [*"abzZ059 \t\n\r\x0b\x0c\x1c\x1f\x00\x7f.,'_-$<|>#é日½²٣Ⅷ𝔘😀", *"\x85\xa0\u1680\u180e\u2002\u200b\u2028\u202f\u205f\u3000\ufeff\u0301", "'s", "'LL", "'re", "n't", "  ", "\n\n", " a", "…", "” ", "<|endoftext|>"]
+    plain = odd[:-1]
+    texts = [*TEXTS, None, "", "a" * 300 + " " + "é" * 200, "<|endoftext|>", " <|endoftext|> x'll"]
+    texts += ["".join(random.choices(odd if i % 9 == 0 else plain, k=random.randint(0, 14))) for i in range(6000)]
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        ids, starts = own.chunks.encode(pa.array(part, pa.string()))
+        assert len(starts) == len(part) + 1 and starts[-1] == len(ids)
+        for i, t in enumerate(part):
+            assert ids[starts[i] : starts[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+    for none in ([], ["", None]):
+        ids, starts = own.chunks.encode(pa.array(none, pa.string()))
+        assert (len(ids), starts.tolist()) == (0, [0] * (len(none) + 1))
+
+
+def test_words_joined_by_marks_are_encoded_once():
+    own, seen = packing.Tokens(JSON), []
+    plain = own.ids
+    own.ids = lambda texts: seen.extend(texts) or plain(texts)
+    names = ["".join(random.choices("abcdefghij", k=8)) for _ in range(40)]
+    texts = [f"{a}.{b},{a}{end}\n{b}" for a in names for b in names for end in (".", "!")]
+    ids, starts = own.chunks.encode(pa.array(texts))
+    assert sum(map(len, seen)) < 5_000 < sum(map(len, texts)) / 20  # each of 40 words once for each sort of piece, not once for each pair
+    assert ids[starts[7] : starts[8]].tolist() == plain(texts[7:8])[0]
+
+
 def test_decomposition():
     counts = np.array([0, 1, 5, 4100, 2048, 2047])
     of, start, length = packing.decompose(counts, 2048)
